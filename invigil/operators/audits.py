@@ -143,7 +143,8 @@ def answer_rules(tables: Tables, answers: DataFrame, seat_known: bool = False) -
     """``answers`` beside what the answer rules look at, and the rules in order.
 
     Columns of ``answers`` are left alone; ``seat_known`` says that it has the seat's
-    ``SE_Id`` and ``SE_ExmId`` already.
+    ``SE_Id`` and ``SE_ExmId`` already.  An answer without a choice can match none, so
+    those rows are spread by their own key instead of meeting in one partition.
     """
     if not seat_known:
         seats = tables["StudentExam"].select("SE_Id", "SE_ExmId")
@@ -151,11 +152,13 @@ def answer_rules(tables: Tables, answers: DataFrame, seat_known: bool = False) -
     on_paper = tables["ExamQuestion"].select("EQ_ExmId", "EQ_QId").distinct()
     types = tables["Question"].select("Q_Id", "Q_Type")
     choices = tables["MCQChoice"].select("Ch_Id", "Ch_QId")
+    spread = F.coalesce("Ans_ChoiceId", F.xxhash64("Ans_SEId", "Ans_QId"))
     joined = (
         answers.join(on_paper, (F.col("SE_ExmId") == F.col("EQ_ExmId")) & (F.col("Ans_QId") == F.col("EQ_QId")), "left")
         .join(types, F.col("Ans_QId") == F.col("Q_Id"), "left")
-        .join(choices, (F.col("Ans_ChoiceId") == F.col("Ch_Id")) & (F.col("Ans_QId") == F.col("Ch_QId")), "left")
+        .join(choices, (spread == F.col("Ch_Id")) & F.col("Ans_ChoiceId").isNotNull(), "left")
     )
+    foreign = F.col("Ch_Id").isNull() | (F.col("Ch_QId") != F.col("Ans_QId"))
     choice, boolean, text = (F.col(c).isNotNull() for c in ("Ans_ChoiceId", "Ans_BoolAns", "Ans_TextAns"))
     kind = F.col("Q_Type")
     misfit = (
@@ -163,7 +166,7 @@ def answer_rules(tables: Tables, answers: DataFrame, seat_known: bool = False) -
     )
     return joined, [
         ("I-10a", F.col("SE_Id").isNotNull() & F.col("EQ_QId").isNull()),
-        ("I-10b", (kind == MCQ) & choice & F.col("Ch_Id").isNull()),
+        ("I-10b", (kind == MCQ) & choice & foreign),
         ("I-10c", misfit),
     ]
 

@@ -58,11 +58,14 @@ class Star(Mapping):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
-        return conform(getattr(self, name), name)
+        if name not in self._tables:
+            self._tables[name] = conform(getattr(self, name), name)
+        return self._tables[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(TABLES)
