@@ -23,7 +23,7 @@ def with_tables(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
 cte("nsup", "SELECT count(*) AS n FROM supplier")

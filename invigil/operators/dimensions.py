@@ -176,9 +176,9 @@ def judge_merge(requests: DataFrame, tables: Tables, table: str, ci: bool = Fals
     ids = tables[table].select(F.col(spec.key).alias("_row"))
     judged = judge(joined, rules).select(*requests.columns, ERROR)
     judged = judged.join(ids, F.col(spec.key) == F.col("_row"), "left")
-    real = F.col("_row").isNotNull()
-    judged = judged.withColumn(ERROR, F.when(real, F.col(ERROR))).drop("_row").withColumn("_real", real)
+    judged = judged.withColumn("_real", F.col("_row").isNotNull()).drop("_row")
     judged = _reject_taken(judged, tables[table], entry, ci, spec.key)
+    # A change to a row that does not exist changes nothing, so no rule can fail.
     judged = judged.withColumn(ERROR, F.when(F.col("_real"), F.col(ERROR)))
     key = entry.unique[0]
     names = [f"_k{i}" for i in range(len(key))]
