@@ -26,7 +26,7 @@ from invigil.plans import searches, views
 from invigil.schema import TABLES
 from invigil.session import new_folder, tune
 from invigil.sources import tables as store
-from invigil.sources.star import Star, every
+from invigil.sources.star import Star, every, stored
 from invigil.streaming import answers as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,7 @@ def portable(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None):
     def add(function: Callable[[Star], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return portable(function(Star(tune(spark), sf_dir)))
+            return portable(function(stored(tune(spark), sf_dir)))
 
         QUERIES[name] = run
         if sql is not None:
@@ -356,7 +356,7 @@ SELECT Exm_Id, CAST(coalesce((SELECT sum(EQ_Degree) FROM t_examquestion WHERE EQ
 def _(t):
     """Over exams that lost some of their questions, so that some have none left."""
     kept = t["ExamQuestion"].where(~every(7, F.col("EQ_QId")))
-    return views.exam_total_degree({**t, "ExamQuestion": kept})
+    return views.exam_total_degree(store.replace(t, ExamQuestion=kept))
 
 
 _KEEP_END = "regexp_replace(translate(lower(trim({})), chr(9) || chr(10) || chr(13), '   '), ' {{2,}}', ' ', 'g')"
@@ -364,7 +364,7 @@ _KEEP_END = "regexp_replace(translate(lower(trim({})), chr(9) || chr(10) || chr(
 
 @query("f2_normalize_answer", f"SELECT doc_id, {_KEEP_END.format('text')} AS normal FROM documents")
 def _(t):
-    return t.file("documents").select("doc_id", normalize_answer(F.col("text")).alias("normal"))
+    return t.file("documents", "doc_id").select("doc_id", normalize_answer(F.col("text")).alias("normal"))
 
 
 @query(
@@ -381,7 +381,7 @@ def _(t):
         .when(every(3, key, 1), F.concat(text, F.lit(".")))
         .when(~every(5, key), F.replace(text, F.lit(" "), F.lit("   ")))
     )
-    return t.file("documents").select("doc_id", is_answer_valid(given, text).alias("valid"))
+    return t.file("documents", "doc_id").select("doc_id", is_answer_valid(given, text).alias("valid"))
 
 
 # -- request operators -------------------------------------------------------------------
@@ -509,8 +509,8 @@ def _(t):
 
 
 def _marked(t):
-    graded = {**t, "StudentAnswer": grading.grade_answers(t)}
-    graded["StudentExam"] = grading.store_results(t["StudentExam"], grading.final_results(t))
+    graded = store.replace(t, StudentAnswer=grading.grade_answers(t))
+    graded = store.replace(graded, StudentExam=grading.store_results(t["StudentExam"], grading.final_results(t)))
     return grading.mark_answers(req.marks(t), graded)
 
 
@@ -539,7 +539,7 @@ SELECT m.Ans_Id, g.Ans_Correct, g.Ans_Degree, m.Ans_Comment FROM marked m JOIN g
 )
 def _(t):
     """Grading again overwrites reviewers' marks, while their comments stay."""
-    again = grading.grade_answers({**t, "StudentAnswer": _marked(t).answers})
+    again = grading.grade_answers(store.replace(t, StudentAnswer=_marked(t).answers))
     return again.select("Ans_Id", "Ans_Correct", "Ans_Degree", "Ans_Comment")
 
 
@@ -606,7 +606,7 @@ def _(t):
         F.lit(5).cast("long").alias("Trk_BrId"),
     )
     moved = dimensions.merge(moves, t, "Track").rows
-    return audits.AUDITS["I-1"]({**t, "Track": moved}, None)
+    return audits.AUDITS["I-1"](store.replace(t, Track=moved), None)
 
 
 # -- searches ----------------------------------------------------------------------------
@@ -695,7 +695,7 @@ JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId"
 )
 def _(t):
     seats = grading.store_results(t["StudentExam"], grading.final_results(t))
-    return views.student_results({**t, "StudentExam": seats})
+    return views.student_results(store.replace(t, StudentExam=seats))
 
 
 @query(
@@ -707,7 +707,7 @@ FROM graded g JOIN t_answer a ON a.Ans_Id = g.Ans_Id JOIN t_seat ON SE_Id = g.An
 JOIN t_question ON Q_Id = g.Ans_QId JOIN t_text ON Txt_QId = Q_Id JOIN t_examquestion ON EQ_ExmId = SE_ExmId AND EQ_QId = Q_Id""",
 )
 def _(t):
-    return views.text_answers_for_review({**t, "StudentAnswer": grading.grade_answers(t)})
+    return views.text_answers_for_review(store.replace(t, StudentAnswer=grading.grade_answers(t)))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from invigil.functions.clock import MICROS_PER_HOUR, at_time
 from invigil.schema import MCQ, TABLES, TEXT, TF
 from invigil.sources.star import Star, every
-from invigil.sources.tables import conform
+from invigil.sources.tables import Tables, conform, replace
 
 UNKNOWN = 9999
 
@@ -106,8 +106,8 @@ def seat_requests(t: Star) -> DataFrame:
     )
 
 
-def seats_already(t: Star) -> dict:
-    return {**t, "StudentExam": t["StudentExam"].where(every(10, F.col("SE_Id"), 9))}
+def seats_already(t: Star) -> Tables:
+    return replace(t, StudentExam=t["StudentExam"].where(every(10, F.col("SE_Id"), 9)))
 
 
 def answer_requests(t: Star) -> DataFrame:
@@ -133,11 +133,11 @@ def answer_requests(t: Star) -> DataFrame:
     )
 
 
-def some_answers(t: Star) -> dict:
+def some_answers(t: Star) -> Tables:
     """A third of the seats has answers, with grades from an earlier run."""
     old = t["StudentAnswer"].where(every(3, F.col("Ans_SEId")))
     graded = old.withColumn("Ans_Correct", every(2, F.col("Ans_Id"))).withColumn("Ans_Degree", F.lit(1))
-    return {**t, "StudentAnswer": conform(graded, "StudentAnswer")}
+    return replace(t, StudentAnswer=conform(graded, "StudentAnswer"))
 
 
 def marks(t: Star) -> DataFrame:
@@ -171,12 +171,12 @@ def branch_requests(t: Star) -> DataFrame:
     )
 
 
-def more_branches(t: Star) -> dict:
+def more_branches(t: Star) -> Tables:
     s = F.col("s_suppkey")
     sites = t.file("supplier").select(
         (s + 100).alias("Br_Id"), F.concat(F.lit("Site "), s).alias("Br_Name"), F.lit(None).alias("Br_Location")
     )
-    return {**t, "Branch": t["Branch"].unionByName(conform(sites, "Branch"))}
+    return replace(t, Branch=t["Branch"].unionByName(conform(sites, "Branch")))
 
 
 def branch_changes(t: Star) -> DataFrame:
@@ -201,12 +201,12 @@ def track_requests(t: Star) -> DataFrame:
     )
 
 
-def more_tracks(t: Star) -> dict:
+def more_tracks(t: Star) -> Tables:
     s = F.col("s_suppkey")
     tracks = t.file("supplier").select(
         (s + 1000).alias("Trk_Id"), F.concat(F.lit("T "), s).alias("Trk_Name"), (s % 5 + 1).alias("Trk_BrId")
     )
-    return {**t, "Track": t["Track"].unionByName(conform(tracks, "Track"))}
+    return replace(t, Track=t["Track"].unionByName(conform(tracks, "Track")))
 
 
 def track_changes(t: Star) -> DataFrame:
@@ -273,15 +273,15 @@ def student_changes(t: Star) -> DataFrame:
 
 
 def _swap(t: Star, name: str, df: DataFrame) -> dict:
-    return {**t, name: conform(df, name)}
+    return replace(t, **{name: conform(df, name)})
 
 
-def bad_exams(t: Star) -> dict:
+def bad_exams(t: Star) -> Tables:
     branch = F.when(every(499, F.col("Exm_Id")), F.col("Exm_BrId") % 5 + 1).otherwise(F.col("Exm_BrId"))
     return _swap(t, "Exam", t["Exam"].withColumn("Exm_BrId", branch))
 
 
-def bad_exam_questions(t: Star) -> dict:
+def bad_exam_questions(t: Star) -> Tables:
     n = t.file("part").agg(F.count("*")).scalar()
     hit = every(97, F.col("EQ_ExmId") + F.col("EQ_QId"))
     moved = F.when(hit, (F.col("EQ_QId") + 1) % n).otherwise(F.col("EQ_QId"))
@@ -292,17 +292,17 @@ def _odd_questions(t: Star, kind: str, rest: int) -> DataFrame:
     return t.Question.where((F.col("Q_Type") == kind) & every(13, F.col("Q_Id"), rest))
 
 
-def bad_tf(t: Star) -> dict:
+def bad_tf(t: Star) -> Tables:
     more = _odd_questions(t, MCQ, 0).select(F.col("Q_Id").alias("TF_QId"), F.lit(False).alias("TF_Correct"))
     return _swap(t, "TFQuestion", t["TFQuestion"].unionByName(more))
 
 
-def bad_text(t: Star) -> dict:
+def bad_text(t: Star) -> Tables:
     more = _odd_questions(t, TF, 1).select(F.col("Q_Id").alias("Txt_QId"), F.lit("x").alias("Txt_BestAnswer"))
     return _swap(t, "TextQuestion", t["TextQuestion"].unionByName(more))
 
 
-def bad_choices(t: Star) -> dict:
+def bad_choices(t: Star) -> Tables:
     q = F.col("Ch_QId")
     second = every(13, q, 3) & (F.col("Ch_Id") % 4 == (q + 1) % 4)
     choices = t["MCQChoice"].withColumn("Ch_Correct", F.col("Ch_Correct") | second)
@@ -313,25 +313,25 @@ def bad_choices(t: Star) -> dict:
     return _swap(t, "MCQChoice", choices.unionByName(more))
 
 
-def bad_answers(t: Star) -> dict:
+def bad_answers(t: Star) -> Tables:
     sup = F.col("l_suppkey")
     text = F.when(every(13, sup, 5) & (F.col("q_type") != TEXT), "x").otherwise(F.col("Ans_TextAns"))
     moved = F.when(every(17, sup, 4), F.col("Ans_QId") + 1).otherwise(F.col("Ans_QId"))
     return _swap(t, "StudentAnswer", t.latest.withColumn("Ans_TextAns", text).withColumn("Ans_QId", moved))
 
 
-def broken_checks(t: Star) -> dict:
+def broken_checks(t: Star) -> Tables:
     def when(key: str, n: int, column: str, value: Column) -> Column:
         return F.when(every(n, F.col(key)), value).otherwise(F.col(column))
 
-    return {
-        **t,
+    changed = {
         **_swap_one(t, "Course", "Crs_MinDeg", when("Crs_Id", 7, "Crs_MinDeg", F.col("Crs_MaxDeg") + 1)),
         **_swap_one(t, "Question", "Q_Type", when("Q_Id", 71, "Q_Type", F.lit("Essay"))),
         **_swap_one(t, "ExamQuestion", "EQ_Degree", when("EQ_Id", 73, "EQ_Degree", F.lit(0))),
         **_swap_one(t, "StudentExam", "SE_Result", when("SE_Id", 79, "SE_Result", F.lit(-1))),
         **_swap_one(t, "StudentAnswer", "Ans_Degree", when("Ans_Id", 83, "Ans_Degree", F.lit(-1))),
     }
+    return replace(t, **changed)
 
 
 def _swap_one(t: Star, table: str, column: str, value: Column) -> dict:
@@ -341,7 +341,7 @@ def _swap_one(t: Star, table: str, column: str, value: Column) -> dict:
 SMALL = ("Admin", "TrainingManager", "Branch", "Intake", "Course", "Track")
 
 
-def broken_keys(t: Star) -> dict:
+def broken_keys(t: Star) -> Tables:
     """Some rows twice under one id, some again under another id, one set per unique key."""
     out = {}
     for name, spec in TABLES.items():
@@ -354,7 +354,7 @@ def broken_keys(t: Star) -> dict:
     return out
 
 
-def broken_references(t: Star) -> dict:
+def broken_references(t: Star) -> Tables:
     out = dict(t)
     for name, spec in TABLES.items():
         rows = t[name]
@@ -369,7 +369,7 @@ def broken_references(t: Star) -> dict:
     return out
 
 
-def broken_values(t: Star) -> dict:
+def broken_values(t: Star) -> Tables:
     out = {}
     for name, spec in TABLES.items():
         key = F.col(spec.key)

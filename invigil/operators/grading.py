@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from invigil.functions.rules import ERROR, Outcome, judge, split, with_messages
 from invigil.functions.text import comparable_answer
 from invigil.schema import DEGREE
-from invigil.sources.tables import Tables, update_from_join
+from invigil.sources.tables import Tables, replace, update_from_join
 
 
 class Graded(NamedTuple):
@@ -120,13 +120,12 @@ def grade_seats(tables: Tables, requests: DataFrame | None = None) -> Graded:
         judged = judge(asked, [("50300", F.col("_seat").isNull())])
         rejected = split(judged, ["50300"]).rejected.withColumn("req_id", F.col("req_id").cast("string"))
         wanted = requests.select("SE_Id").distinct()
-        scope = {
-            **tables,
-            "StudentExam": tables["StudentExam"].join(wanted, "SE_Id", "left_semi"),
-            "StudentAnswer": tables["StudentAnswer"].join(
-                wanted, F.col("Ans_SEId") == F.col("SE_Id"), "left_semi"
-            ),
-        }
+        answers = tables["StudentAnswer"]
+        scope = replace(
+            tables,
+            StudentExam=tables["StudentExam"].join(wanted, "SE_Id", "left_semi"),
+            StudentAnswer=answers.join(wanted, F.col("Ans_SEId") == F.col("SE_Id"), "left_semi"),
+        )
     totals = seat_totals(scope)
     too_big = (
         totals.where(F.col("total").try_cast(DEGREE).isNull())

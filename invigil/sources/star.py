@@ -4,21 +4,25 @@ Every row of every assessment table is computed from rows of the given files by
 integer formulas, so the data grows with the files and any engine can derive the same
 rows.  Some formulas break a rule on purpose; ``DirtyStar`` breaks all of them.
 
-Tables are built lazily: asking for one adds only its own branch to the plan.
+Tables are built on demand.  ``Star`` alone only declares them; ``stored`` gives a Star that
+writes each table the first time it is asked for, once per application and input folder, to
+the shared scratch folder.  Queries then run on typed Parquet tables whose true size Catalyst
+knows, so it broadcasts what is small and shuffles what is not without any hint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from invigil.functions.clock import MICROS_PER_MINUTE, at_time
 from invigil.schema import MCQ, TABLES, TEXT, TF
-from invigil.sources.tables import conform
+from invigil.session import new_folder
+from invigil.sources.tables import conform, write_bucketed
 
 # Schemas of the given files.
 FILES = {
@@ -40,8 +44,18 @@ BRANCHES, TRACKS, INTAKES, COURSES = 5, 25, 5, 25
 LAST_SLOT = 7
 
 
-def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(FILES[name]).parquet(f"{sf_dir}/{name}.parquet")
+def scan(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """Typed scan of one given file or folder of files.
+
+    Input that comes in fewer splits than there are cores is spread by ``spread_by``.  That
+    exchange moves less than one split per core; larger input is left where it is.
+    """
+    df = spark.read.schema(FILES[name]).parquet(f"{sf_dir}/{name}.parquet")
+    if spread_by:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores, spread_by)
+    return df
 
 
 def every(n: int, key: Column, rest: int = 0) -> Column:
@@ -53,13 +67,56 @@ def _course_of(brand: str) -> Column:
     return F.substring(F.col(brand), 7, 10).cast("long")
 
 
+def kept(function: Callable[[Star], DataFrame] | None = None, *, bucket: str | None = None):
+    """A derived table that a stored Star writes once and reads back; ``bucket`` names the
+    column by which a fact is laid out, so that joins on it need no exchange."""
+
+    def wrap(derive):
+        def get(self: Star) -> DataFrame:
+            return self._keep(derive.__name__, bucket, lambda: derive(self))
+
+        get.__doc__ = derive.__doc__
+        return cached_property(get)
+
+    return wrap(function) if function else wrap
+
+
+# Where each (application, input folder) keeps its tables, and which are complete.
+_FOLDERS: dict[tuple[str, str], str] = {}
+_COMPLETE: dict[str, T.StructType] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Star:
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _FOLDERS:
+        _FOLDERS[place] = new_folder(spark, "star")
+    return Star(spark, sf_dir, _FOLDERS[place])
+
+
 class Star(Mapping):
     """The seventeen assessment tables over one folder of star-schema files."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str | None = None):
+        self.spark, self.sf_dir, self.folder = spark, sf_dir, folder
         self._tables: dict[str, DataFrame] = {}
 
+    def _keep(self, name: str, bucket: str | None, derive: Callable[[], DataFrame]) -> DataFrame:
+        if self.folder is None:
+            return derive()
+        path = f"{self.folder}/{name}"
+        if bucket:
+            table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
+            if path not in _COMPLETE:
+                df = derive()
+                write_bucketed(df, table, path, bucket)
+                _COMPLETE[path] = df.schema
+            return self.spark.table(table)
+        if path not in _COMPLETE:
+            df = derive()
+            df.write.parquet(path)
+            _COMPLETE[path] = df.schema
+        return self.spark.read.schema(_COMPLETE[path]).parquet(path)
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
@@ -73,8 +130,8 @@ class Star(Mapping):
     def __len__(self) -> int:
         return len(TABLES)
 
-    def file(self, name: str) -> DataFrame:
-        return scan(self.spark, self.sf_dir, name)
+    def file(self, name: str, spread_by: str | None = None) -> DataFrame:
+        return scan(self.spark, self.sf_dir, name, spread_by)
 
     @cached_property
     def n_suppliers(self) -> Column:
@@ -128,7 +185,7 @@ class Star(Mapping):
             (F.col("n_regionkey") + 1).alias("Trk_BrId"),
         )
 
-    @cached_property
+    @kept
     def Intake(self) -> DataFrame:
         names = F.array_sort(F.collect_set("c_mktsegment"))
         return (
@@ -142,7 +199,7 @@ class Star(Mapping):
             )
         )
 
-    @cached_property
+    @kept
     def Student(self) -> DataFrame:
         key = F.col("c_custkey")
         user = F.concat(F.lit("st_"), key)
@@ -163,7 +220,7 @@ class Star(Mapping):
             )
         )
 
-    @cached_property
+    @kept
     def Course(self) -> DataFrame:
         crs, top = F.col("Crs_Id"), 60 + F.col("Crs_Id") % 5 * 10
         return (
@@ -179,7 +236,7 @@ class Star(Mapping):
             )
         )
 
-    @cached_property
+    @kept
     def CourseAssignment(self) -> DataFrame:
         crs, year = F.col("Crs_Id"), F.col("year")
         return self.Course.select(crs, F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))).alias("year")).select(
@@ -191,7 +248,7 @@ class Star(Mapping):
 
     # -- question bank -----------------------------------------------------------------
 
-    @cached_property
+    @kept
     def Question(self) -> DataFrame:
         key, size = F.col("p_partkey"), F.col("p_size") % 3
         turn = F.when(every(53, key), F.lit(8)).otherwise(key % 7)
@@ -203,7 +260,7 @@ class Star(Mapping):
             ((_course_of("p_brand") * 7 + FIRST_YEAR + turn) % self.n_suppliers).alias("Q_CreatedBy"),
         )
 
-    @cached_property
+    @kept
     def MCQChoice(self) -> DataFrame:
         q, place = F.col("Q_Id"), F.col("place")
         return (
@@ -230,7 +287,7 @@ class Star(Mapping):
 
     # -- exams and seats ---------------------------------------------------------------
 
-    @cached_property
+    @kept
     def Exam(self) -> DataFrame:
         """One exam per course, track and intake, spelled out from the course alone."""
         exm, crs = F.col("Exm_Id"), F.col("Crs_Id")
@@ -266,12 +323,10 @@ class Star(Mapping):
 
         The constant bound lets Spark keep only ``n`` rows per course before the exchange.
         """
-        from pyspark.sql import Window
-
         place = F.row_number().over(Window.partitionBy("Q_CrsId").orderBy("Q_Id"))
         return self.Question.withColumn("rn", place).where(F.col("rn") <= n)
 
-    @cached_property
+    @kept
     def slots(self) -> DataFrame:
         """Exam questions with their place 1..7 on the paper."""
         exm, q, place = F.col("Exm_Id"), F.col("Q_Id"), F.col("rn") - F.col("Exm_Id") % 3
@@ -294,7 +349,7 @@ class Star(Mapping):
     def ExamQuestion(self) -> DataFrame:
         return self.slots
 
-    @cached_property
+    @kept(bucket="SE_Id")
     def StudentExam(self) -> DataFrame:
         key = F.col("o_orderkey")
         intake = F.when(every(101, key), F.col("St_IntId") % INTAKES).otherwise(F.col("St_IntId") - 1)
@@ -319,9 +374,7 @@ class Star(Mapping):
     @cached_property
     def Submission(self) -> DataFrame:
         """Everything students sent in, several times per question at will."""
-        return self._submissions(self.file("lineitem"))
-
-    def _submissions(self, lineitem: DataFrame) -> DataFrame:
+        lineitem = self.file("lineitem", "l_orderkey")
         q, sup = F.col("EQ_QId"), F.col("l_suppkey")
         given = ~every(11, sup)
         choice = F.when(every(37, sup, 1), (q + 1) * 4).otherwise(q * 4 + F.col("l_partkey") % 4)
@@ -346,7 +399,7 @@ class Star(Mapping):
             )
         )
 
-    @cached_property
+    @kept(bucket="Ans_SEId")
     def latest(self) -> DataFrame:
         """The last submission per seat and place, by one combinable aggregate.
 

@@ -8,6 +8,7 @@ for the newest again.
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ from invigil.schema import TABLES
 Tables = Mapping[str, DataFrame]
 
 
+def replace(tables: Tables, **changed: DataFrame) -> Tables:
+    """``tables`` with some of them exchanged; the others are not touched."""
+    return ChainMap(changed, tables)
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Exactly the declared columns and types, in order; a flag that was left out is false."""
     spec = TABLES[table]
@@ -114,6 +120,18 @@ def publish(df: DataFrame, root: str, table: str, version: int) -> str:
     return path
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int | None = None) -> None:
+    """Write a fact as ``buckets`` files hashed by ``key``, one file each, and name it ``table``.
+
+    Two facts with the same key values and number of buckets join on it without an exchange.
+    The default is the session's number of shuffle partitions, which is chosen for tasks that
+    fit in memory.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = df.repartition(buckets, key)
+    laid_out.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
 def snapshot_tables(
     tables: Tables,
     root: str,
