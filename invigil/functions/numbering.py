@@ -67,21 +67,22 @@ def append_with_ids(
     id_col: str,
     order: str,
     then: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``new_rows`` with ids that follow the largest one in ``existing``.
 
     Ids follow ``order``, a LONG.  Where several rows share a value of it, ``then``
     orders them; the caller sees to it that such a set is small (the questions of one
-    exam, the answers of one seat).
+    exam, the answers of one seat).  ``counts(order, n)`` says how many rows share each
+    value, if the caller knows already.
     """
     base = last_id(existing, id_col)
     if not then:
         numbered = running_total(new_rows, order, "_before")
         return numbered.withColumn(id_col, (base + F.col("_before") + 1).cast("long")).drop("_before")
-    counts = new_rows.groupBy(order).agg(F.count("*").alias("_n"))
-    offsets = running_total(counts, order, "_before", F.col("_n")).select(
-        F.col(order).alias("_order"), "_before"
-    )
+    if counts is None:
+        counts = new_rows.groupBy(order).agg(F.count("*").alias("n"))
+    offsets = running_total(counts, order, "_before", F.col("n")).select(F.col(order).alias("_order"), "_before")
     place = F.row_number().over(Window.partitionBy(order).orderBy(*then))
     numbered = new_rows.withColumn("_place", place).join(offsets, F.col(order) == F.col("_order"))
     return numbered.withColumn(id_col, (base + F.col("_before") + F.col("_place")).cast("long")).drop(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from invigil.messages import message
 from invigil.schema import TABLES
+from invigil.session import stage
 
 ERROR = "error_code"
 TEXT = "error_message"
@@ -59,6 +60,8 @@ def with_messages(judged: DataFrame, codes: Iterable[str]) -> DataFrame:
 
 
 def split(judged: DataFrame, codes: Iterable[str], request_key: str = "req_id") -> Outcome:
+    """The verdicts, settled by one job, as accepted requests and rejected ones with messages."""
+    judged = stage(judged, "verdicts")
     accepted = judged.where(F.col(ERROR).isNull()).drop(ERROR)
     rejected = with_messages(judged.where(F.col(ERROR).isNotNull()), codes).select(request_key, ERROR, TEXT)
     return Outcome(accepted, rejected)

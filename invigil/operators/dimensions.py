@@ -20,7 +20,7 @@ from invigil.functions.rules import ERROR, Rule, judge, split, violates_required
 from invigil.functions.text import text_key
 from invigil.operators.exams import first_per_key, known, lost
 from invigil.schema import TABLES
-from invigil.session import ensure_checkpoint_dir
+from invigil.session import ensure_checkpoint_dir, stage
 from invigil.sources.tables import Tables, conform, update_from_join
 
 CODES = ["50600", "I-15", "I-14", "I-1", "I-12"]
@@ -117,7 +117,7 @@ def judge_ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = Fal
     if len(entry.unique) == 1:
         key = entry.unique[0]
         names = [f"_k{i}" for i in range(len(key))]
-        return first_per_key(_keyed(judged, table, key, ci, "_k"), names).drop(*names)
+        return first_per_key(stage(_keyed(judged, table, key, ci, "_k"), "requests"), names).drop(*names)
     return _in_turn(judged, entry, ci)
 
 
@@ -182,7 +182,7 @@ def judge_merge(requests: DataFrame, tables: Tables, table: str, ci: bool = Fals
     judged = judged.withColumn(ERROR, F.when(F.col("_real"), F.col(ERROR)))
     key = entry.unique[0]
     names = [f"_k{i}" for i in range(len(key))]
-    keyed = _keyed(judged, table, key, ci, "_k")
+    keyed = stage(_keyed(judged, table, key, ci, "_k"), "requests")
     claims = (
         keyed.where(F.col("_real") & F.col(ERROR).isNull())
         .groupBy(*names)

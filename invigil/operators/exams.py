@@ -13,6 +13,7 @@ from invigil.functions.numbering import append_with_ids
 from invigil.functions.rules import ERROR, Outcome, Rule, judge, split, violates_checks, violates_required
 from invigil.operators.sampling import draw_questions
 from invigil.schema import DEGREE, MCQ, TEXT, TF
+from invigil.session import stage
 from invigil.sources.tables import Tables, conform
 
 
@@ -150,7 +151,7 @@ def generate_random_exams(requests: DataFrame, tables: Tables, seed: int | str =
     are missing cannot be stored and is rejected like any missing value.
     """
     outcome = split(judge_random_exams(requests, tables), RANDOM_CODES)
-    exams = append_with_ids(tables["Exam"], outcome.accepted, "Exm_Id", "req_id")
+    exams = stage(append_with_ids(tables["Exam"], outcome.accepted, "Exm_Id", "req_id"), "exams")
     wanted = F.array(
         *[
             F.struct(F.lit(kind).alias("type"), F.col(column).alias("n"), F.col(f"has_{column}").alias("size"))
@@ -169,7 +170,10 @@ def generate_random_exams(requests: DataFrame, tables: Tables, seed: int | str =
     rows = drawn.select(
         F.col("Exm_Id").alias("EQ_ExmId"), F.col("Q_Id").alias("EQ_QId"), F.col("degree").cast(DEGREE).alias("EQ_Degree")
     )
-    questions = append_with_ids(tables["ExamQuestion"], rows, "EQ_Id", "EQ_ExmId", ["EQ_QId"])
+    counts = exams.select(
+        F.col("Exm_Id").alias("EQ_ExmId"), sum((F.col(c) for c in COUNTS.values()), F.lit(0)).alias("n")
+    )
+    questions = append_with_ids(tables["ExamQuestion"], rows, "EQ_Id", "EQ_ExmId", ["EQ_QId"], counts)
     return NewExams(exams, conform(questions, "ExamQuestion"), outcome.rejected)
 
 
@@ -195,6 +199,7 @@ def judge_manual_exams(requests: DataFrame, lists: DataFrame, tables: Tables) ->
             F.sum("total").alias("total"),
             F.min("least").alias("least"),
             F.max("n").alias("most"),
+            F.sum("n").alias("n_listed"),
             F.sum(F.col("gaps") + F.when(F.col("QId").isNull(), 1).otherwise(0)).alias("gaps"),
             F.bool_or(F.col("Q_Id").isNull()).alias("unknown"),
             F.min("Q_CrsId").alias("low"),
@@ -213,17 +218,19 @@ def judge_manual_exams(requests: DataFrame, lists: DataFrame, tables: Tables) ->
         ("I-11", F.col("least") <= 0),
         ("I-12", F.col("most") > 1),
     ]
-    return judge(joined, rules).select(*requests.columns, ERROR)
+    judged = judge(joined, rules).withColumn("n_listed", F.coalesce("n_listed", F.lit(0)))
+    return judged.select(*requests.columns, "n_listed", ERROR)
 
 
 def create_manual_exams(requests: DataFrame, lists: DataFrame, tables: Tables) -> NewExams:
     """Exams with the questions their requests list; an empty list makes an empty exam."""
     outcome = split(judge_manual_exams(requests, lists, tables), MANUAL_CODES)
-    exams = append_with_ids(tables["Exam"], outcome.accepted, "Exm_Id", "req_id")
+    exams = stage(append_with_ids(tables["Exam"], outcome.accepted, "Exm_Id", "req_id"), "exams")
     rows = lists.join(exams.select("req_id", "Exm_Id"), "req_id").select(
         F.col("Exm_Id").alias("EQ_ExmId"), F.col("QId").alias("EQ_QId"), F.col("degree").cast(DEGREE).alias("EQ_Degree")
     )
-    questions = append_with_ids(tables["ExamQuestion"], rows, "EQ_Id", "EQ_ExmId", ["EQ_QId"])
+    counts = exams.select(F.col("Exm_Id").alias("EQ_ExmId"), F.col("n_listed").alias("n"))
+    questions = append_with_ids(tables["ExamQuestion"], rows, "EQ_Id", "EQ_ExmId", ["EQ_QId"], counts)
     return NewExams(exams, conform(questions, "ExamQuestion"), outcome.rejected)
 
 
@@ -281,7 +288,7 @@ def judge_seats(requests: DataFrame, tables: Tables) -> DataFrame:
         ("I-12", F.col("_exam").isNotNull()),
     ]
     judged = judge(joined, rules).select(*requests.columns, ERROR)
-    return first_per_key(judged, ["SE_ExmId", "SE_StId"])
+    return first_per_key(stage(judged, "seat-requests"), ["SE_ExmId", "SE_StId"])
 
 
 def assign_seats(requests: DataFrame, tables: Tables) -> NewSeats:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that matter at scale.  Split skewed join partitions even where that
 # costs one more exchange, and read the session clock as UTC.  Broadcasts are never
@@ -41,6 +41,17 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there.
+
+    For results that several later steps read: they scan columns of a finished table, with
+    its true size known, instead of running all that led to it again.
+    """
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
