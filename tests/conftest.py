@@ -6,8 +6,10 @@ import sys
 import uuid
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -96,7 +98,12 @@ SEED = {
 
 
 def frame(spark, table: str, rows):
-    return spark.createDataFrame(list(rows), TABLES[table].struct)
+    """A small table handed over as Arrow, so that its size is known and it can be broadcast."""
+    struct = TABLES[table].struct
+    schema = to_arrow_schema(struct)
+    columns = list(zip(*rows)) or [[]] * len(struct)
+    arrays = [pa.array([D(v) if isinstance(v, int) and pa.types.is_decimal(f.type) else v for v in c], f.type) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema), struct)
 
 
 @pytest.fixture(scope="session")
