@@ -89,37 +89,31 @@ def _(t):
 
 @query(
     "s4_append_with_ids",
-    """
-SELECT (SELECT max(St_Id) FROM t_student WHERE St_Id % 5 <> 0) + row_number() OVER (ORDER BY St_Id) AS new_id, St_Id AS old_id
-FROM t_student WHERE St_Id % 5 = 0""",
+    "SELECT (SELECT max(St_Id) FROM t_student) + row_number() OVER (ORDER BY o_orderkey) AS St_Id, o_orderkey FROM orders",
 )
 def _(t):
-    fresh = t["Student"].where(every(5, F.col("St_Id"))).select(F.col("St_Id").alias("old_id"))
-    old = t["Student"].where(~every(5, F.col("St_Id"))).select(F.col("St_Id").alias("new_id"))
-    return append_with_ids(old, fresh, "new_id", "old_id")
+    """New ids for every order, after the last student id in use."""
+    return append_with_ids(t["Student"], t.file("orders").select("o_orderkey"), "St_Id", "o_orderkey")
 
 
-@query(
-    "s6_update_from_join",
-    """
-SELECT SE_Id, SE_ExmId, SE_StId, CASE WHEN SE_Id % 4 = 0 THEN FinalResult END AS SE_Result
-FROM t_seat JOIN results USING (SE_Id)""",
-)
+@query("s6_update_from_join", "SELECT SE_Id, SE_ExmId, SE_StId, FinalResult AS SE_Result FROM t_seat JOIN results USING (SE_Id)")
 def _(t):
-    results = grading.final_results(t).where(every(4, F.col("SE_Id")))
-    return grading.store_results(t["StudentExam"], results).select("SE_Id", "SE_ExmId", "SE_StId", "SE_Result")
+    stored_results = grading.store_results(t["StudentExam"], grading.final_results(t))
+    return stored_results.select("SE_Id", "SE_ExmId", "SE_StId", "SE_Result")
 
 
 @query(
     "s7_update_by_key",
     """
-SELECT St_Id, CASE WHEN St_Id % 7 = 3 THEN 'Renamed ' || St_Id ELSE St_Name END AS St_Name,
-       CASE WHEN St_Id % 7 <> 3 THEN St_Phone END AS St_Phone FROM t_student""",
+SELECT St_Id, CASE WHEN c_acctbal < 0 THEN 'Renamed ' || St_Id ELSE St_Name END AS St_Name,
+       CASE WHEN c_acctbal >= 0 THEN St_Phone END AS St_Phone FROM t_student JOIN customer ON c_custkey = St_Id""",
 )
 def _(t):
+    """Rename students in debt and take their phone away; changes to unknown students do nothing."""
     c = F.col("c_custkey")
-    known = t.file("customer").where(every(7, c, 3))
-    changes = known.select(c.alias("St_Id"), F.concat(F.lit("Renamed "), c).alias("St_Name"), F.lit(None).alias("St_Phone"))
+    changes = t.file("customer").where(F.col("c_acctbal") < 0).select(
+        c.alias("St_Id"), F.concat(F.lit("Renamed "), c).alias("St_Name"), F.lit(None).alias("St_Phone")
+    )
     nobody = changes.withColumn("St_Id", -F.col("St_Id") - 1)
     both = changes.unionByName(nobody)
     return store.update_from_join(t["Student"], both, ["St_Id"], ["St_Name", "St_Phone"]).select(
@@ -265,6 +259,32 @@ def _(t):
     return audits.AUDITS["I-6"](t, None)
 
 
+@query(
+    "i5_touched_exams",
+    _violations(
+        "I-5",
+        """
+SELECT Exm_Id AS key FROM t_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
+WHERE Exm_Id IN (SELECT EQ_ExmId FROM t_slot WHERE Q_Type <> 'MCQ')
+  AND (SELECT sum(CASE WHEN Q_Type = 'TF' THEN EQ_Degree * 3 ELSE EQ_Degree END) FROM t_slot WHERE EQ_ExmId = Exm_Id AND Q_Type <> 'Text') > Crs_MaxDeg""",
+    ),
+)
+def _(t):
+    """True/false questions come back at three times the degree and text questions go: which of
+    the exams touched either way are over the limit now?"""
+    old = t.slots
+    kind = F.col("Q_Type")
+    raised = old.where(kind == "TF").withColumn("EQ_Degree", F.col("EQ_Degree") * 3)
+    after = old.where(kind == "MCQ").unionByName(raised.withColumn("EQ_Degree", F.col("EQ_Degree").cast("decimal(5,2)")))
+    touched = audits.touched_exams(raised, old.where(kind == "Text"))
+    return audits.AUDITS["I-5"](store.replace(t, ExamQuestion=after), touched)
+
+
+@query("i2_exam_admits_nobody", "SELECT Exm_Id FROM t_exam WHERE epoch_us(Exm_Start) % 86400000000 >= epoch_us(Exm_End) % 86400000000")
+def _(t):
+    return audits.exams_without_window(t)
+
+
 @query("i7_tf_type", _violations("I-7", "SELECT Q_Id AS key FROM t_question WHERE Q_Type = 'MCQ' AND Q_Id % 13 = 0"))
 def _(t):
     return audits.AUDITS["I-7"](req.bad_tf(t), None)
@@ -298,13 +318,12 @@ def _(t):
 
 @query(
     "i10_batch_verdict",
-    f"SELECT rule, message, count(*) AS n_rows, min(key) AS first_key FROM ({_I10}) WHERE key % 5 = 2 GROUP BY rule, message",
+    f"SELECT rule, message, count(*) AS n_rows, min(key) AS first_key FROM ({_I10}) GROUP BY rule, message",
 )
 def _(t):
-    """The seats whose answers come in as one batch: is the batch refused, and why?"""
+    """All answers come in as one batch: is it refused, and why?"""
     tables = req.bad_answers(t)
-    batch = tables["StudentAnswer"].where(every(5, F.col("Ans_Id"), 2))
-    return audits.batch_verdict(audits.AUDITS["I-10"](tables, batch))
+    return audits.batch_verdict(audits.AUDITS["I-10"](tables, tables["StudentAnswer"]))
 
 
 @query(
@@ -350,13 +369,19 @@ def _(t):
 @query(
     "f1_exam_total_degree",
     """
-SELECT Exm_Id, CAST(coalesce((SELECT sum(EQ_Degree) FROM t_examquestion WHERE EQ_ExmId = Exm_Id AND EQ_QId % 7 <> 0), 0)
-  AS DECIMAL(10,2)) AS TotalDegree FROM t_exam""",
+SELECT Exm_Id, CAST(coalesce(sum(d), 0) AS DECIMAL(10,2)) AS TotalDegree FROM (
+  SELECT Exm_Id, EQ_Degree AS d FROM t_exam LEFT JOIN t_examquestion ON EQ_ExmId = Exm_Id
+  UNION ALL SELECT Exm_Id, l3.degree FROM new3 LEFT JOIN l3 ON l3.req_id = new3.req_id) GROUP BY Exm_Id""",
 )
 def _(t):
-    """Over exams that lost some of their questions, so that some have none left."""
-    kept = t["ExamQuestion"].where(~every(7, F.col("EQ_QId")))
-    return views.exam_total_degree(store.replace(t, ExamQuestion=kept))
+    """Over all exams and the manual ones, some of which have no question."""
+    new = _manual(t)
+    both = store.replace(
+        t,
+        Exam=t["Exam"].unionByName(store.conform(new.exams, "Exam")),
+        ExamQuestion=t["ExamQuestion"].unionByName(new.questions),
+    )
+    return views.exam_total_degree(both)
 
 
 _KEEP_END = "regexp_replace(translate(lower(trim({})), chr(9) || chr(10) || chr(13), '   '), ' {{2,}}', ' ', 'g')"
@@ -596,12 +621,12 @@ _dimension(14, "update_student", "Student", req.student_changes, _same, dimensio
         "I-1",
         f"SELECT St_Id AS key FROM t_student JOIN ({_changed('j11s', 't_track', 'Trk_Id', 'Trk_BrId')}) n ON n.Trk_Id = St_TrkId "
         "WHERE n.Trk_BrId <> St_BrId",
-    ).replace("j11s", "(SELECT n_nationkey + 1 AS Trk_Id, 5 AS Trk_BrId, 1 AS req_id, NULL AS error_code FROM nation WHERE n_nationkey % 6 = 0)"),
+    ).replace("j11s", "(SELECT n_nationkey + 1 AS Trk_Id, 5 AS Trk_BrId, 1 AS req_id, NULL AS error_code FROM nation WHERE n_regionkey = 0)"),
 )
 def _(t):
     """Moving tracks to another branch leaves students behind; the whole-table audit finds them."""
     n = F.col("n_nationkey")
-    moves = t.file("nation").where(every(6, n)).select(
+    moves = t.file("nation").where(F.col("n_regionkey") == 0).select(
         F.lit(1).cast("long").alias("req_id"), (n + 1).cast("long").alias("Trk_Id"), F.col("n_name").alias("Trk_Name"),
         F.lit(5).cast("long").alias("Trk_BrId"),
     )

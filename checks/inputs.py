@@ -106,8 +106,13 @@ def seat_requests(t: Star) -> DataFrame:
     )
 
 
+def _orders(t: Star, status: str, key: str) -> DataFrame:
+    return t.file("orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias(key))
+
+
 def seats_already(t: Star) -> Tables:
-    return replace(t, StudentExam=t["StudentExam"].where(every(10, F.col("SE_Id"), 9)))
+    """Seats of open orders are there already."""
+    return replace(t, StudentExam=t["StudentExam"].join(_orders(t, "P", "SE_Id"), "SE_Id", "left_semi"))
 
 
 def answer_requests(t: Star) -> DataFrame:
@@ -134,8 +139,8 @@ def answer_requests(t: Star) -> DataFrame:
 
 
 def some_answers(t: Star) -> Tables:
-    """A third of the seats has answers, with grades from an earlier run."""
-    old = t["StudentAnswer"].where(every(3, F.col("Ans_SEId")))
+    """Seats of finished orders have answers, with grades from an earlier run."""
+    old = t["StudentAnswer"].join(_orders(t, "F", "Ans_SEId"), "Ans_SEId", "left_semi")
     graded = old.withColumn("Ans_Correct", every(2, F.col("Ans_Id"))).withColumn("Ans_Degree", F.lit(1))
     return replace(t, StudentAnswer=conform(graded, "StudentAnswer"))
 

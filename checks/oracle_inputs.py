@@ -189,7 +189,7 @@ SELECT SE_Id AS req_id, SE_ExmId + CASE WHEN SE_Id % 59 = 0 THEN 100000 ELSE 0 E
        CASE WHEN SE_Id % 61 = 0 THEN SE_Start ELSE SE_End END AS SE_End
 FROM t_seat""",
 )
-cte("seated", "SELECT * FROM t_seat WHERE SE_Id % 10 = 9")
+cte("seated", "SELECT * FROM t_seat WHERE SE_Id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 cte(
     "j4a",
     """
@@ -244,7 +244,7 @@ cte(
     """
 SELECT Ans_Id, Ans_SEId, Ans_QId, Ans_ChoiceId, Ans_BoolAns, Ans_TextAns, Ans_Id % 2 = 0 AS Ans_Correct,
        CAST(1 AS DECIMAL(5,2)) AS Ans_Degree, Ans_Comment
-FROM t_answer WHERE Ans_SEId % 3 = 0""",
+FROM t_answer WHERE Ans_SEId IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 cte(
     "last5",

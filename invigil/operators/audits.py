@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from invigil.functions.clock import micros_of_day
 from invigil.functions.rules import first_failing_rule, message_of
 from invigil.messages import RULES, message
 from invigil.schema import MCQ, TEXT, TF
@@ -105,6 +106,18 @@ def exam_max_degree(tables: Tables, subject: DataFrame) -> DataFrame:
     return _found(joined.where(F.col("total") > F.col("Crs_MaxDeg")), "I-5", "Exm_Id")
 
 
+def touched_exams(inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The exams whose questions a batch adds or takes away, each once."""
+    return inserted.select("EQ_ExmId").union(deleted.select("EQ_ExmId")).distinct()
+
+
+def exams_without_window(tables: Tables) -> DataFrame:
+    """Exams no seat fits into: windows compare times of day, so one that runs past midnight
+    ends before it starts."""
+    exams = tables["Exam"]
+    return exams.where(micros_of_day(F.col("Exm_Start")) >= micros_of_day(F.col("Exm_End"))).select("Exm_Id")
+
+
 @_audit("I-6", "Question")
 def question_author(tables: Tables, subject: DataFrame) -> DataFrame:
     """The author was never assigned to the question's course."""

@@ -38,7 +38,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder of this application: all it leaves behind lies in one place."""
+    return f"{scratch_root(spark)}/invigil/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

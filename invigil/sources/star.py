@@ -44,17 +44,18 @@ BRANCHES, TRACKS, INTAKES, COURSES = 5, 25, 5, 25
 LAST_SLOT = 7
 
 
-def scan(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, sf_dir: str, name: str, *spread_by: str) -> DataFrame:
     """Typed scan of one given file or folder of files.
 
-    Input that comes in fewer splits than there are cores is spread by ``spread_by``.  That
+    Input that comes in fewer splits than there are cores is spread by ``spread_by``, the
+    columns that tell its rows apart.  That
     exchange moves less than one split per core; larger input is left where it is.
     """
     df = spark.read.schema(FILES[name]).parquet(f"{sf_dir}/{name}.parquet")
     if spread_by:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, spread_by)
+            return df.repartition(cores, *spread_by)
     return df
 
 
@@ -130,8 +131,8 @@ class Star(Mapping):
     def __len__(self) -> int:
         return len(TABLES)
 
-    def file(self, name: str, spread_by: str | None = None) -> DataFrame:
-        return scan(self.spark, self.sf_dir, name, spread_by)
+    def file(self, name: str, *spread_by: str) -> DataFrame:
+        return scan(self.spark, self.sf_dir, name, *spread_by)
 
     @cached_property
     def n_suppliers(self) -> Column:
@@ -374,7 +375,7 @@ class Star(Mapping):
     @cached_property
     def Submission(self) -> DataFrame:
         """Everything students sent in, several times per question at will."""
-        lineitem = self.file("lineitem", "l_orderkey")
+        lineitem = self.file("lineitem", "l_orderkey", *_LINE)
         q, sup = F.col("EQ_QId"), F.col("l_suppkey")
         given = ~every(11, sup)
         choice = F.when(every(37, sup, 1), (q + 1) * 4).otherwise(q * 4 + F.col("l_partkey") % 4)
@@ -401,11 +402,8 @@ class Star(Mapping):
 
     @kept(bucket="Ans_SEId")
     def latest(self) -> DataFrame:
-        """The last submission per seat and place, by one combinable aggregate.
-
-        Seat and place are the join keys above, so the aggregate runs where the join left
-        the rows, without another exchange.
-        """
+        """The last submission per seat and place: a maximum, combined before any exchange, so
+        that a seat with a large share of all submissions is no burden to one task."""
         order = [F.col(c) for c in _LINE[:5]]
         rest = ["Ans_QId", "Ans_ChoiceId", "Ans_BoolAns", "Ans_TextAns", "q_type"]
         row = F.max(F.struct(*order, *rest)).alias("row")
