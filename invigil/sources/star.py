@@ -109,7 +109,7 @@ class Star(Mapping):
             table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
             if path not in _COMPLETE:
                 df = derive()
-                write_bucketed(df, table, path, bucket)
+                write_bucketed(df, table, path, bucket, self.n_buckets)
                 _COMPLETE[path] = df.schema
             return self.spark.table(table)
         if path not in _COMPLETE:
@@ -134,6 +134,14 @@ class Star(Mapping):
     def file(self, name: str, *spread_by: str) -> DataFrame:
         return scan(self.spark, self.sf_dir, name, *spread_by)
 
+    @cached_property
+    def n_buckets(self) -> int:
+        """One bucket per split of the largest input, but no more than a shuffle would have and
+        no fewer than there are cores; the same for all facts, so that they can meet."""
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        splits = self.file("lineitem").rdd.getNumPartitions()
+        return min(most, max(splits, self.spark.sparkContext.defaultParallelism))
+
     @cached_property
     def n_suppliers(self) -> Column:
         return self.file("supplier").agg(F.count("*")).scalar()

@@ -124,8 +124,8 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int
     """Write a fact as ``buckets`` files hashed by ``key``, one file each, and name it ``table``.
 
     Two facts with the same key values and number of buckets join on it without an exchange.
-    The default is the session's number of shuffle partitions, which is chosen for tasks that
-    fit in memory.
+    The default is the session's number of shuffle partitions, which is meant to be chosen so
+    that a task's share fits in memory.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid_out = df.repartition(buckets, key)
