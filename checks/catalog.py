@@ -58,6 +58,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _manual(t):
+    return exams.create_manual_exams(req.manual_exam_requests(t), req.manual_exam_lists(t), t)
+
+
+def _all_exams(t) -> store.Tables:
+    """All exams: the derived ones and those the manual requests add, which grow with the orders."""
+    more = t.keep("manual_exam", lambda: store.conform(_manual(t).exams, "Exam"))
+    questions = t.keep("manual_exam_question", lambda: _manual(t).questions)
+    return store.replace(
+        t, Exam=t["Exam"].unionByName(more), ExamQuestion=t["ExamQuestion"].unionByName(questions)
+    )
+
+
 # -- sources and sinks -------------------------------------------------------------------
 
 
@@ -209,7 +222,7 @@ def _(t):
 
 @query("i2_exam_track_branch", _violations("I-2", "SELECT Exm_Id AS key FROM exam_bad JOIN t_track ON Trk_Id = Exm_TrkId WHERE Trk_BrId <> Exm_BrId"))
 def _(t):
-    return audits.AUDITS["I-2"](req.bad_exams(t), None)
+    return audits.AUDITS["I-2"](req.bad_exams(_all_exams(t)), None)
 
 
 @query(
@@ -228,24 +241,24 @@ def _(t):
     "i4_exam_question_course",
     _violations(
         "I-4",
-        "SELECT EQ_Id AS key FROM eq_bad JOIN t_exam ON Exm_Id = EQ_ExmId JOIN t_assignment ON Asg_Id = Exm_AsgId "
+        "SELECT EQ_Id AS key FROM eq_bad JOIN all_exam ON Exm_Id = EQ_ExmId JOIN t_assignment ON Asg_Id = Exm_AsgId "
         "JOIN t_question ON Q_Id = EQ_QId WHERE Q_CrsId <> Asg_CrsId",
     ),
 )
 def _(t):
-    return audits.AUDITS["I-4"](req.bad_exam_questions(t), None)
+    return audits.AUDITS["I-4"](req.bad_exam_questions(_all_exams(t), t.file("part")), None)
 
 
 @query(
     "i5_exam_max_degree",
     _violations(
         "I-5",
-        "SELECT Exm_Id AS key FROM t_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId "
-        "WHERE (SELECT coalesce(sum(EQ_Degree), 0) FROM t_examquestion WHERE EQ_ExmId = Exm_Id) > Crs_MaxDeg",
+        "SELECT Exm_Id AS key FROM all_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId "
+        "WHERE (SELECT coalesce(sum(EQ_Degree), 0) FROM all_eq WHERE EQ_ExmId = Exm_Id) > Crs_MaxDeg",
     ),
 )
 def _(t):
-    return audits.AUDITS["I-5"](t, None)
+    return audits.AUDITS["I-5"](_all_exams(t), None)
 
 
 @query(
@@ -280,9 +293,9 @@ def _(t):
     return audits.AUDITS["I-5"](store.replace(t, ExamQuestion=after), touched)
 
 
-@query("i2_exam_admits_nobody", "SELECT Exm_Id FROM t_exam WHERE epoch_us(Exm_Start) % 86400000000 >= epoch_us(Exm_End) % 86400000000")
+@query("i2_exam_admits_nobody", "SELECT Exm_Id FROM all_exam WHERE epoch_us(Exm_Start) % 86400000000 >= epoch_us(Exm_End) % 86400000000")
 def _(t):
-    return audits.exams_without_window(t)
+    return audits.exams_without_window(_all_exams(t))
 
 
 @query("i7_tf_type", _violations("I-7", "SELECT Q_Id AS key FROM t_question WHERE Q_Type = 'MCQ' AND Q_Id % 13 = 0"))
@@ -369,19 +382,12 @@ def _(t):
 @query(
     "f1_exam_total_degree",
     """
-SELECT Exm_Id, CAST(coalesce(sum(d), 0) AS DECIMAL(10,2)) AS TotalDegree FROM (
-  SELECT Exm_Id, EQ_Degree AS d FROM t_exam LEFT JOIN t_examquestion ON EQ_ExmId = Exm_Id
-  UNION ALL SELECT Exm_Id, l3.degree FROM new3 LEFT JOIN l3 ON l3.req_id = new3.req_id) GROUP BY Exm_Id""",
+SELECT e.Exm_Id, CAST(coalesce(sum(EQ_Degree), 0) AS DECIMAL(10,2)) AS TotalDegree
+FROM all_exam e LEFT JOIN all_eq ON EQ_ExmId = e.Exm_Id GROUP BY e.Exm_Id""",
 )
 def _(t):
-    """Over all exams and the manual ones, some of which have no question."""
-    new = _manual(t)
-    both = store.replace(
-        t,
-        Exam=t["Exam"].unionByName(store.conform(new.exams, "Exam")),
-        ExamQuestion=t["ExamQuestion"].unionByName(new.questions),
-    )
-    return views.exam_total_degree(both)
+    """Over all exams, some of which have no question."""
+    return views.exam_total_degree(_all_exams(t))
 
 
 _KEEP_END = "regexp_replace(translate(lower(trim({})), chr(9) || chr(10) || chr(13), '   '), ' {{2,}}', ' ', 'g')"
@@ -457,9 +463,6 @@ def _(t):
     return exams.generate_random_exams(req.random_exam_requests(t), t, 7).rejected
 
 
-def _manual(t):
-    return exams.create_manual_exams(req.manual_exam_requests(t), req.manual_exam_lists(t), t)
-
 
 @query("p3_manual_exam", f"SELECT {_EXAM} FROM new3")
 def _(t):
@@ -663,13 +666,13 @@ def _(t):
     """
 SELECT Exm_Id, Crs_Name, Exm_Type, Br_Name, Trk_Name, CAST(Exm_Start AS VARCHAR) AS Exm_Start, CAST(Exm_End AS VARCHAR) AS Exm_End,
        Exm_TotalTime
-FROM t_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
+FROM all_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
 JOIN t_branch ON Br_Id = Exm_BrId JOIN t_track ON Trk_Id = Exm_TrkId
-WHERE Exm_Type = 'Corrective' AND CAST(Exm_Start AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+WHERE Exm_Type = 'Corrective' AND CAST(Exm_Start AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-02-10'""",
 )
 def _(t):
     return searches.search_exams(
-        t, exam_type="Corrective", from_date=dt.date(2024, 1, 5), to_date=dt.date(2024, 1, 20)
+        _all_exams(t), exam_type="Corrective", from_date=dt.date(2024, 1, 5), to_date=dt.date(2024, 2, 10)
     )
 
 
@@ -701,13 +704,13 @@ def _(t):
     """
 SELECT Exm_Id, Exm_Type, Crs_Name, Ins_Name, Exm_IntId, Int_Name, Exm_BrId, Br_Name, Exm_TrkId, Trk_Name,
        CAST(Exm_Start AS VARCHAR) AS Exm_Start, CAST(Exm_End AS VARCHAR) AS Exm_End, Exm_TotalTime, Exm_Allowance,
-       CAST((SELECT coalesce(sum(EQ_Degree), 0) FROM t_examquestion WHERE EQ_ExmId = Exm_Id) AS DECIMAL(10,2)) AS TotalDegree
-FROM t_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
+       CAST((SELECT coalesce(sum(EQ_Degree), 0) FROM all_eq WHERE EQ_ExmId = Exm_Id) AS DECIMAL(10,2)) AS TotalDegree
+FROM all_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
 JOIN t_instructor ON Ins_Id = Asg_InsId JOIN t_intake ON Int_Id = Exm_IntId JOIN t_branch ON Br_Id = Exm_BrId
 JOIN t_track ON Trk_Id = Exm_TrkId""",
 )
 def _(t):
-    return views.exam_details(t)
+    return views.exam_details(_all_exams(t))
 
 
 @query(
@@ -737,10 +740,10 @@ def _(t):
 
 @query(
     "v5_exam_questions",
-    "SELECT EQ_Id, EQ_ExmId, EQ_QId, Q_Type, Q_Text, EQ_Degree FROM t_examquestion JOIN t_question ON Q_Id = EQ_QId",
+    "SELECT EQ_Id, EQ_ExmId, EQ_QId, Q_Type, Q_Text, EQ_Degree FROM all_eq JOIN t_question ON Q_Id = EQ_QId",
 )
 def _(t):
-    return views.exam_questions(t)
+    return views.exam_questions(_all_exams(t))
 
 
 # -- stream ------------------------------------------------------------------------------

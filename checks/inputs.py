@@ -277,17 +277,17 @@ def student_changes(t: Star) -> DataFrame:
 # -- rule-breaking tables ----------------------------------------------------------------
 
 
-def _swap(t: Star, name: str, df: DataFrame) -> dict:
+def _swap(t: Tables, name: str, df: DataFrame) -> dict:
     return replace(t, **{name: conform(df, name)})
 
 
-def bad_exams(t: Star) -> Tables:
+def bad_exams(t: Tables) -> Tables:
     branch = F.when(every(499, F.col("Exm_Id")), F.col("Exm_BrId") % 5 + 1).otherwise(F.col("Exm_BrId"))
     return _swap(t, "Exam", t["Exam"].withColumn("Exm_BrId", branch))
 
 
-def bad_exam_questions(t: Star) -> Tables:
-    n = t.file("part").agg(F.count("*")).scalar()
+def bad_exam_questions(t: Tables, part: DataFrame) -> Tables:
+    n = part.agg(F.count("*")).scalar()
     hit = every(97, F.col("EQ_ExmId") + F.col("EQ_QId"))
     moved = F.when(hit, (F.col("EQ_QId") + 1) % n).otherwise(F.col("EQ_QId"))
     return _swap(t, "ExamQuestion", t["ExamQuestion"].withColumn("EQ_QId", moved))

@@ -179,6 +179,16 @@ SELECT (SELECT max(Exm_Id) FROM t_exam) + row_number() OVER (ORDER BY req_id) AS
 FROM j3 WHERE error_code IS NULL""",
 )
 
+_HEADER = "Exm_Id, Exm_AsgId, Exm_Type, Exm_IntId, Exm_BrId, Exm_TrkId, Exm_Start, Exm_End, Exm_TotalTime, Exm_Allowance"
+cte("all_exam", f"SELECT {_HEADER} FROM t_exam UNION ALL SELECT {_HEADER} FROM new3")
+cte(
+    "all_eq",
+    """
+SELECT EQ_Id, EQ_ExmId, EQ_QId, EQ_Degree FROM t_examquestion
+UNION ALL SELECT (SELECT max(EQ_Id) FROM t_examquestion) + row_number() OVER (ORDER BY Exm_Id, QId), Exm_Id, QId, l3.degree
+FROM new3 JOIN l3 ON l3.req_id = new3.req_id""",
+)
+
 # -- seats -------------------------------------------------------------------------------
 
 cte(
@@ -481,12 +491,12 @@ FROM j14a a LEFT JOIN first14 f ON f.St_Email = a.St_Email""",
 
 # -- rule-breaking tables ----------------------------------------------------------------
 
-cte("exam_bad", "SELECT * REPLACE (CASE WHEN Exm_Id % 499 = 0 THEN Exm_BrId % 5 + 1 ELSE Exm_BrId END AS Exm_BrId) FROM t_exam")
+cte("exam_bad", "SELECT * REPLACE (CASE WHEN Exm_Id % 499 = 0 THEN Exm_BrId % 5 + 1 ELSE Exm_BrId END AS Exm_BrId) FROM all_exam")
 cte(
     "eq_bad",
     """
 SELECT * REPLACE (CASE WHEN (EQ_ExmId + EQ_QId) % 97 = 0 THEN (EQ_QId + 1) % (SELECT count(*) FROM part) ELSE EQ_QId END AS EQ_QId)
-FROM t_examquestion""",
+FROM all_eq""",
 )
 cte(
     "choice_bad",

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def kept(function: Callable[[Star], DataFrame] | None = None, *, bucket: str | N
 
     def wrap(derive):
         def get(self: Star) -> DataFrame:
-            return self._keep(derive.__name__, bucket, lambda: derive(self))
+            return self.keep(derive.__name__, lambda: derive(self), bucket)
 
         get.__doc__ = derive.__doc__
         return cached_property(get)
@@ -85,6 +86,7 @@ def kept(function: Callable[[Star], DataFrame] | None = None, *, bucket: str | N
 # Where each (application, input folder) keeps its tables, and which are complete.
 _FOLDERS: dict[tuple[str, str], str] = {}
 _COMPLETE: dict[str, T.StructType] = {}
+_WRITING = RLock()
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Star:
@@ -101,22 +103,24 @@ class Star(Mapping):
         self.spark, self.sf_dir, self.folder = spark, sf_dir, folder
         self._tables: dict[str, DataFrame] = {}
 
-    def _keep(self, name: str, bucket: str | None, derive: Callable[[], DataFrame]) -> DataFrame:
+    def keep(self, name: str, derive: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:
+        """``derive()``, or in a stored Star the table it was written to the first time.
+
+        What an attempt that failed left behind is overwritten by the next one.
+        """
         if self.folder is None:
             return derive()
         path = f"{self.folder}/{name}"
-        if bucket:
-            table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
+        table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
+        with _WRITING:
             if path not in _COMPLETE:
                 df = derive()
-                write_bucketed(df, table, path, bucket, self.n_buckets)
+                if bucket:
+                    write_bucketed(df, table, path, bucket, self.n_buckets)
+                else:
+                    df.write.mode("overwrite").parquet(path)
                 _COMPLETE[path] = df.schema
-            return self.spark.table(table)
-        if path not in _COMPLETE:
-            df = derive()
-            df.write.parquet(path)
-            _COMPLETE[path] = df.schema
-        return self.spark.read.schema(_COMPLETE[path]).parquet(path)
+        return self.spark.table(table) if bucket else self.spark.read.schema(_COMPLETE[path]).parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:

@@ -129,7 +129,8 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid_out = df.repartition(buckets, key)
-    laid_out.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    writer = laid_out.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
 
 
 def snapshot_tables(
