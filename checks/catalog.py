@@ -361,6 +361,22 @@ def _(t):
     return constraints.unique_violations(req.broken_keys(t))
 
 
+@query(
+    "i1_to_i10_summary",
+    f"""
+SELECT rule, message, count(*) AS n_rows, min(key) AS first_key FROM (
+  {_violations("I-1", "SELECT St_Id AS key FROM t_student JOIN t_track ON Trk_Id = St_TrkId WHERE Trk_BrId <> St_BrId")}
+  UNION ALL {_violations("I-3", "SELECT SE_Id AS key FROM t_seat JOIN t_exam ON Exm_Id = SE_ExmId JOIN t_student ON St_Id = SE_StId WHERE (St_IntId, St_BrId, St_TrkId) <> (Exm_IntId, Exm_BrId, Exm_TrkId)")}
+  UNION ALL {_violations("I-5", "SELECT Exm_Id AS key FROM t_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId WHERE (SELECT sum(EQ_Degree) FROM t_examquestion WHERE EQ_ExmId = Exm_Id) > Crs_MaxDeg")}
+  UNION ALL {_violations("I-6", "SELECT Q_Id AS key FROM t_question WHERE (Q_CrsId, Q_CreatedBy) NOT IN (SELECT Asg_CrsId, Asg_InsId FROM t_assignment)")}
+  UNION ALL {_violations("I-10b", "SELECT Ans_Id AS key FROM t_answer LEFT JOIN t_choice ON Ch_Id = Ans_ChoiceId WHERE Ans_ChoiceId IS NOT NULL AND Ch_QId IS DISTINCT FROM Ans_QId")}
+) GROUP BY rule, message""",
+)
+def _(t):
+    """All cross-table rules over the tables as they are; the rules not listed find nothing."""
+    return audits.batch_verdict(audits.run_audits(t))
+
+
 @query("i13_one_correct_choice", "SELECT Ch_QId, count(*) AS n_rows FROM choice_bad WHERE Ch_Correct GROUP BY Ch_QId HAVING count(*) > 1")
 def _(t):
     return constraints.correct_choice_violations(req.bad_choices(t))
@@ -651,6 +667,16 @@ def _(t):
     return searches.search_students(t, name="#%1_5", branch=2)
 
 
+@query(
+    "p15_search_students_ci",
+    """
+SELECT St_Id, St_Name, St_Email, St_Phone, Br_Name, Trk_Name, Int_Name FROM t_student JOIN t_branch ON Br_Id = St_BrId
+JOIN t_track ON Trk_Id = St_TrkId JOIN t_intake ON Int_Id = St_IntId WHERE St_Name ILIKE '%MER#%7%' AND St_IntId = 3""",
+)
+def _(t):
+    return searches.search_students(t, name="MER#%7", intake=3, ci=True)
+
+
 @query(
     "p15_search_students_all",
     """

@@ -29,10 +29,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; every run works in a new folder below it."""
-    root = spark.conf.get(_SCRATCH, None) or spark.sparkContext.getConf().get(_SCRATCH)
+    context = spark.sparkContext
+    root = spark.conf.get(_SCRATCH, None) or context.getConf().get(_SCRATCH) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_SCRATCH} to a folder that all executors can reach")
     return "/tmp/invigil-scratch"
 

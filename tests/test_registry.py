@@ -9,13 +9,15 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from checks import inputs as req
 from checks.compare import compare, database
 from invigil.operators import answers, audits, constraints, exams, grading
+from invigil.operators.sampling import sample_n_per_group
 from invigil.plans import views
-from invigil.sources.star import Star
+from invigil.sources.star import Star, stored
 
 DIR = "/root/testdata/sf0.001"
 SOME = [
@@ -70,3 +72,30 @@ def test_plans_stay_in_the_engine_and_apart(spark, name):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan
     assert not re.search(r"Window \[[^\]]*\], \[[^\]]*\]\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan)
+
+
+def test_latest_answer_is_combined_before_the_exchange(spark):
+    requests = req.answer_requests(Star(spark, DIR))
+    plan = answers.latest_answers(requests)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max(struct(submitted_at" in plan
+
+
+def test_sampling_keeps_n_rows_per_task(spark):
+    sample = sample_n_per_group(Star(spark, DIR)["Question"], ["Q_CrsId", "Q_Type"], "Q_Id", 3, 1)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange(.|\n)*WindowGroupLimit[^\n]*Partial", plan)
+
+
+def test_seats_meet_their_answers_without_an_exchange(spark):
+    """Also when nothing is small enough to broadcast."""
+    tables = stored(spark, DIR)
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for key in limits:
+            spark.conf.set(key, "-1")
+        seats = tables["StudentExam"].join(tables["StudentAnswer"], F.col("SE_Id") == F.col("Ans_SEId"), "left")
+        plan = seats.groupBy("SE_Id").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
