@@ -6,6 +6,7 @@ Dates and timestamps leave as text, so both engines hand over the same values.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import string
 from collections.abc import Callable
 
@@ -64,13 +65,23 @@ def _manual(t):
 
 def _all_exams(t) -> store.Tables:
     """All exams: the derived ones and those the manual requests add, which grow with the orders."""
-    more = t.keep("manual_exam", lambda: store.conform(_manual(t).exams, "Exam"))
-    questions = t.keep("manual_exam_question", lambda: _manual(t).questions)
+    new = functools.cache(lambda: _manual(t))
+    more = t.keep("manual_exam", lambda: store.conform(new().exams, "Exam"))
+    questions = t.keep("manual_exam_question", lambda: new().questions)
     return store.replace(
         t, Exam=t["Exam"].unionByName(more), ExamQuestion=t["ExamQuestion"].unionByName(questions)
     )
 
 
+def _graded(t) -> store.Tables:
+    """The tables after all seats have been graded."""
+    return store.replace(
+        t,
+        StudentAnswer=t.keep("graded_answer", lambda: grading.grade_answers(t), "Ans_SEId"),
+        StudentExam=t.keep("graded_seat", lambda: grading.store_results(t["StudentExam"], grading.final_results(t)), "SE_Id"),
+    )
+
+
 # -- sources and sinks -------------------------------------------------------------------
 
 
@@ -553,9 +564,7 @@ def _(t):
 
 
 def _marked(t):
-    graded = store.replace(t, StudentAnswer=grading.grade_answers(t))
-    graded = store.replace(graded, StudentExam=grading.store_results(t["StudentExam"], grading.final_results(t)))
-    return grading.mark_answers(req.marks(t), graded)
+    return grading.mark_answers(req.marks(t), _graded(t))
 
 
 @query("p7_mark_answer", "SELECT Ans_Id, Ans_SEId, Ans_QId, Ans_TextAns, Ans_Correct, Ans_Degree, Ans_Comment FROM marked")
@@ -748,8 +757,7 @@ FROM t_seat JOIN results USING (SE_Id) JOIN t_student ON St_Id = SE_StId JOIN t_
 JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId""",
 )
 def _(t):
-    seats = grading.store_results(t["StudentExam"], grading.final_results(t))
-    return views.student_results(store.replace(t, StudentExam=seats))
+    return views.student_results(_graded(t))
 
 
 @query(
@@ -761,7 +769,7 @@ FROM graded g JOIN t_answer a ON a.Ans_Id = g.Ans_Id JOIN t_seat ON SE_Id = g.An
 JOIN t_question ON Q_Id = g.Ans_QId JOIN t_text ON Txt_QId = Q_Id JOIN t_examquestion ON EQ_ExmId = SE_ExmId AND EQ_QId = Q_Id""",
 )
 def _(t):
-    return views.text_answers_for_review(store.replace(t, StudentAnswer=grading.grade_answers(t)))
+    return views.text_answers_for_review(_graded(t))
 
 
 @query(
@@ -776,11 +784,11 @@ def _(t):
 
 
 def _streamed(t):
-    """Submissions laid down as files in no order of time, read back a few files per batch."""
+    """The files of the incoming batch, in no order of time, a few files per micro-batch."""
     root = new_folder(t.spark, "stream")
-    req.answer_requests(t).repartition(6, "req_id").write.parquet(f"{root}/in")
+    req.answer_requests(t)
     tables = req.some_answers(t)
-    submissions = stream.read_submissions(t.spark, f"{root}/in", files_per_batch=2)
+    submissions = stream.read_submissions(t.spark, t.path("answer_request"), files_per_batch=3)
     stream.stream_answers(submissions, tables, f"{root}/log", f"{root}/checkpoint")
     return stream.collect_answers(t.spark, f"{root}/log", tables)
 

@@ -78,6 +78,10 @@ def manual_exam_requests(t: Star) -> DataFrame:
 
 
 def manual_exam_lists(t: Star) -> DataFrame:
+    return t.keep("manual_exam_list", lambda: _manual_exam_lists(t))
+
+
+def _manual_exam_lists(t: Star) -> DataFrame:
     o = F.col("l_orderkey")
     line = t.file("lineitem").select(
         o.alias("req_id"),
@@ -116,6 +120,10 @@ def seats_already(t: Star) -> Tables:
 
 
 def answer_requests(t: Star) -> DataFrame:
+    return t.keep("answer_request", lambda: _answer_requests(t))
+
+
+def _answer_requests(t: Star) -> DataFrame:
     sup = F.col("l_suppkey")
     req = F.concat_ws(
         "-",

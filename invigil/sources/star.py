@@ -110,7 +110,7 @@ class Star(Mapping):
         """
         if self.folder is None:
             return derive()
-        path = f"{self.folder}/{name}"
+        path = self.path(name)
         table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
         with _WRITING:
             if path not in _COMPLETE:
@@ -122,6 +122,9 @@ class Star(Mapping):
                 _COMPLETE[path] = df.schema
         return self.spark.table(table) if bucket else self.spark.read.schema(_COMPLETE[path]).parquet(path)
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(name)
