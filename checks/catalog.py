@@ -78,7 +78,7 @@ def _graded(t) -> store.Tables:
     return store.replace(
         t,
         StudentAnswer=t.keep("graded_answer", lambda: grading.grade_answers(t), "Ans_SEId"),
-        StudentExam=t.keep("graded_seat", lambda: grading.store_results(t["StudentExam"], grading.final_results(t)), "SE_Id"),
+        StudentExam=t.keep("graded_seat", lambda: grading.store_results(t["StudentExam"], grading.final_results(t))),
     )
 
 

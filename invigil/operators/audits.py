@@ -156,13 +156,14 @@ def answer_rules(tables: Tables, answers: DataFrame, seat_known: bool = False) -
     """``answers`` beside what the answer rules look at, and the rules in order.
 
     Columns of ``answers`` are left alone; ``seat_known`` says that it has the seat's
-    ``SE_Id`` and ``SE_ExmId`` already.  An answer without a choice can match none, so
+    ``SE_Id`` and ``SE_ExmId`` already.  The looked-up tables have unique keys (I-12) and go
+    straight into their joins, which lets Spark split the partition of a hot key.  An answer without a choice can match none, so
     those rows are spread by their own key instead of meeting in one partition.
     """
     if not seat_known:
         seats = tables["StudentExam"].select("SE_Id", "SE_ExmId")
         answers = answers.join(seats, F.col("Ans_SEId") == F.col("SE_Id"), "left")
-    on_paper = tables["ExamQuestion"].select("EQ_ExmId", "EQ_QId").distinct()
+    on_paper = tables["ExamQuestion"].select("EQ_ExmId", "EQ_QId")
     types = tables["Question"].select("Q_Id", "Q_Type")
     choices = tables["MCQChoice"].select("Ch_Id", "Ch_QId")
     spread = F.coalesce("Ans_ChoiceId", F.xxhash64("Ans_SEId", "Ans_QId"))

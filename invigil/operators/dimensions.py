@@ -92,11 +92,17 @@ def _keyed(df: DataFrame, table: str, key: Sequence[str], ci: bool, prefix: str)
 
 
 def _reject_taken(judged: DataFrame, existing: DataFrame, entry: Entry, ci: bool, own: str | None) -> DataFrame:
-    """I-12 where a unique key is held by an existing row, other than the row itself (``own``)."""
+    """I-12 where a unique key is held by an existing row, other than the row itself (``own``).
+
+    A key has one holder, so the rows go straight into the join, which lets Spark split the
+    partition of a key that many requests ask for.  Only without case can a key have several.
+    """
     spec = TABLES[entry.table]
     for key in entry.unique:
         names = [f"_t{i}" for i in range(len(key))]
-        held = _keyed(existing, entry.table, key, ci, "_t").groupBy(*names).agg(F.min(spec.key).alias("_holder"))
+        held = _keyed(existing, entry.table, key, ci, "_t").select(*names, F.col(spec.key).alias("_holder"))
+        if ci:
+            held = held.groupBy(*names).agg(F.min("_holder").alias("_holder"))
         asked = _keyed(judged, entry.table, key, ci, "_k")
         same = [F.col(f"_k{i}") == F.col(f"_t{i}") for i in range(len(key))]
         joined = asked.join(held, same, "left")
@@ -189,6 +195,7 @@ def judge_merge(requests: DataFrame, tables: Tables, table: str, ci: bool = Fals
         .agg(F.min_by(spec.key, "req_id").alias("_holder"))
         .withColumnsRenamed({c: f"_c{c}" for c in names})
     )
+    claims = stage(claims, "claims")
     same = [F.col(c) == F.col(f"_c{c}") for c in names]
     late = F.col("_real") & F.col(ERROR).isNull() & (F.col("_holder") != F.col(spec.key))
     return (

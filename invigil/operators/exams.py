@@ -262,7 +262,7 @@ def judge_seats(requests: DataFrame, tables: Tables) -> DataFrame:
     """``requests(req_id, SE_ExmId, SE_StId, SE_Date, SE_Start, SE_End)`` with ``error_code``."""
     exams = tables["Exam"].select("Exm_Id", "Exm_IntId", "Exm_BrId", "Exm_TrkId", "Exm_Start", "Exm_End")
     students = tables["Student"].select("St_Id", "St_IntId", "St_BrId", "St_TrkId")
-    taken = tables["StudentExam"].select(F.col("SE_ExmId").alias("_exam"), F.col("SE_StId").alias("_student")).distinct()
+    taken = tables["StudentExam"].select(F.col("SE_ExmId").alias("_exam"), F.col("SE_StId").alias("_student"))
     joined = (
         requests.join(exams, F.col("SE_ExmId") == F.col("Exm_Id"), "left")
         .join(students, F.col("SE_StId") == F.col("St_Id"), "left")

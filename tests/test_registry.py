@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registered
 from checks import inputs as req
 from checks.compare import compare, database
+from checks.skew import skewed_copy
 from invigil.operators import answers, audits, constraints, exams, grading
 from invigil.operators.sampling import sample_n_per_group
 from invigil.plans import views
@@ -39,6 +40,19 @@ def test_query_agrees_with_sql(spark, con, key):
     assert compare(spark, con, key, registered.queries()[key], registered.oracle_sql().get(key), DIR)
 
 
+@pytest.fixture(scope="module")
+def skewed(tmp_path_factory):
+    return skewed_copy(DIR, str(tmp_path_factory.mktemp("skewed")))
+
+
+@pytest.mark.parametrize(
+    "key",
+    ["p2_random_exam_questions", "p3_manual_exam_questions", "p4_assign_student", "p5_save_answer", "p6_final_results", "i12_unique"],
+)
+def test_query_agrees_with_sql_when_one_key_holds_a_third_of_the_rows(spark, skewed, key):
+    assert compare(spark, database(skewed), key, registered.queries()[key], registered.oracle_sql()[key], skewed)
+
+
 def test_every_query_has_sql():
     assert set(registered.queries()) == set(registered.oracle_sql())
 
@@ -99,3 +113,28 @@ def test_seats_meet_their_answers_without_an_exchange(spark):
         for key in limits:
             spark.conf.unset(key)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_hot_seat_question_and_choice_are_split(spark, skewed):
+    """Submissions that crowd on one seat, with thresholds scaled down to the test's size."""
+    t = stored(spark, skewed)
+    requests, tables = req.answer_requests(t), req.some_answers(t)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5KB",
+    }
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        judged = answers.judge_answers(requests, tables)
+        judged.collect()
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    final = plan.split("== Initial Plan ==")[0]
+    for key in ("[Ans_SEId#", "[SE_ExmId#", "[Ans_QId#", "[coalesce(Ans_ChoiceId#"):
+        assert f"SortMergeJoin(skew=true) {key}" in final
