@@ -94,23 +94,24 @@ def _keyed(df: DataFrame, table: str, key: Sequence[str], ci: bool, prefix: str)
 def _reject_taken(judged: DataFrame, existing: DataFrame, entry: Entry, ci: bool, own: str | None) -> DataFrame:
     """I-12 where a unique key is held by an existing row, other than the row itself (``own``).
 
-    A key has one holder, so the rows go straight into the join, which lets Spark split the
-    partition of a key that many requests ask for.  Only without case can a key have several.
+    The holders of the keys that are asked for are written down first, one per key: their
+    table then goes straight into the join, which lets Spark split the partition of a key
+    that many requests ask for.
     """
     spec = TABLES[entry.table]
-    for key in entry.unique:
-        names = [f"_t{i}" for i in range(len(key))]
-        held = _keyed(existing, entry.table, key, ci, "_t").select(*names, F.col(spec.key).alias("_holder"))
-        if ci:
-            held = held.groupBy(*names).agg(F.min("_holder").alias("_holder"))
-        asked = _keyed(judged, entry.table, key, ci, "_k")
-        same = [F.col(f"_k{i}") == F.col(f"_t{i}") for i in range(len(key))]
-        joined = asked.join(held, same, "left")
+    judged = stage(judged, "requests")
+    for n, key in enumerate(entry.unique):
+        names = [f"_k{n}_{i}" for i in range(len(key))]
+        judged = _keyed(judged, entry.table, key, ci, f"_k{n}_")
+        wanted = judged.select(*names).distinct()
+        held = _keyed(existing, entry.table, key, ci, f"_k{n}_").join(wanted, names, "left_semi")
+        held = held.groupBy(*names).agg(F.min(spec.key).alias("_holder")).withColumnsRenamed({c: f"_t{c}" for c in names})
+        joined = judged.join(stage(held, "held"), [F.col(c) == F.col(f"_t{c}") for c in names], "left")
         taken = F.col("_holder").isNotNull()
         if own:
             taken = taken & (F.col("_holder") != F.col(own))
         judged = joined.withColumn(ERROR, F.when(F.col(ERROR).isNull() & taken, "I-12").otherwise(F.col(ERROR)))
-        judged = judged.drop(*names, "_holder", *[f"_k{i}" for i in range(len(key))])
+        judged = judged.drop("_holder", *names, *[f"_t{c}" for c in names])
     return judged
 
 
@@ -119,12 +120,12 @@ def judge_ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = Fal
     entry = ADD[table]
     joined, rules = _rules(requests, tables, entry)
     judged = judge(joined, rules).select(*requests.columns, ERROR)
-    judged = _reject_taken(judged, tables[table], entry, ci, None)
-    if len(entry.unique) == 1:
-        key = entry.unique[0]
-        names = [f"_k{i}" for i in range(len(key))]
-        return first_per_key(stage(_keyed(judged, table, key, ci, "_k"), "requests"), names).drop(*names)
-    return _in_turn(judged, entry, ci)
+    if len(entry.unique) > 1:
+        return _in_turn(_reject_taken(judged, tables[table], entry, ci, None), entry, ci)
+    key = entry.unique[0]
+    names = [f"_k{i}" for i in range(len(key))]
+    keyed = stage(_keyed(judged, table, key, ci, "_k"), "requests")
+    return first_per_key(keyed, names, _keyed(tables[table], table, key, ci, "_k")).drop(*names)
 
 
 def _in_turn(judged: DataFrame, entry: Entry, ci: bool) -> DataFrame:

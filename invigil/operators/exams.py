@@ -244,16 +244,22 @@ class NewSeats(NamedTuple):
     rejected: DataFrame
 
 
-def first_per_key(judged: DataFrame, keys: Iterable[str], owner: str = "req_id") -> DataFrame:
-    """Reject (I-12) each request still in the race that is not the first for its key.
-
-    The winners are the least ``owner`` per key, combined before the exchange, and meet the
-    requests again on the unique ``req_id``: one key may hold any share of the requests.
+def first_per_key(
+    judged: DataFrame, keys: Iterable[str], held: DataFrame | None = None, owner: str = "req_id"
+) -> DataFrame:
+    """Reject (I-12) each request still in the race that is not the first for its key, or
+    whose key is in ``held``, a table with the columns ``keys``.
+
+    The winners are the least ``owner`` per key, combined before the exchange; one per key
+    is left to compare with ``held``, and it meets the requests again on the unique
+    ``req_id``.  So one key may hold any share of the requests.
     """
     keys = list(keys)
-    open_ = judged.where(F.col(ERROR).isNull())
-    winners = open_.groupBy(*keys).agg(F.min(owner).alias("_winner")).select("_winner")
-    marked = judged.join(winners, F.col(owner) == F.col("_winner"), "left")
+    winners = judged.where(F.col(ERROR).isNull()).groupBy(*keys).agg(F.min(owner).alias("_winner"))
+    if held is not None:
+        taken = held.select(*[F.col(k).alias(f"_held_{k}") for k in keys])
+        winners = winners.join(taken, [F.col(k) == F.col(f"_held_{k}") for k in keys], "left_anti")
+    marked = judged.join(winners.select("_winner"), F.col(owner) == F.col("_winner"), "left")
     late = F.col(ERROR).isNull() & F.col("_winner").isNull()
     return marked.withColumn(ERROR, F.when(late, "I-12").otherwise(F.col(ERROR))).drop("_winner")
 
@@ -262,11 +268,8 @@ def judge_seats(requests: DataFrame, tables: Tables) -> DataFrame:
     """``requests(req_id, SE_ExmId, SE_StId, SE_Date, SE_Start, SE_End)`` with ``error_code``."""
     exams = tables["Exam"].select("Exm_Id", "Exm_IntId", "Exm_BrId", "Exm_TrkId", "Exm_Start", "Exm_End")
     students = tables["Student"].select("St_Id", "St_IntId", "St_BrId", "St_TrkId")
-    taken = tables["StudentExam"].select(F.col("SE_ExmId").alias("_exam"), F.col("SE_StId").alias("_student"))
-    joined = (
-        requests.join(exams, F.col("SE_ExmId") == F.col("Exm_Id"), "left")
-        .join(students, F.col("SE_StId") == F.col("St_Id"), "left")
-        .join(taken, (F.col("SE_ExmId") == F.col("_exam")) & (F.col("SE_StId") == F.col("_student")), "left")
+    joined = requests.join(exams, F.col("SE_ExmId") == F.col("Exm_Id"), "left").join(
+        students, F.col("SE_StId") == F.col("St_Id"), "left"
     )
     belongs = (
         (F.col("St_IntId") == F.col("Exm_IntId"))
@@ -285,10 +288,9 @@ def judge_seats(requests: DataFrame, tables: Tables) -> DataFrame:
         ("50202", end <= start),
         ("50203", outside),
         violates_required("StudentExam", ["SE_Date", "SE_Start", "SE_End"]),
-        ("I-12", F.col("_exam").isNotNull()),
     ]
     judged = judge(joined, rules).select(*requests.columns, ERROR)
-    return first_per_key(stage(judged, "seat-requests"), ["SE_ExmId", "SE_StId"])
+    return first_per_key(stage(judged, "seat-requests"), ["SE_ExmId", "SE_StId"], tables["StudentExam"])
 
 
 def assign_seats(requests: DataFrame, tables: Tables) -> NewSeats:
