@@ -28,14 +28,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; every run works in a new folder below it."""
+    """The shared folder the cluster names, else one in the warehouse, which is shared as well.
+
+    The same on any master; every run works in a new folder below it.
+    """
     context = spark.sparkContext
     root = spark.conf.get(_SCRATCH, None) or context.getConf().get(_SCRATCH) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {_SCRATCH} to a folder that all executors can reach")
-    return "/tmp/invigil-scratch"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
