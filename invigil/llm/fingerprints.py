@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 10
 DENSE, SIGNS = 4, 2
 _SENTENCE = r"\n|(?<=[.!?]) "
-_LOW = F.lit(0xFFFFFFFF)
+_LOW = 0xFFFFFFFF
 
 
 def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -38,17 +38,17 @@ def with_vectors(df: DataFrame, text: str, out: str) -> DataFrame:
 
     dense, packed = [], []
     for k in range(DENSE):
-        dense.append(total(k, lambda h: h.bitwiseAND(_LOW)))
+        dense.append(total(k, lambda h: h.bitwiseAND(F.lit(_LOW))))
         dense.append(total(k, lambda h: F.shiftrightunsigned(h, 32)))
     for k in range(DENSE, DENSE + SIGNS):
         # Bits i and i + 32 of a hash are counted in the two halves of one number.
         for i in range(32):
             packed.append(total(k, lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(0x100000001))))
     df = df.withColumn("_dense", F.array(*dense)).withColumn("_packed", F.array(*packed))
-    ones = F.flatten(F.transform("_packed", lambda p: F.array(p.bitwiseAND(_LOW), F.shiftrightunsigned(p, 32))))
+    ones = F.flatten(F.transform("_packed", lambda p: F.array(p.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(p, 32))))
     n = F.size("_units").cast("long")
     lanes = F.transform(ones, lambda o: ((2 * o - n + 32768).bitwiseAND(F.lit(65535)) - 32768).cast("smallint"))
-    vectors = F.struct(F.transform("_dense", lambda x: x.bitwiseAND(_LOW)).alias("dense"), lanes.alias("lanes"))
+    vectors = F.struct(F.transform("_dense", lambda x: x.bitwiseAND(F.lit(_LOW))).alias("dense"), lanes.alias("lanes"))
     df = df.withColumn(out, vectors)
     return df.drop("_units", "_dense", "_packed", *[f"_h{k}" for k in range(DENSE + SIGNS)])
 
@@ -66,7 +66,7 @@ def as_text(vectors: str) -> Column:
 
 def plus(left: Column, right: Column, sign: int = 1) -> Column:
     """Vectors of two texts put together or, with ``sign`` -1, of the first without the second."""
-    dense = F.zip_with(left["dense"], right["dense"], lambda a, b: (a + sign * b).bitwiseAND(_LOW))
+    dense = F.zip_with(left["dense"], right["dense"], lambda a, b: (a + sign * b).bitwiseAND(F.lit(_LOW)))
     lanes = F.zip_with(
         left["lanes"],
         right["lanes"],
