@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from invigil.llm import bpe, chat, fingerprints, language, packing, sharding
+from invigil.llm import bpe, chat, fingerprints, language, near, packing, pii, sharding, substrings, topk
 from invigil.llm.common import read, shown_to_workers
 from invigil.session import tune
 
@@ -30,6 +31,28 @@ def query(name: str, table: str, sql: str | None = None):
     return add
 
 
+TOP_K_SQL = """
+with whole as (
+    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as c
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+),
+scored as (
+    select q.vec_id as query_id, v.vec_id, list_dot_product(q.c, v.c)::bigint as score
+    from whole q join whole v on q.vec_id <> v.vec_id
+    where q.vec_id % 50 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+
+@query("op1_exact_top_k", "embeddings", TOP_K_SQL)
+def exact_top_k(embeddings: DataFrame) -> DataFrame:
+    return topk.top_k(embeddings, F.col("vec_id") % 50 == 0)
+
+
 @query("op2_language_id", "documents")
 def language_id(documents: DataFrame) -> DataFrame:
     return language.predictions(documents)
@@ -40,6 +63,11 @@ def document_fingerprints(documents: DataFrame) -> DataFrame:
     return fingerprints.edits(documents)
 
 
+@query("op4_pii_spans", "documents")
+def pii_spans(documents: DataFrame) -> DataFrame:
+    return pii.spans(documents)
+
+
 CHAT_SQL = r"""
 with given as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -74,6 +102,41 @@ def bpe_round_trip(documents: DataFrame) -> DataFrame:
     return bpe.round_trips(documents)
 
 
+NEAR_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w
+    from documents
+),
+sets as (
+    select doc_id, list_distinct(case
+        when len(w) = 0 then []::varchar[]
+        when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) end) as s
+    from words
+),
+shingles as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+pairs as (
+    select x.doc_id as a, y.doc_id as b, any_value(x.n) + any_value(y.n) as both_sizes, count(*) as common
+    from shingles x join shingles y on x.shingle = y.shingle and x.doc_id < y.doc_id
+    group by x.doc_id, y.doc_id
+),
+links as (select a, b from pairs where 100 * common >= 85 * (both_sizes - common)),
+edges as (select a, b from links union select b, a from links),
+reached(a, b) as (select a, b from edges union select r.a, e.b from reached r join edges e on r.b = e.a),
+smallest as (select a, least(a, min(b)) as component from reached group by a)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(m.component, d.doc_id) as component_id,
+    d.doc_id = coalesce(m.component, d.doc_id) as kept
+from sets d left join smallest m on m.a = d.doc_id
+"""
+
+
+@query("op7_near_duplicates", "documents", NEAR_SQL)
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    return near.groups(documents).drop("digest")
+
+
 @query("op8_best_fit_packing", "documents")
 def best_fit_packing(documents: DataFrame) -> DataFrame:
     return packing.pack(documents)
@@ -82,3 +145,8 @@ def best_fit_packing(documents: DataFrame) -> DataFrame:
 @query("op9_external_shuffle", "documents")
 def external_shuffle(documents: DataFrame) -> DataFrame:
     return sharding.places(documents)
+
+
+@query("op10_repeated_substrings", "documents")
+def repeated_substrings(documents: DataFrame) -> DataFrame:
+    return substrings.deduplicated(documents)
