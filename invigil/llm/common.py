@@ -64,6 +64,14 @@ def fresh(docs: DataFrame, *names: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in taken])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or something like it that is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def field(name: str) -> str:
     """A column as SQL quotes it."""
     return "`" + name.replace("`", "``") + "`"

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from invigil.llm.common import field
+
 BLOCK_BITS = 10
 DENSE, SIGNS = 4, 2
 _SENTENCE = r"\n|(?<=[.!?]) "
@@ -90,8 +92,9 @@ def likeness(left: str, right: str) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with ``fingerprint``; replaces a column of that name."""
     kept = [c for c in docs.columns if c.lower() != "fingerprint"]
-    df = docs.select(*kept).withColumn("_text", F.coalesce("text", F.lit("")))
-    return with_vectors(df, "_text", "_vectors").select(*kept, as_text("_vectors").alias("fingerprint"))
+    row = F.struct(*[F.col(field(c)) for c in kept]).alias("row")
+    df = with_vectors(docs.select(row, F.coalesce("text", F.lit("")).alias("text")), "text", "vectors")
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], as_text("vectors").alias("fingerprint"))
 
 
 # -- each document and the next ----------------------------------------------------------

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from invigil.llm.common import field, fresh, slices, tokenizer_path
+from invigil.llm.common import field, fresh, slices, tokenizer_path, unused
 from invigil.session import stage
 
 UNDECIDED = "und"
@@ -322,6 +322,7 @@ def predictions(docs: DataFrame, **options) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` in a language: not ``und``, and the best one more likely than all others together."""
     model = train(docs, F.coalesce(fold() != 2, F.lit(True)), **options)
-    found = identify(docs, model, names=("_language", "_posterior"))
-    good = (F.col("_language") != UNDECIDED) & (F.col("_posterior") >= least)
+    names = unused(docs, "_language"), unused(docs, "_posterior")
+    found = identify(docs, model, names=names)
+    good = (F.col(names[0]) != UNDECIDED) & (F.col(names[1]) >= least)
     return found.where(good).select(*[field(c) for c in docs.columns])

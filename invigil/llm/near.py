@@ -4,14 +4,15 @@ A document's set holds its distinct shingles of five words.  Documents with the
 class from the start, so exact copies, however many, are one row from then on.  The forest is a
 number of sorted orders of the classes, each by a rotation of the MinHash signature.  Classes
 that share a prefix of four values in an order form a region; a region that is too full is cut by
-longer prefixes (its own depth), at the end into parts of bounded size.  In each region the
-neighbours in the sorted order, which have the longest common prefix, are candidates, and so is
-each member with the member most like the region as a whole.  Signatures drop candidates that
-cannot reach the threshold; the others are confirmed on full sets.
-
-That links most of each group with few pairs.  What it may have left is then closed: regions that
-still hold several components offer all pairs across them that were not compared yet, again
-confirmed on full sets.  No pair inside a component is ever listed.  Regions of one component,
+longer prefixes (its own depth), at the end into parts of bounded size.  In each the neighbours in
+the sorted order, which have the longest common prefix, are candidates, and so is each member
+with the member most like all.  Signatures drop candidates that cannot reach the threshold; the
+others are confirmed on full sets.
+
+That links most of each group with few pairs.  What it may have left is then closed: regions at
+the first depth that still hold several components offer all pairs across them that were not
+compared yet (a full one as pairs of its parts), again confirmed on full sets.  So a longer prefix
+saves work and loses nothing.  No pair inside a component is ever listed.  Regions of one component,
 as a group of thousands of copies makes them, are dropped by an aggregate before that.
 
 With 24 orders, a link at the threshold escapes all regions with a probability of about 3e-8 at
@@ -133,10 +134,17 @@ def _counted(members: DataFrame) -> DataFrame:
     return members.join(counts.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).drop("_key")
 
 
-def regions(classes: DataFrame, limit: int = REGION) -> DataFrame:
-    """(key, part, parts, node): regions of two members or more, none fuller than about ``limit`` in a part."""
-    found = stage(_counted(_members(classes)), "regions")
-    done = []
+def in_parts(members: DataFrame, limit: int) -> DataFrame:
+    """(key, parts, part, node): fuller regions than ``limit`` cut into parts of about that size."""
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    # Another seed in each tree: what one tree's parts keep apart meets in another's.
+    part = F.pmod(F.xxhash64("tree", "node"), parts).cast("int")
+    return members.select("key", parts.alias("parts"), part.alias("part"), "node")
+
+
+def deepened(members: DataFrame, classes: DataFrame, limit: int = REGION) -> DataFrame:
+    """The regions with longer prefixes where they are fuller than ``limit``, and only there."""
+    done, found = [], members
     for depth in range(PREFIX, DEEPEST):
         if not found.where(F.col("n") > limit).take(1):
             break
@@ -149,9 +157,7 @@ def regions(classes: DataFrame, limit: int = REGION) -> DataFrame:
         found = stage(_counted(deeper.select("key", "tree", "node")), "deeper-regions")
     for more in done:
         found = found.unionByName(more)
-    parts = F.ceil(F.col("n") / limit).cast("int")
-    # Another seed in each tree: what one tree's parts keep apart meets in another's.
-    return found.select("key", parts.alias("parts"), F.pmod(F.xxhash64("tree", "node"), parts).cast("int").alias("part"), "node")
+    return in_parts(found, limit)
 
 
 def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -318,22 +324,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = 85, region: int = REGION) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and the digest of its set."""
-    known = stage(profiles(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "profiles")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = stage(profiles(docs), "profiles")
     least = int(HASHES * (percent - SLACK) / 100)
     with_set = known.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = with_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
     classes = stage(classes, "classes")
-    found = stage(regions(classes, region), "members")
+    found = stage(_counted(_members(classes)), "regions")
 
     own = classes.select(F.col("node").alias("_node"), "signature")
-    members = found.join(own, F.col("node") == F.col("_node")).drop("_node")
+    members = deepened(found, classes, region).join(own, F.col("node") == F.col("_node")).drop("_node")
     first = stage(_in_runs(members, ["key", "part"], _neighbours(least)), "candidates")
     links = confirmed(first, docs, percent)
     labels = components(links)
 
     # What is still apart in some region, and was not compared.
     label = labels.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
-    now = found.join(label, F.col("node") == F.col("_node"), "left").select(
+    now = in_parts(found, region).join(label, F.col("node") == F.col("_node"), "left").select(
         "key", "parts", "part", "node", F.coalesce("_label", "node").alias("component")
     )
     now = stage(now, "labelled")
@@ -372,5 +379,5 @@ def kept(docs: DataFrame, percent: int = 80, region: int = REGION) -> DataFrame:
     """
     stay = groups(docs, percent, region).where(F.col("kept") & F.col("doc_id").isNotNull())
     stay = stay.select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(stay, docs["doc_id"].cast("long") == stay["_kept_id"], "left_semi")
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -40,7 +41,9 @@ from invigil.session import stage
 CAPACITY = 2048
 END = 0
 BLOCK_ROWS = 1024
-KNOWN = 400_000
+KNOWN = 800_000
+# A single stop after a letter is a token of its own, so the word before it is one with the bare word.
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many), in the order of their places
 
@@ -76,7 +79,7 @@ class Words:
         self.mark = token.content
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
+        split = [_STOP.sub(rb" \1", (t or "").encode()).split() for t in texts]
         if len(self.known) > KNOWN:
             self.known = {}
         self._learn([w for w in set().union(*split) if w not in self.known])

@@ -33,10 +33,10 @@ def query(name: str, table: str, sql: str | None = None):
 
 TOP_K_SQL = """
 with whole as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as c
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as c
     from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ),
 scored as (
     select q.vec_id as query_id, v.vec_id, list_dot_product(q.c, v.c)::bigint as score
@@ -113,7 +113,7 @@ sets as (
     select doc_id, list_distinct(case
         when len(w) = 0 then []::varchar[]
         when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) end) as s
+        else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
     from words
 ),
 shingles as (select doc_id, len(s) as n, unnest(s) as shingle from sets),

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invigil.functions.numbering import running_total
+from invigil.llm.common import field
 from invigil.session import stage
 
 BUCKET_BYTES = 8 << 20
@@ -41,18 +42,23 @@ def shuffled(docs: DataFrame, seed: int = 11, bucket_bytes: int = BUCKET_BYTES)
     total = docs.agg(F.sum(size_of())).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     key = F.xxhash64(F.lit(seed), "doc_id", checksum())
-    scattered = docs.select(F.pmod(key, F.lit(buckets)).alias("_bucket"), F.struct(key.alias("_key"), *docs.columns).alias("_record"))
+    scattered = docs.select(F.pmod(key, F.lit(buckets)).alias("_bucket"), _row(docs, key))
     tasks = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     gathered = scattered.repartition(min(tasks, 100_000), "_bucket").groupBy("_bucket").agg(F.collect_list("_record").alias("_all"))
     gathered = gathered.withColumn("_all", F.array_sort("_all")).sortWithinPartitions("_bucket")
     mixed = gathered.select("_bucket", F.posexplode(F.shuffle("_all", seed)).alias("_in_bucket", "_record"))
-    return stage(mixed.select("_bucket", "_in_bucket", *[F.col("_record")[c].alias(c) for c in docs.columns]), "shuffled")
+    row = F.col("_record")["row"]
+    return stage(mixed.select("_bucket", "_in_bucket", *[row[c].alias(c) for c in docs.columns]), "shuffled")
+
+
+def _row(docs: DataFrame, key: Column) -> Column:
+    return F.struct(key.alias("key"), F.struct(*[F.col(field(c)) for c in docs.columns]).alias("row")).alias("_record")
 
 
 def shards(docs: DataFrame, n: int = SHARDS, seed: int = 11, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``shard`` (0 to n - 1) and ``slot``, the place in it; these replace such columns."""
-    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot", "_bucket", "_in_bucket")]
-    table = shuffled(docs.select(*kept), seed, bucket_bytes)
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot", "_bucket", "_in_bucket", "_of", "_before", "_place", "_total")]
+    table = shuffled(docs.select(*[F.col(field(c)) for c in kept]), seed, bucket_bytes)
     counts = table.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = running_total(counts, "_bucket", "_before", F.col("_n")).select(F.col("_bucket").alias("_of"), "_before")
     total = table.agg(F.count("*").alias("n")).scalar()
@@ -60,7 +66,7 @@ def shards(docs: DataFrame, n: int = SHARDS, seed: int = 11, bucket_bytes: int =
     placed = placed.withColumn("_total", total)
     placed = placed.withColumn("shard", F.expr(f"int(_place * {n}L div _total)"))
     first = F.expr(f"(shard * _total + {n - 1}L) div {n}L")
-    return placed.select(*kept, "shard", (F.col("_place") - first).cast("long").alias("slot"))
+    return placed.select(*[F.col(field(c)) for c in kept], "shard", (F.col("_place") - first).cast("long").alias("slot"))
 
 
 def places(docs: DataFrame, n: int = SHARDS) -> DataFrame:
