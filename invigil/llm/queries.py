@@ -103,20 +103,25 @@ def bpe_round_trip(documents: DataFrame) -> DataFrame:
 
 
 NEAR_SQL = r"""
-with recursive words as (
+with recursive words as materialized (
     select doc_id, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') as w
     from documents
 ),
-sets as (
-    select doc_id, list_distinct(case
-        when len(w) = 0 then []::varchar[]
-        when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
-    from words
+placed as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as i, len(w) as n from words),
+runs as (
+    select doc_id, i, n, word, lead(word, 1) over near as w1, lead(word, 2) over near as w2,
+        lead(word, 3) over near as w3, lead(word, 4) over near as w4
+    from placed window near as (partition by doc_id order by i)
 ),
-shingles as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+distinct_ones as materialized (
+    select distinct doc_id, word || ' ' || w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 as shingle from runs where i <= n - 4
+    union
+    select doc_id, array_to_string(w, ' ') from words where len(w) between 1 and 4
+),
+sizes as (select doc_id, count(*) as n from distinct_ones group by doc_id),
+shingles as (select doc_id, n, shingle from distinct_ones join sizes using (doc_id)),
 pairs as (
     select x.doc_id as a, y.doc_id as b, any_value(x.n) + any_value(y.n) as both_sizes, count(*) as common
     from shingles x join shingles y on x.shingle = y.shingle and x.doc_id < y.doc_id
@@ -126,9 +131,9 @@ links as (select a, b from pairs where 100 * common >= 85 * (both_sizes - common
 edges as (select a, b from links union select b, a from links),
 reached(a, b) as (select a, b from edges union select r.a, e.b from reached r join edges e on r.b = e.a),
 smallest as (select a, least(a, min(b)) as component from reached group by a)
-select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(m.component, d.doc_id) as component_id,
+select d.doc_id, coalesce(z.n, 0)::bigint as n_shingles, coalesce(m.component, d.doc_id) as component_id,
     d.doc_id = coalesce(m.component, d.doc_id) as kept
-from sets d left join smallest m on m.a = d.doc_id
+from words d left join sizes z on z.doc_id = d.doc_id left join smallest m on m.a = d.doc_id
 """
 
 
