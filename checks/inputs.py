@@ -86,14 +86,15 @@ def _manual_exam_lists(t: Star) -> DataFrame:
     line = t.file("lineitem").select(
         o.alias("req_id"),
         (o % 175 % 25 + 1).alias("crs"),
-        (F.col("l_linenumber") + o % 5).alias("place"),
+        (o * 7 + F.col("l_linenumber") - 1).alias("place"),
         "l_partkey",
         "l_suppkey",
         (F.col("l_quantity").cast("int") * F.lit("0.60").cast("decimal(3,2)")).cast("decimal(5,2)").alias("degree"),
     )
-    ranked = t.first_questions(11).select("Q_CrsId", "rn", "Q_Id")
+    ranked = t.ranked.select("Q_CrsId", "rn", "Q_Id")
     raw = F.when(~every(43, F.col("l_suppkey")), F.col("Q_Id"))
-    return line.join(ranked, (F.col("crs") == F.col("Q_CrsId")) & (F.col("place") == F.col("rn")), "left").select(
+    line = line.join(t.pool, F.col("crs") == F.col("pool_crs"), "left").withColumn("at", F.col("place") % F.col("pool_size"))
+    return line.join(ranked, (F.col("crs") == F.col("Q_CrsId")) & (F.col("at") == F.col("rn")), "left").select(
         "req_id", F.coalesce(raw, "l_partkey").alias("QId"), "degree"
     )
 

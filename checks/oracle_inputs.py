@@ -157,7 +157,7 @@ cte(
     """
 SELECT l_orderkey AS req_id, coalesce(CASE WHEN l_suppkey % 43 <> 0 THEN Q_Id END, l_partkey) AS QId,
        CAST(CAST(l_quantity AS INTEGER) * 0.60 AS DECIMAL(5,2)) AS degree
-FROM lineitem LEFT JOIN t_ranked ON Q_CrsId = l_orderkey % 175 % 25 + 1 AND rn = l_linenumber + l_orderkey % 5""",
+FROM lineitem LEFT JOIN t_ranked ON Q_CrsId = l_orderkey % 175 % 25 + 1 AND rn = (l_orderkey * 7 + l_linenumber - 1) % pool""",
 )
 cte(
     "j3",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 CTES: dict[str, str] = {}
+# Subqueries that others use several times: worked out once.
+HEAVY = dict.fromkeys(["t_slot", "t_seat", "t_submission", "t_latest", "t_answer", "graded", "results"], "MATERIALIZED ")
 
 
 def cte(name: str, sql: str) -> None:
@@ -22,11 +24,12 @@ def with_tables(body: str) -> str:
                 visit(CTES[name])
 
     visit(body)
-    parts = [f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed]
+    parts = [f"{name} AS {HEAVY.get(name, '')}(\n{CTES[name]}\n)" for name in CTES if name in needed]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
 cte("nsup", "SELECT count(*) AS n FROM supplier")
+cte("nround", "SELECT count(*) // 10000 + 1 AS n FROM part")
 cte(
     "t_admin",
     "SELECT s_suppkey AS Adm_Id, 'admin_' || s_suppkey AS Adm_User, s_name AS Adm_Name FROM supplier WHERE s_suppkey % 50 = 0",
@@ -112,19 +115,22 @@ SELECT Exm_Id, Crs_Id, Exm_Id % 7 * 25 + Crs_Id AS Exm_AsgId,
          + CASE WHEN Exm_Id % 211 = 0 THEN INTERVAL '-1 hour' ELSE INTERVAL '4 hour' END AS Exm_End,
        CAST(CASE WHEN Exm_Id % 307 = 0 THEN 0 ELSE 120 END AS INTEGER) AS Exm_TotalTime,
        CASE WHEN Exm_Id % 2 <> 0 THEN 'Calculator' END AS Exm_Allowance
-FROM (SELECT ((Crs_Id - 1) * 25 + Trk_Id - 1) * 5 + Int_Id - 1 AS Exm_Id, * FROM t_course, t_track, t_intake)""",
+FROM (SELECT r * 3125 + ((Crs_Id - 1) * 25 + Trk_Id - 1) * 5 + Int_Id - 1 AS Exm_Id, *
+      FROM t_course, t_track, t_intake, (SELECT unnest(range(0, n)) AS r FROM nround))""",
 )
 cte(
     "t_ranked",
-    "SELECT *, row_number() OVER (PARTITION BY Q_CrsId ORDER BY Q_Id) AS rn FROM t_question",
+    """
+SELECT *, row_number() OVER (PARTITION BY Q_CrsId ORDER BY Q_Id) - 1 AS rn, count(*) OVER (PARTITION BY Q_CrsId) AS pool
+FROM t_question""",
 )
 cte(
     "t_slot",
     """
-SELECT Exm_Id * 8 + rn - Exm_Id % 3 AS EQ_Id, Exm_Id AS EQ_ExmId, Q_Id AS EQ_QId,
-       CAST(5 + Q_Id % 4 * 2.5 AS DECIMAL(5,2)) AS EQ_Degree, rn - Exm_Id % 3 AS pos, Q_Type, Q_Text
-FROM t_exam JOIN t_ranked ON Crs_Id = Q_CrsId
-WHERE rn - Exm_Id % 3 BETWEEN 1 AND 7""",
+SELECT Exm_Id * 8 + pos AS EQ_Id, Exm_Id AS EQ_ExmId, Q_Id AS EQ_QId,
+       CAST(5 + Q_Id % 4 * 2.5 AS DECIMAL(5,2)) AS EQ_Degree, pos, least(7, pool) AS paper, Q_Type, Q_Text
+FROM t_exam, range(1, 8) r(pos) JOIN t_ranked ON Crs_Id = Q_CrsId AND (Exm_Id * 7 + pos - 1) % pool = rn
+WHERE pos <= pool""",
 )
 cte("t_examquestion", "SELECT EQ_Id, EQ_ExmId, EQ_QId, EQ_Degree FROM t_slot")
 cte(
@@ -135,14 +141,14 @@ SELECT o_orderkey AS SE_Id, exm AS SE_ExmId, o_custkey AS SE_StId,
        (540 + o_orderkey % 60) * 60000000 AS SE_Start,
        (540 + o_orderkey % 60 + CASE WHEN o_orderkey % 503 = 0 THEN 0 ELSE 120 END) * 60000000 AS SE_End,
        CAST(NULL AS DECIMAL(5,2)) AS SE_Result
-FROM (SELECT *, (o_orderkey % 25 * 25 + St_TrkId - 1) * 5
+FROM (SELECT *, (o_orderkey // 25) % (SELECT n FROM nround) * 3125 + (o_orderkey % 25 * 25 + St_TrkId - 1) * 5
                + CASE WHEN o_orderkey % 101 = 0 THEN St_IntId % 5 ELSE St_IntId - 1 END AS exm
       FROM orders JOIN t_student ON o_custkey = St_Id)""",
 )
 cte(
     "t_submission",
     """
-SELECT l_orderkey AS Ans_SEId, l_linenumber AS pos, EQ_QId AS Ans_QId,
+SELECT l_orderkey AS Ans_SEId, pos, EQ_QId AS Ans_QId,
        CASE WHEN l_suppkey % 11 <> 0 AND Q_Type = 'MCQ' THEN
          CASE WHEN l_suppkey % 37 = 1 THEN (EQ_QId + 1) * 4 ELSE EQ_QId * 4 + l_partkey % 4 END END AS Ans_ChoiceId,
        CASE WHEN l_suppkey % 11 <> 0 AND Q_Type = 'TF' THEN l_returnflag = 'A' END AS Ans_BoolAns,
@@ -152,7 +158,7 @@ SELECT l_orderkey AS Ans_SEId, l_linenumber AS pos, EQ_QId AS Ans_QId,
        Q_Type AS q_type,
        CAST(SE_Date AS TIMESTAMP) + to_microseconds(SE_Start + l_partkey % 150 * 60000000) AS submitted_at,
        l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice
-FROM lineitem JOIN t_seat ON l_orderkey = SE_Id JOIN t_slot ON SE_ExmId = EQ_ExmId AND l_linenumber = pos""",
+FROM lineitem JOIN t_seat ON l_orderkey = SE_Id JOIN t_slot ON SE_ExmId = EQ_ExmId AND (l_linenumber - 1) % paper + 1 = pos""",
 )
 cte(
     "t_latest",

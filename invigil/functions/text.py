@@ -38,6 +38,9 @@ def text_key(value: Column, ci: bool = False) -> Column:
 
 
 def like_anywhere(value: Column, part: str, ci: bool = False) -> Column:
-    """``value LIKE '%part%'`` with ``%`` and ``_`` in ``part`` kept as wildcards."""
-    pattern = f"%{part}%"
+    """``value LIKE '%part%'`` with ``%`` and ``_`` in ``part`` kept as wildcards.
+
+    A backslash is a plain character in ``part``, though Spark's pattern needs two for one.
+    """
+    pattern = "%" + part.replace("\\", "\\\\") + "%"
     return F.lower(value).like(pattern.lower()) if ci else value.like(pattern)

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invigil.functions.text import text_key
 from invigil.schema import TABLES, Table
 from invigil.sources.tables import Tables
 
@@ -42,32 +41,35 @@ def check_violations(tables: Tables, names: Iterable[str] | None = None) -> Data
 
 
 def unique_violations(tables: Tables, names: Iterable[str] | None = None, ci: bool = False) -> DataFrame:
-    """I-12: values of a primary or unique key that occur more than once, with their count."""
-    parts = []
-    for spec in _specs(names):
-        for key in [(spec.key,), *spec.unique]:
-            parts.append(duplicates(tables[spec.name], spec, key, ci))
-    return _union(parts)
+    """I-12: values of a primary or unique key that occur more than once, with their count.
+
+    One pass over each table: every row gives the text of each of its keys, numbered, and one
+    aggregate counts them all.
+    """
+    return _union([duplicates(tables[spec.name], spec, ci) for spec in _specs(names)])
 
 
-def duplicates(df: DataFrame, spec: Table, key: Iterable[str], ci: bool = False) -> DataFrame:
-    """Only the key columns are read and counts are combined before the exchange."""
-    key = list(key)
-    columns = [
-        (text_key(F.col(c), ci) if spec.column(c).type == "string" else F.col(c)).alias(c) for c in key
-    ]
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+def duplicates(df: DataFrame, spec: Table, ci: bool = False) -> DataFrame:
+    """Only the key columns are read, and counts are combined before the exchange."""
+    keys = [(spec.key,), *spec.unique]
+
+    def part(column: str) -> Column:
+        if spec.column(column).type != "string":
+            return F.col(column).cast("string")
+        text = F.rtrim(F.col(column))
+        return F.lower(text) if ci else text
+
+    # As JSON, "a|b", "c" and "a", "b|c" stay apart; a missing part is a value of its own.
+    exact = [F.to_json(F.array(*[part(c) for c in key])) for key in keys]
+    shown = [F.concat_ws("|", *[part(c) for c in key]) for key in keys]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), e.alias("exact"), s.alias("shown")) for n, (e, s) in enumerate(zip(exact, shown))]))
+    names = F.element_at(F.array(*[F.lit(" ".join(key)) for key in keys]), F.col("n") + 1)
     return (
-        df.select(*columns)
-        .groupBy(*key)
-        .agg(F.count("*").alias("n_rows"))
+        df.select(each.alias("k"))
+        .groupBy("k.n", "k.exact")
+        .agg(F.count("*").alias("n_rows"), F.min("k.shown").alias("key_value"))
         .where(F.col("n_rows") > 1)
-        .select(
-            F.lit(spec.name).alias("table_name"),
-            F.lit(" ".join(key)).alias("key_columns"),
-            text.alias("key_value"),
-            "n_rows",
-        )
+        .select(F.lit(spec.name).alias("table_name"), names.alias("key_columns"), "key_value", "n_rows")
     )
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from invigil.functions.rules import ERROR, Outcome, judge, split, with_messages
 from invigil.functions.text import comparable_answer
+from invigil.operators.constraints import require_unique
 from invigil.schema import DEGREE
+from invigil.session import stage
 from invigil.sources.tables import Tables, replace, update_from_join
 
 
@@ -99,19 +101,37 @@ def _total(degree: str) -> Column:
 
 
 def final_results(tables: Tables) -> DataFrame:
-    """``(SE_Id, FinalResult)`` of every seat whose total fits the result column."""
-    totals = seat_totals(tables)
-    return totals.select("SE_Id", F.col("total").try_cast(DEGREE).alias("FinalResult")).where(
-        F.col("FinalResult").isNotNull()
-    )
+    """``(SE_Id, FinalResult)`` of every seat, none left out.
+
+    NULL stands for a total that does not fit the result column; ``overflowing_seats`` names
+    those seats.
+    """
+    return _results(seat_totals(tables))
+
+
+def _results(totals: DataFrame) -> DataFrame:
+    return totals.select("SE_Id", F.col("total").try_cast(DEGREE).alias("FinalResult"))
+
+
+def overflowing_seats(totals: DataFrame) -> DataFrame:
+    """``(req_id, error_code, error_message)`` of the seats whose total does not fit."""
+    too_big = totals.where(F.col("total").try_cast(DEGREE).isNull())
+    seats = too_big.select(F.col("SE_Id").cast("string").alias("req_id"), F.lit("OVERFLOW").alias(ERROR))
+    return with_messages(seats, ["OVERFLOW"])
+
+
+#: Tables in which a key that occurs twice would count degrees twice.
+GRADED_BY = ["ExamQuestion", "TFQuestion", "TextQuestion", "MCQChoice", "StudentExam", "StudentAnswer"]
 
 
 def grade_seats(tables: Tables, requests: DataFrame | None = None) -> Graded:
     """Grade every seat, or the seats named by ``requests(req_id, SE_Id)``.
 
     A request for an unknown seat is rejected with 50300.  A total beyond the result
-    column rejects that seat alone.
+    column rejects that seat alone.  Raises if a key that grading joins on occurs twice.
+    Graded answers are written once; totals and results are sums over them.
     """
+    require_unique(tables, GRADED_BY)
     scope = tables
     rejected = None
     if requests is not None:
@@ -126,14 +146,13 @@ def grade_seats(tables: Tables, requests: DataFrame | None = None) -> Graded:
             StudentExam=tables["StudentExam"].join(wanted, "SE_Id", "left_semi"),
             StudentAnswer=answers.join(wanted, F.col("Ans_SEId") == F.col("SE_Id"), "left_semi"),
         )
-    totals = seat_totals(scope)
-    too_big = (
-        totals.where(F.col("total").try_cast(DEGREE).isNull())
-        .select(F.col("SE_Id").cast("string").alias("req_id"), F.lit("OVERFLOW").alias(ERROR))
-    )
-    too_big = with_messages(too_big, ["OVERFLOW"])
+    graded = stage(grade_answers(scope), "graded")
+    sums = graded.groupBy(F.col("Ans_SEId").alias("_seat")).agg(_total("Ans_Degree").alias("total"))
+    seats = scope["StudentExam"].select("SE_Id").join(sums, F.col("SE_Id") == F.col("_seat"), "left")
+    totals = stage(seats.select("SE_Id", F.coalesce("total", F.lit(0)).alias("total")), "totals")
+    too_big = overflowing_seats(totals)
     rejected = too_big if rejected is None else rejected.unionByName(too_big)
-    return Graded(grade_answers(scope), final_results(scope), rejected)
+    return Graded(graded, _results(totals).where(F.col("FinalResult").isNotNull()), rejected)
 
 
 def store_results(seats: DataFrame, results: DataFrame) -> DataFrame:
@@ -151,12 +170,15 @@ class Marked(NamedTuple):
     outcome: Outcome
 
 
-MARK_CODES = ["50400", "50401", "I-11", "I-15"]
+MARK_CODES = ["50400", "50401", "I-15", "OVERFLOW"]
 
 
 def judge_marks(marks: DataFrame, tables: Tables) -> DataFrame:
     """``marks(req_id, Ans_Id, degree, comment)`` with ``error_code`` and the answer's limits."""
+    # Lookups are cut to what the batch names, so that a small batch meets small tables.
+    asked = marks.select(F.col("Ans_Id").alias("_asked")).distinct()
     answers = tables["StudentAnswer"].select(F.col("Ans_Id").alias("_ans"), "Ans_SEId", "Ans_QId")
+    answers = answers.join(asked, F.col("_ans") == F.col("_asked"), "left_semi")
     seats = tables["StudentExam"].select("SE_Id", "SE_ExmId")
     questions = tables["ExamQuestion"].select("EQ_ExmId", "EQ_QId", "EQ_Degree")
     on_exam = (F.col("SE_ExmId") == F.col("EQ_ExmId")) & (F.col("Ans_QId") == F.col("EQ_QId"))
@@ -182,26 +204,41 @@ def mark_answers(marks: DataFrame, tables: Tables) -> Marked:
     Of several marks for one answer the last by ``req_id`` counts.  A missing degree is
     neither below 0 nor above the limit: it is stored, and the answer is open again.
     """
-    outcome = split(judge_marks(marks, tables), MARK_CODES)
+    judged = stage(judge_marks(marks, tables), "marks")
     last = (
-        outcome.accepted.groupBy("Ans_Id")
-        .agg(F.max(F.struct("req_id", "degree", "comment", "EQ_Degree", "Ans_SEId")).alias("m"))
-        .select("Ans_Id", "m.*")
+        judged.where(F.col(ERROR).isNull())
+        .groupBy("Ans_SEId", "Ans_Id")
+        .agg(F.max(F.struct("req_id", "degree", "comment", "EQ_Degree")).alias("m"))
+        .select("Ans_SEId", "Ans_Id", "m.*")
     )
     full, none = F.col("degree") == F.col("EQ_Degree"), F.col("degree") == 0
     changes = last.select(
+        "Ans_SEId",
         "Ans_Id",
         F.col("degree").cast(DEGREE).alias("Ans_Degree"),
         F.when(full, True).when(none, False).alias("Ans_Correct"),
         F.col("comment").alias("Ans_Comment"),
     )
+    changes = stage(changes, "mark-changes")
+
+    # The answers of touched seats first: on their bucket column that needs no exchange of theirs.
+    touched = changes.select(F.col("Ans_SEId").alias("_touched")).distinct()
+    own = tables["StudentAnswer"].select(*MARK_KEYS, "Ans_Degree")
+    own = own.join(touched, F.col("Ans_SEId") == F.col("_touched"), "left_semi")
+    sums = update_from_join(own, changes, MARK_KEYS, ["Ans_Degree"]).groupBy("Ans_SEId").agg(_total("Ans_Degree").alias("total"))
+    sums = stage(sums.select(F.col("Ans_SEId").alias("SE_Id"), F.col("total").try_cast(DEGREE).alias("FinalResult")), "mark-sums")
+
+    # A seat whose total does not fit keeps its answers; its marks are refused.
+    over = sums.where(F.col("FinalResult").isNull()).select(F.col("SE_Id").alias("_over"))
+    judged = judged.join(over, F.col("Ans_SEId") == F.col("_over"), "left")
+    refused = F.when(F.col(ERROR).isNull() & F.col("_over").isNotNull(), "OVERFLOW").otherwise(F.col(ERROR))
+    outcome = split(judged.withColumn(ERROR, refused).drop("_over"), MARK_CODES)
+    changes = changes.join(over, F.col("Ans_SEId") == F.col("_over"), "left_anti")
     answers = update_from_join(
-        tables["StudentAnswer"], changes, ["Ans_Id"], ["Ans_Degree", "Ans_Correct", "Ans_Comment"]
+        tables["StudentAnswer"], changes, MARK_KEYS, ["Ans_Degree", "Ans_Correct", "Ans_Comment"]
     )
-    touched = outcome.accepted.select(F.col("Ans_SEId").alias("_touched")).distinct()
-    sums = (
-        answers.join(touched, F.col("Ans_SEId") == F.col("_touched"), "left_semi")
-        .groupBy(F.col("Ans_SEId").alias("SE_Id"))
-        .agg(_total("Ans_Degree").cast(DEGREE).alias("FinalResult"))
-    )
-    return Marked(answers, store_results(tables["StudentExam"], sums), outcome)
+    results = sums.where(F.col("FinalResult").isNotNull())
+    return Marked(answers, store_results(tables["StudentExam"], results), outcome)
+
+
+MARK_KEYS = ["Ans_SEId", "Ans_Id"]

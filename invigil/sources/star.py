@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 from threading import RLock
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from invigil.functions.clock import MICROS_PER_MINUTE, at_time
+from invigil.functions.numbering import running_total
 from invigil.schema import MCQ, TABLES, TEXT, TF
 from invigil.session import new_folder
 from invigil.sources.tables import conform, write_bucketed
@@ -42,7 +43,11 @@ FILES = {
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 BRANCHES, TRACKS, INTAKES, COURSES = 5, 25, 5, 25
-LAST_SLOT = 7
+#: Questions on a paper, where a course has as many.
+PAPER = 7
+#: Parts for which the exams are held once more, so that papers reach the whole pool at any size.
+PARTS_PER_ROUND = 10_000
+ROUND = COURSES * TRACKS * INTAKES
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *spread_by: str) -> DataFrame:
@@ -164,6 +169,11 @@ class Star(Mapping):
     def n_suppliers(self) -> Column:
         return self.file("supplier").agg(F.count("*")).scalar()
 
+    @cached_property
+    def n_rounds(self) -> Column:
+        """How many times every exam is held; grows with the question pool."""
+        return (F.floor(self.file("part").agg(F.count("*")).scalar() / PARTS_PER_ROUND) + 1).cast("long")
+
     # -- accounts and dimensions -------------------------------------------------------
 
     @cached_property
@@ -316,16 +326,18 @@ class Star(Mapping):
 
     @kept
     def Exam(self) -> DataFrame:
-        """One exam per course, track and intake, spelled out from the course alone."""
+        """One exam per round, course, track and intake, spelled out from the course alone."""
         exm, crs = F.col("Exm_Id"), F.col("Crs_Id")
         per_course = TRACKS * INTAKES
+        rounds = F.explode(F.sequence(F.lit(0).cast("long"), self.n_rounds - 1))
         begin = at_time(F.date_add(F.lit("2024-01-01").cast("date"), (exm % 30).cast("int")), F.lit(9 * 60 * MICROS_PER_MINUTE))
         hours = F.when(every(211, exm), F.lit(-1)).otherwise(F.lit(4))
         return (
-            self.Course.select(crs, F.explode(F.sequence(F.lit(0), F.lit(per_course - 1))).alias("seq"))
+            self.Course.select(crs, rounds.alias("round"))
+            .select(crs, "round", F.explode(F.sequence(F.lit(0), F.lit(per_course - 1))).alias("seq"))
             .select(
                 crs,
-                ((crs - 1) * per_course + F.col("seq")).alias("Exm_Id"),
+                (F.col("round") * ROUND + (crs - 1) * per_course + F.col("seq")).alias("Exm_Id"),
                 (F.floor(F.col("seq") / INTAKES) + 1).alias("Exm_TrkId"),
                 (F.col("seq") % INTAKES + 1).alias("Exm_IntId"),
             )
@@ -345,31 +357,36 @@ class Star(Mapping):
             )
         )
 
-    def first_questions(self, n: int) -> DataFrame:
-        """The first ``n`` questions of each course by id, numbered from 1.
+    @kept
+    def pool(self) -> DataFrame:
+        """``(pool_crs, pool_size)``: how many questions each course has."""
+        return self.Question.groupBy(F.col("Q_CrsId").alias("pool_crs")).agg(F.count("*").alias("pool_size"))
 
-        The constant bound lets Spark keep only ``n`` rows per course before the exchange.
-        """
-        place = F.row_number().over(Window.partitionBy("Q_CrsId").orderBy("Q_Id"))
-        return self.Question.withColumn("rn", place).where(F.col("rn") <= n)
+    @kept
+    def ranked(self) -> DataFrame:
+        """All questions, numbered in their course from 0 by id, without a window over a course."""
+        return running_total(self.Question, "Q_Id", "rn", within=["Q_CrsId"])
 
     @kept
     def slots(self) -> DataFrame:
-        """Exam questions with their place 1..7 on the paper."""
-        exm, q, place = F.col("Exm_Id"), F.col("Q_Id"), F.col("rn") - F.col("Exm_Id") % 3
-        return (
-            self.Exam.join(self.first_questions(LAST_SLOT + 2), F.col("Crs_Id") == F.col("Q_CrsId"))
-            .withColumn("pos", place)
-            .where(F.col("pos").between(1, LAST_SLOT))
-            .select(
-                (exm * 8 + F.col("pos")).alias("EQ_Id"),
-                exm.alias("EQ_ExmId"),
-                q.alias("EQ_QId"),
-                (5 + q % 4 * F.lit(2.5).cast(T.DecimalType(3, 1))).cast(T.DecimalType(5, 2)).alias("EQ_Degree"),
-                "pos",
-                "Q_Type",
-                "Q_Text",
-            )
+        """Exam questions with their place on the paper, 1 to 7 or to the size of a smaller pool.
+
+        A paper is a stretch of the course's questions; exam after exam takes the next one, around
+        the whole pool.
+        """
+        exm, q, size = F.col("Exm_Id"), F.col("Q_Id"), F.col("pool_size")
+        places = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PAPER).cast("long"), size)))
+        papers = self.Exam.select(exm, "Crs_Id").join(self.pool, F.col("Crs_Id") == F.col("pool_crs"))
+        papers = papers.select(exm, "Crs_Id", "pool_size", places.alias("pos"))
+        papers = papers.withColumn("at", (exm * PAPER + F.col("pos") - 1) % size)
+        return papers.join(self.ranked, (F.col("Crs_Id") == F.col("Q_CrsId")) & (F.col("at") == F.col("rn"))).select(
+            (exm * 8 + F.col("pos")).alias("EQ_Id"),
+            exm.alias("EQ_ExmId"),
+            q.alias("EQ_QId"),
+            (5 + q % 4 * F.lit(2.5).cast(T.DecimalType(3, 1))).cast(T.DecimalType(5, 2)).alias("EQ_Degree"),
+            "pos",
+            "Q_Type",
+            "Q_Text",
         )
 
     @cached_property
@@ -380,7 +397,8 @@ class Star(Mapping):
     def StudentExam(self) -> DataFrame:
         key = F.col("o_orderkey")
         intake = F.when(every(101, key), F.col("St_IntId") % INTAKES).otherwise(F.col("St_IntId") - 1)
-        exam = (key % COURSES * TRACKS + F.col("St_TrkId") - 1) * INTAKES + intake
+        held = F.floor(key / COURSES).cast("long") % self.n_rounds
+        exam = held * ROUND + (key % COURSES * TRACKS + F.col("St_TrkId") - 1) * INTAKES + intake
         begin = (540 + key % 60) * MICROS_PER_MINUTE
         return (
             self.file("orders")
@@ -400,7 +418,10 @@ class Star(Mapping):
 
     @cached_property
     def Submission(self) -> DataFrame:
-        """Everything students sent in, several times per question at will."""
+        """Everything students sent in, several times per question at will.
+
+        A line goes to the question at its number on the paper, around the paper: none is lost.
+        """
         lineitem = self.file("lineitem", "l_orderkey", *_LINE)
         q, sup = F.col("EQ_QId"), F.col("l_suppkey")
         given = ~every(11, sup)
@@ -408,12 +429,16 @@ class Star(Mapping):
         shouted = F.concat(F.lit("  "), F.upper(F.replace("Q_Text", F.lit(" "), F.lit("   "))), F.lit(" "))
         text = F.when(F.col("l_linestatus") == "F", shouted).otherwise(F.concat(F.lit("wrong "), "Q_Text"))
         seats = self.plain("StudentExam").select("SE_Id", "SE_ExmId", "SE_Date", "SE_Start")
+        course = F.floor(F.col("SE_ExmId") / (TRACKS * INTAKES)).cast("long") % COURSES + 1
+        paper = F.least(F.lit(PAPER).cast("long"), F.col("pool_size"))
         return (
             lineitem.join(seats, F.col("l_orderkey") == F.col("SE_Id"))
-            .join(self.slots, (F.col("SE_ExmId") == F.col("EQ_ExmId")) & (F.col("l_linenumber") == F.col("pos")))
+            .join(self.pool, course == F.col("pool_crs"))
+            .withColumn("line_pos", (F.col("l_linenumber") - 1) % paper + 1)
+            .join(self.slots, (F.col("SE_ExmId") == F.col("EQ_ExmId")) & (F.col("line_pos") == F.col("pos")))
             .select(
                 F.col("l_orderkey").alias("Ans_SEId"),
-                F.col("l_linenumber").alias("pos"),
+                "pos",
                 q.alias("Ans_QId"),
                 F.when(given & (F.col("Q_Type") == MCQ), choice).alias("Ans_ChoiceId"),
                 F.when(given & (F.col("Q_Type") == TF), F.col("l_returnflag") == "A").alias("Ans_BoolAns"),
