@@ -12,15 +12,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invigil.functions.numbering import append_with_ids
 from invigil.functions.rules import ERROR, Rule, judge, split, violates_required
 from invigil.functions.text import text_key
+from invigil.functions.turns import settle
 from invigil.operators.exams import first_per_key, known, lost
 from invigil.schema import TABLES
-from invigil.session import ensure_checkpoint_dir, stage
+from invigil.session import new_folder, stage
 from invigil.sources.tables import Tables, conform, update_from_join
 
 CODES = ["50600", "I-15", "I-14", "I-1", "I-12"]
@@ -131,38 +132,88 @@ def judge_ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = Fal
 def _in_turn(judged: DataFrame, entry: Entry, ci: bool) -> DataFrame:
     """Several unique keys: what one request loses on one key it leaves free on the other.
 
-    Each round accepts the requests that are first on all of their keys among those still
-    open, and refuses the rest of the requests for an accepted key.  The first open request
-    always wins, so rounds end; random batches need a handful.  Lineage is cut per round.
+    A request that is first on all of its keys is accepted.  One that comes second, after a
+    single rival, is accepted exactly if that rival is not: such chains are settled by pointer
+    doubling, however long.  Requests for a key of an accepted one are refused, the rest go
+    into another round.  The first open request is always settled, so rounds end; each writes
+    its verdicts to one folder and goes on from a stored table, so no plan grows.
     """
     spark = judged.sparkSession
-    ensure_checkpoint_dir(spark)
-    keyed = judged
+    folder = new_folder(spark, "in-turn")
+    columns = ["req_id"]
+    keyed = judged.where(F.col(ERROR).isNull())
     for n, key in enumerate(entry.unique):
-        keyed = _keyed(keyed, entry.table, key, ci, f"_u{n}_")
-    groups = [[f"_u{n}_{i}" for i in range(len(key))] for n, key in enumerate(entry.unique)]
-    keyed = keyed.checkpoint()
-    done, open_ = keyed.where(F.col(ERROR).isNotNull()), keyed.where(F.col(ERROR).isNull())
-    while not open_.isEmpty():
-        marked = open_
-        for n, names in enumerate(groups):
-            firsts = open_.groupBy(*names).agg(F.min("req_id").alias(f"_first{n}")).select(f"_first{n}")
-            marked = marked.join(firsts, F.col("req_id") == F.col(f"_first{n}"), "left")
-        wins = F.lit(True)
-        for n in range(len(groups)):
-            wins = wins & F.col(f"_first{n}").isNotNull()
-        marked = marked.withColumn("_wins", wins).select(*open_.columns, "_wins").checkpoint()
-        winners = marked.where("_wins").drop("_wins")
-        rest = marked.where(~F.col("_wins")).drop("_wins")
+        keyed = keyed.withColumn(f"_u{n}", _as_text(entry.table, key, ci))
+        columns.append(f"_u{n}")
+    open_ = stage(keyed.select(*columns), "open")
+    schema = spark.createDataFrame([], "req_id long, accepted boolean").schema
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/round=0")
+    number = 0
+    while open_.take(1):
+        number += 1
+        steps = open_
+        for n in range(len(entry.unique)):
+            steps = _with_rivals(steps, open_, f"_u{n}", n)
+        # Earlier rivals over all keys: none, one and the same, or more.
+        rivals = [F.col(f"_rival{n}") for n in range(len(entry.unique))]
+        many = F.lit(False)
+        for n in range(len(entry.unique)):
+            many = many | F.col(f"_many{n}")
+        parent = F.coalesce(*rivals)
+        many = many | F.coalesce(F.least(*rivals) != F.greatest(*rivals), F.lit(False))
+        verdicts = settle(
+            steps.select(
+                F.col("req_id").alias("id"),
+                F.when(~many, parent).alias("parent"),
+                parent.isNull().alias("yes"),
+                parent.isNotNull().alias("no"),
+                many.alias("waits"),
+            )
+        )
+        verdicts = stage(verdicts.select(F.col("id").alias("req_id"), "accepted"), "verdicts")
+        verdicts.write.parquet(f"{folder}/round={2 * number - 1}")
+        settled = verdicts.select(F.col("req_id").alias("_settled"))
+        rest = open_.join(settled, F.col("req_id") == F.col("_settled"), "left_anti")
+        won = verdicts.where("accepted").select(F.col("req_id").alias("_won"))
+        winners = open_.join(won, F.col("req_id") == F.col("_won"), "left_semi")
         lose = F.lit(False)
-        for n, names in enumerate(groups):
-            taken = winners.select(*[F.col(c).alias(f"_w{n}{c}") for c in names])
-            rest = rest.join(taken, [F.col(c) == F.col(f"_w{n}{c}") for c in names], "left")
-            lose = lose | F.col(f"_w{n}{names[0]}").isNotNull()
-        rest = rest.withColumn(ERROR, F.when(lose, "I-12")).select(*open_.columns).checkpoint()
-        done = done.unionByName(winners).unionByName(rest.where(F.col(ERROR).isNotNull()))
-        open_ = rest.where(F.col(ERROR).isNull())
-    return done.select(*judged.columns)
+        for n in range(len(entry.unique)):
+            taken = winners.select(F.col(f"_u{n}").alias(f"_w{n}")).distinct()
+            rest = rest.join(taken, F.col(f"_u{n}") == F.col(f"_w{n}"), "left")
+            lose = lose | F.col(f"_w{n}").isNotNull()
+        rest = stage(rest.select(*columns, lose.alias("_lose")), "rest")
+        refused = rest.where("_lose").select("req_id", F.lit(False).alias("accepted"))
+        refused.write.parquet(f"{folder}/round={2 * number}")
+        open_ = rest.where(~F.col("_lose")).select(*columns)
+    verdicts = spark.read.schema(schema).parquet(folder).select(F.col("req_id").alias("_req"), "accepted")
+    found = judged.join(verdicts, F.col("req_id") == F.col("_req"), "left")
+    late = F.col(ERROR).isNull() & ~F.coalesce("accepted", F.lit(True))
+    return found.withColumn(ERROR, F.when(late, "I-12").otherwise(F.col(ERROR))).select(*judged.columns)
+
+
+def _as_text(table: str, key: Sequence[str], ci: bool) -> Column:
+    """A unique key as one text, equal exactly where the key is."""
+    spec = TABLES[table]
+
+    def part(column: str) -> Column:
+        if spec.column(column).type != "string":
+            return F.col(column).cast("string")
+        text = F.rtrim(F.col(column))
+        return F.lower(text) if ci else text
+
+    return F.to_json(F.array(*[part(c) for c in key]))
+
+
+def _with_rivals(steps: DataFrame, open_: DataFrame, key: str, n: int) -> DataFrame:
+    """``steps`` with the one earlier request for the same key, or word that there are more."""
+    firsts = stage(open_.groupBy(F.col(key).alias("_k")).agg(F.min("req_id").alias("_first")), "firsts")
+    after = open_.join(firsts, F.col(key) == F.col("_k")).where(F.col("req_id") > F.col("_first"))
+    seconds = after.groupBy("_k").agg(F.min("_first").alias("_first"), F.min("req_id").alias("_second"))
+    seconds = stage(seconds, "seconds")
+    joined = steps.join(seconds, F.col(key) == F.col("_k"), "left")
+    later = F.coalesce(F.col("req_id") > F.col("_second"), F.lit(False))
+    rival = F.when(F.col("req_id") == F.col("_second"), F.col("_first"))
+    return joined.select(*steps.columns, rival.alias(f"_rival{n}"), later.alias(f"_many{n}"))
 
 
 def ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = False) -> Changed:

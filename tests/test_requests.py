@@ -9,9 +9,11 @@ from decimal import Decimal as D
 import pytest
 
 from conftest import DAY, at, codes, frame, moment
+from invigil.functions import turns
 from invigil.messages import message
 from invigil.operators import dimensions, exams
 from invigil.schema import TABLES
+from invigil.session import stage
 
 EXAM = "req_id long, Exm_AsgId long, Exm_Type string, Exm_IntId long, Exm_BrId long, Exm_TrkId long, Exm_Start timestamp_ntz, Exm_End timestamp_ntz, Exm_TotalTime int, Exm_Allowance string"
 
@@ -250,6 +252,17 @@ def test_add_students_like_one_after_the_other(spark, seed):
     assert codes(new.rejected) == expected
 
 
+@pytest.mark.parametrize("n", [16, 1000])
+def test_chained_students_take_few_rounds(spark, seed, n, monkeypatch):
+    """Every request has one rival before it: first by user, then by mail, then by user again."""
+    rows = [student(i, f"u{i // 2}", f"m{(i + 1) // 2}") for i in range(n)]
+    stored = []
+    monkeypatch.setattr(turns, "stage", lambda df, purpose: stored.append(purpose) or stage(df, purpose))
+    new = dimensions.ingest(entry(spark, "Student", rows).repartition(4), seed, "Student")
+    assert set(codes(new.rejected)) == set(range(1, n, 2))
+    assert len(stored) <= n.bit_length() + 3
+
+
 def test_update_branch(spark, seed):
     rows = [
         (1, 1, "South", None),  # held by the other branch
