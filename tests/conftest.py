@@ -45,54 +45,71 @@ def at(hour: int, minute: int = 0) -> int:
     return hour * MICROS_PER_HOUR + minute * MICROS_PER_MINUTE
 
 
-def moment(hour: int, minute: int = 0, day: int = 1) -> dt.datetime:
-    return dt.datetime(2026, 9, day, hour, minute)
+def moment(hour: int, minute: int = 0, day: int = 8) -> dt.datetime:
+    return dt.datetime(2027, 3, day, hour, minute)
 
 
-DAY = dt.date(2026, 9, 1)
+DAY = dt.date(2027, 3, 8)
 D = Decimal
 
-# Two branches, each with its own track, intake, course and instructor; five questions on
-# course 1 and one on course 2; two exams of course 1 with a seat each.
+# A school of crafts: three branches with a track each, three courses, two intakes.  Baking is
+# examined in the morning and, for those who come again, in the afternoon; Pia sits both.
+# By hand: the morning gives 25 + 15 + 0 = 40, the afternoon so far nothing.
 SEED = {
-    "Admin": [(1, "admin", "Ada")],
-    "TrainingManager": [(1, "manager", "Max")],
-    "Instructor": [(1, "ina", "Ina", "ina@example.org", None), (2, "ian", "Ian", "ian@example.org", "2")],
-    "Branch": [(1, "North", None), (2, "South", "By the sea")],
-    "Intake": [(1, "Spring", dt.date(2026, 1, 1)), (2, "Autumn", dt.date(2026, 6, 1))],
-    "Course": [(1, "Databases", None, D("100.00"), D("50.00")), (2, "Web", None, D("50.00"), D("25.00"))],
-    "Track": [(1, "Backend", 1), (2, "Frontend", 2)],
+    "Admin": [(1, "root", "Rhea")],
+    "TrainingManager": [(1, "lead", "Lars")],
+    "Instructor": [
+        (1, "kim", "Kim", "kim@example.org", "4411"),
+        (2, "lou", "Lou", "lou@example.org", None),
+        (3, "mo", "Mo", "mo@example.org", None),
+    ],
+    "Branch": [(1, "Harbour", "Pier 4"), (2, "Hill", None), (3, "Mill", None)],
+    "Intake": [(1, "March", dt.date(2027, 3, 1)), (2, "July", dt.date(2027, 7, 1))],
+    "Course": [
+        (1, "Baking", "Bread and rolls", D("90.00"), D("45.00")),
+        (2, "Sailing", None, D("60.00"), D("30.00")),
+        (3, "Weaving", None, D("40.00"), D("20.00")),
+    ],
+    "Track": [(1, "Bread", 1), (2, "Ropes", 2), (3, "Cloth", 3)],
     "Student": [
-        (1, "s1", "Amal", "s1@example.org", None, 1, 1, 1),
-        (2, "s2", "Bea", "s2@example.org", None, 2, 2, 2),
-        (3, "s3", "Cem", "s3@example.org", None, 1, 1, 1),
+        (1, "p1", "Pia", "p1@example.org", None, 1, 1, 1),
+        (2, "p2", "Quin", "p2@example.org", "4422", 1, 1, 1),
+        (3, "p3", "Rob", "p3@example.org", None, 2, 2, 2),
+        (4, "p4", "Sol", "p4@example.org", None, 3, 3, 1),
     ],
-    "CourseAssignment": [(1, 1, 1, 2026), (2, 2, 2, 2026)],
+    "CourseAssignment": [(1, 1, 1, 2027), (2, 2, 2, 2027), (3, 3, 3, 2027)],
     "Question": [
-        (1, 1, "MCQ", "Which letter comes first?", 1),
-        (2, 1, "TF", "Keys may be empty.", 1),
-        (3, 1, "Text", "What is a key for?", 1),
-        (4, 2, "MCQ", "Which tag is bold?", 2),
-        (5, 1, "Text", "What is a reference?", 1),
-        (6, 1, "MCQ", "Which letter comes last?", 1),
+        (1, 1, "Text", "How long does dough rest?", 1),
+        (2, 1, "MCQ", "Which flour has the most gluten?", 1),
+        (3, 1, "TF", "Yeast is alive.", 1),
+        (4, 1, "MCQ", "Which shelf of the oven is hottest?", 1),
+        (5, 2, "TF", "Port is on the left.", 2),
+        (6, 2, "MCQ", "Which knot makes a loop?", 2),
+        (7, 1, "Text", "Why is salt added?", 1),
+        (8, 3, "Text", "What does a shuttle carry?", 3),
+    ],
+    "MCQChoice": [
+        (1, 2, "rye", False), (2, 2, "wheat", True), (3, 2, "rice", False),
+        (4, 6, "bowline", True), (5, 6, "reef knot", False),
     ],
-    "MCQChoice": [(1, 1, "a", True), (2, 1, "b", False), (3, 1, "c", False), (4, 1, "d", False), (5, 4, "b", True)],
-    "TFQuestion": [(2, False)],
-    "TextQuestion": [(3, "It names one row of a table."), (5, "A column that names a row elsewhere.")],
+    "TFQuestion": [(3, True), (5, True)],
+    "TextQuestion": [(1, "Until it has doubled."), (7, "It slows the yeast."), (8, "The weft.")],
     "Exam": [
-        (1, 1, "Exam", 1, 1, 1, moment(9), moment(11), 120, None),
-        (2, 1, "Exam", 1, 1, 1, moment(9), moment(12), 180, "None"),
+        (1, 1, "Exam", 1, 1, 1, moment(10), moment(12), 100, None),
+        (2, 1, "Corrective", 1, 1, 1, moment(13), moment(16), 150, "Scales"),
+        (3, 2, "Exam", 2, 2, 2, moment(10), moment(11), 45, None),
     ],
     "ExamQuestion": [
-        (1, 1, 1, D(20)), (2, 1, 2, D(20)), (3, 1, 3, D(20)),
-        (4, 2, 1, D(10)), (5, 2, 2, D(10)), (6, 2, 3, D(10)),
+        (1, 1, 1, D(25)), (2, 1, 2, D(15)), (3, 1, 3, D(30)),
+        (4, 2, 1, D(12)), (5, 2, 2, D(8)), (6, 2, 7, D("6.50")),
+        (7, 3, 6, D(20)),
     ],
-    "StudentExam": [(1, 1, 1, DAY, at(9), at(11), None), (2, 2, 1, DAY, at(9), at(12), None)],
+    "StudentExam": [(1, 1, 1, DAY, at(10), at(12), None), (2, 2, 1, DAY, at(13), at(16), None)],
     "StudentAnswer": [
-        (1, 1, 1, 1, None, None, None, None, None),
-        (2, 1, 2, None, False, None, None, None, None),
-        (3, 1, 3, None, None, "It names one row of a table.", None, None, None),
-        (4, 2, 2, None, True, None, None, None, None),
+        (1, 1, 1, None, None, " Until it  has DOUBLED.", None, None, None),
+        (2, 1, 2, 2, None, None, None, None, None),
+        (3, 1, 3, None, False, None, None, None, None),
+        (4, 2, 2, 3, None, None, None, None, None),
     ],
 }
 

@@ -42,17 +42,17 @@ UNIQUE = [
     ("ExamQuestion", (9, 1, 1, D(10)), "EQ_ExmId EQ_QId", "1|1"),
     ("StudentExam", (9, 2, 1, DAY, at(9), at(10), None), "SE_ExmId SE_StId", "2|1"),
     ("StudentAnswer", (9, 2, 2, None, False, None, None, None, None), "Ans_SEId Ans_QId", "2|2"),
-    ("Admin", (9, "admin", "x"), "Adm_User", "admin"),
-    ("TrainingManager", (9, "manager", "x"), "Mgr_User", "manager"),
-    ("Instructor", (9, "ina", "x", "x@example.org", None), "Ins_User", "ina"),
-    ("Instructor", (9, "x", "x", "ina@example.org", None), "Ins_Email", "ina@example.org"),
-    ("Branch", (9, "North  ", None), "Br_Name", "North"),  # blanks at the end do not count
-    ("Intake", (9, "Spring", dt.date(2027, 1, 1)), "Int_Name", "Spring"),
-    ("Course", (9, "Web", None, D(5), D(1)), "Crs_Name", "Web"),
-    ("Track", (9, "Backend", 1), "Trk_Name Trk_BrId", "Backend|1"),
-    ("Student", (9, "s1", "x", "x@example.org", None, 1, 1, 1), "St_User", "s1"),
-    ("Student", (9, "x", "x", "s1@example.org", None, 1, 1, 1), "St_Email", "s1@example.org"),
-    ("CourseAssignment", (9, 1, 2, 2026), "Asg_CrsId Asg_Year", "1|2026"),
+    ("Admin", (9, "root", "x"), "Adm_User", "root"),
+    ("TrainingManager", (9, "lead", "x"), "Mgr_User", "lead"),
+    ("Instructor", (9, "kim", "x", "x@example.org", None), "Ins_User", "kim"),
+    ("Instructor", (9, "x", "x", "lou@example.org", None), "Ins_Email", "lou@example.org"),
+    ("Branch", (9, "Hill  ", None), "Br_Name", "Hill"),  # blanks at the end do not count
+    ("Intake", (9, "July", dt.date(2028, 1, 1)), "Int_Name", "July"),
+    ("Course", (9, "Weaving", None, D(5), D(1)), "Crs_Name", "Weaving"),
+    ("Track", (9, "Cloth", 3), "Trk_Name Trk_BrId", "Cloth|3"),
+    ("Student", (9, "p4", "x", "x@example.org", None, 1, 1, 1), "St_User", "p4"),
+    ("Student", (9, "x", "x", "p2@example.org", None, 1, 1, 1), "St_Email", "p2@example.org"),
+    ("CourseAssignment", (9, 3, 2, 2027), "Asg_CrsId Asg_Year", "3|2027"),
     ("Question", (1, 1, "TF", "again", 1), "Q_Id", "1"),
 ]
 
@@ -64,19 +64,19 @@ def test_unique(spark, seed, table, row, key, value):
 
 
 def test_unique_case_blind_on_request(spark, seed):
-    tables = plus(spark, seed, "Branch", (9, "NORTH", None))
+    tables = plus(spark, seed, "Branch", (9, "MILL", None))
     assert constraints.unique_violations(tables, ["Branch"]).isEmpty()
     assert constraints.unique_violations(tables, ["Branch"], ci=True).count() == 1
 
 
 def test_track_name_may_repeat_in_another_branch(spark, seed):
-    assert constraints.unique_violations(plus(spark, seed, "Track", (9, "Backend", 2)), ["Track"]).isEmpty()
+    assert constraints.unique_violations(plus(spark, seed, "Track", (9, "Cloth", 2)), ["Track"]).isEmpty()
 
 
 def test_one_correct_choice(spark, seed):
-    second = plus(spark, seed, "MCQChoice", (9, 1, "e", True))
-    assert [tuple(r) for r in constraints.correct_choice_violations(second).collect()] == [(1, 2)]
-    first = plus(spark, seed, "MCQChoice", (9, 6, "z", True))
+    second = plus(spark, seed, "MCQChoice", (9, 2, "spelt", True))
+    assert [tuple(r) for r in constraints.correct_choice_violations(second).collect()] == [(2, 2)]
+    first = plus(spark, seed, "MCQChoice", (9, 4, "the top", True))
     assert constraints.correct_choice_violations(first).isEmpty()
 
 
