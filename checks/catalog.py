@@ -34,6 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+BODY: dict[str, str] = {}
 
 DAY = dt.date(2024, 1, 31)
 SMALL, LARGE = string.ascii_lowercase, string.ascii_uppercase
@@ -53,6 +54,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
+            BODY[name] = sql
             SQL[name] = with_tables(sql)
         return function
 
@@ -219,6 +221,18 @@ def _(t):
     )
 
 
+@query("r37_column_default", "SELECT Ch_Id, Ch_QId, Ch_Text, false AS Ch_Correct FROM t_choice")
+def _(t):
+    """Choices that come in without the flag."""
+    return store.conform(t["MCQChoice"].drop("Ch_Correct"), "MCQChoice")
+
+
+@query("r22_exam_papers_in_order", "SELECT EQ_ExmId, EQ_QId, Q_Type, EQ_Degree FROM t_slot ORDER BY EQ_ExmId, EQ_QId")
+def _(t):
+    """The papers as they are printed: by exam, then question."""
+    return views.exam_questions(t).select("EQ_ExmId", "EQ_QId", "Q_Type", "EQ_Degree").orderBy("EQ_ExmId", "EQ_QId")
+
+
 # -- integrity rules ---------------------------------------------------------------------
 
 
@@ -403,6 +417,26 @@ def _(t):
     return constraints.value_violations(req.broken_values(t))
 
 
+def _batch(rule: str, of: str, tables):
+    """All rows of the rule's table come in as one batch: is it refused, and why?"""
+
+    @query(f"{rule.lower().replace('-', '')}_batch_verdict", f"SELECT rule, message, count(*) AS n_rows, min(key) AS first_key FROM ({BODY[of]}) GROUP BY rule, message")
+    def verdict(t):
+        now = tables(t)
+        return audits.batch_verdict(audits.AUDITS[rule](now, now[audits.SUBJECT[rule]]))
+
+
+_batch("I-1", "i1_student_track_branch", lambda t: t)
+_batch("I-2", "i2_exam_track_branch", lambda t: req.bad_exams(_all_exams(t)))
+_batch("I-3", "i3_seat_student", lambda t: t)
+_batch("I-4", "i4_exam_question_course", lambda t: req.bad_exam_questions(_all_exams(t), t.file("part")))
+_batch("I-5", "i5_exam_max_degree", _all_exams)
+_batch("I-6", "i6_question_author", lambda t: t)
+_batch("I-7", "i7_tf_type", req.bad_tf)
+_batch("I-8", "i8_text_type", req.bad_text)
+_batch("I-9", "i9_choice_type", req.bad_choices)
+
+
 # -- functions ---------------------------------------------------------------------------
 
 
@@ -490,6 +524,15 @@ def _(t):
     return exams.generate_random_exams(req.random_exam_requests(t), t, 7).rejected
 
 
+@query(
+    "p2_random_exam_defaults_rejected",
+    rejected("j2d", "50010 50011 50012 50013 50014 50015 50016 50017 50018 50019 I-11 I-14 I-2"),
+)
+def _(t):
+    """Requests that give a number of choice questions and leave the rest to the defaults."""
+    short = req.random_exam_requests(t).drop("n_tf", "n_text", "degree")
+    return exams.generate_random_exams(short, t, 7).rejected
+
 
 @query("p3_manual_exam", f"SELECT {_EXAM} FROM new3")
 def _(t):
@@ -563,6 +606,37 @@ def _(t):
     return grading.grade_seats(t, req.grade_requests(t)).rejected
 
 
+@query(
+    "p6_grade_requests_answers",
+    """
+SELECT Ans_Id, Ans_SEId, Ans_QId, Ans_Correct, Ans_Degree FROM graded JOIN orders ON o_orderkey = Ans_SEId
+WHERE o_orderkey % 43 <> 3""",
+)
+def _(t):
+    graded = grading.grade_seats(t, req.grade_requests(t)).answers
+    return graded.select("Ans_Id", "Ans_SEId", "Ans_QId", "Ans_Correct", "Ans_Degree")
+
+
+@query("p6_grade_requests_results", "SELECT SE_Id, FinalResult FROM results WHERE SE_Id % 43 <> 3")
+def _(t):
+    return grading.grade_seats(t, req.grade_requests(t)).results
+
+
+@query(
+    "p6_overflowing_seats",
+    f"""
+SELECT CAST(Ans_SEId AS VARCHAR) AS req_id, 'OVERFLOW' AS error_code, '{message("OVERFLOW")}' AS error_message
+FROM t_answer WHERE Ans_SEId % 7 = 0 GROUP BY Ans_SEId HAVING count(*) > 1""",
+)
+def _(t):
+    """Answers off their exam that carry the largest degree: two of them are too much for a seat."""
+    heavy = every(7, F.col("Ans_SEId"))
+    answers_ = t["StudentAnswer"]
+    changed = {"Ans_QId": -F.col("Ans_QId") - 1, "Ans_Degree": F.lit("999.99").cast("decimal(5,2)")}
+    columns = [F.when(heavy, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in answers_.columns]
+    return grading.overflowing_seats(grading.seat_totals(store.replace(t, StudentAnswer=answers_.select(*columns))))
+
+
 def _marked(t):
     return grading.mark_answers(req.marks(t), _graded(t))
 
@@ -662,9 +736,58 @@ def _(t):
     return audits.AUDITS["I-1"](store.replace(t, Track=moved), None)
 
 
+@query(
+    "p11_stale_exams",
+    _violations(
+        "I-2",
+        "SELECT Exm_Id AS key FROM t_exam JOIN (SELECT CASE WHEN n_regionkey = 0 THEN 5 ELSE n_regionkey + 1 END AS branch, n_nationkey + 1 AS track "
+        "FROM nation) ON track = Exm_TrkId WHERE branch <> Exm_BrId",
+    ),
+)
+def _(t):
+    """The same move leaves exams behind."""
+    n = F.col("n_nationkey")
+    moves = t.file("nation").where(F.col("n_regionkey") == 0).select(
+        F.lit(1).cast("long").alias("req_id"), (n + 1).cast("long").alias("Trk_Id"), F.col("n_name").alias("Trk_Name"),
+        F.lit(5).cast("long").alias("Trk_BrId"),
+    )
+    return audits.AUDITS["I-2"](store.replace(t, Track=dimensions.merge(moves, t, "Track").rows), None)
+
+
+@query(
+    "p14_stale_seats",
+    _violations(
+        "I-3",
+        "SELECT SE_Id AS key FROM t_seat JOIN t_exam ON Exm_Id = SE_ExmId JOIN t_student ON St_Id = SE_StId "
+        "WHERE Exm_BrId <> St_BrId OR Exm_TrkId <> St_TrkId OR CASE WHEN St_Id % 3 = 0 AND St_Id % 97 <> 0 THEN St_IntId % 5 + 1 ELSE St_IntId END <> Exm_IntId",
+    ),
+)
+def _(t):
+    """Students who change their intake leave their seats behind."""
+    key = F.col("St_Id")
+    moves = t.Student.where(every(3, key) & ~every(97, key)).select(
+        key.alias("req_id"), key, "St_Name", "St_Email", "St_Phone",
+        F.col("St_BrId").cast("long").alias("St_BrId"), F.col("St_TrkId").cast("long").alias("St_TrkId"),
+        (F.col("St_IntId") % 5 + 1).cast("long").alias("St_IntId"),
+    )
+    return audits.AUDITS["I-3"](store.replace(t, Student=dimensions.merge(moves, t, "Student").rows), None)
+
+
 # -- searches ----------------------------------------------------------------------------
 
 
+@query(
+    "p15_search_students_backslash",
+    """
+SELECT St_Id, replace(St_Name, '#', chr(92)) AS St_Name FROM t_student
+WHERE replace(St_Name, '#', chr(92)) LIKE '%' || chr(92) || '%1_5%'""",
+)
+def _(t):
+    """Names that hold a backslash, looked for with one."""
+    named = t["Student"].withColumn("St_Name", F.replace("St_Name", F.lit("#"), F.lit("\\")))
+    return searches.search_students(store.replace(t, Student=named), name="\\%1_5").select("St_Id", "St_Name")
+
+
 @query(
     "p15_search_students",
     """

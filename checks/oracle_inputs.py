@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracle_tables import cte
+from checks.oracle_tables import CTES, cte
 from invigil.messages import message
 from invigil.schema import TABLES
 
@@ -104,6 +104,8 @@ SELECT *, CASE
   WHEN Exm_BrId <> (SELECT Trk_BrId FROM t_track WHERE Trk_Id = Exm_TrkId) THEN 'I-2' END AS error_code
 FROM r2 LEFT JOIN t_assignment ON Asg_Id = Exm_AsgId LEFT JOIN t_course c ON c.Crs_Id = Asg_CrsId""",
 )
+cte("r2d", "SELECT * REPLACE (0 AS n_tf, 0 AS n_text, CAST(1 AS DECIMAL(5,2)) AS degree) FROM r2")
+cte("j2d", CTES["j2"].replace("FROM r2 ", "FROM r2d "))
 cte(
     "new2",
     """

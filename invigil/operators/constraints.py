@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +49,9 @@ def unique_violations(tables: Tables, names: Iterable[str] | None = None, ci: bo
     return _union([duplicates(tables[spec.name], spec, ci) for spec in _specs(names)])
 
 
-def duplicates(df: DataFrame, spec: Table, ci: bool = False) -> DataFrame:
+def duplicates(df: DataFrame, spec: Table, ci: bool = False, keys: Iterable[tuple[str, ...]] | None = None) -> DataFrame:
     """Only the key columns are read, and counts are combined before the exchange."""
-    keys = [(spec.key,), *spec.unique]
+    keys = list(keys or [(spec.key,), *spec.unique])
 
     def part(column: str) -> Column:
         if spec.column(column).type != "string":
@@ -120,6 +120,12 @@ def value_violations(tables: Tables, names: Iterable[str] | None = None) -> Data
 
 def require_unique(tables: Tables, names: Iterable[str]) -> None:
     """Raise if a key of the named tables occurs twice: joins on it would double rows."""
-    first = unique_violations(tables, names).limit(1).collect()
+    require_keys(tables, {n: [(TABLES[n].key,), *TABLES[n].unique] for n in names})
+
+
+def require_keys(tables: Tables, keys: Mapping[str, list[tuple[str, ...]]]) -> None:
+    """Raise if one of the named keys occurs twice."""
+    found = _union([duplicates(tables[name], TABLES[name], keys=own) for name, own in keys.items()])
+    first = found.limit(1).collect()
     if first:
         raise ValueError(f"duplicate key: {first[0].asDict()}")

@@ -144,13 +144,25 @@ def judge_random_exams(requests: DataFrame, tables: Tables) -> DataFrame:
     return judged.select(*requests.columns, "Asg_CrsId", *[f"has_{c}" for c in COUNTS.values()], ERROR)
 
 
+# What a column that is left out counts as.
+RANDOM_DEFAULTS = {"n_mcq": "0", "n_tf": "0", "n_text": "0", "degree": "cast(1 as decimal(5,2))"}
+
+
+def with_random_defaults(requests: DataFrame) -> DataFrame:
+    """``requests`` with the declared defaults in place of columns that are left out altogether."""
+    missing = {c: F.expr(sql) for c, sql in RANDOM_DEFAULTS.items() if c not in requests.columns}
+    return requests.withColumns(missing) if missing else requests
+
+
 def generate_random_exams(requests: DataFrame, tables: Tables, seed: int | str = 0) -> NewExams:
     """Exams with random questions of each type from the course's pool.
 
+    Counts that are left out as columns are 0, a degree that is left out is 1.
+
     The draw depends on the seed, the request and the pool alone.  A request whose counts
     are missing cannot be stored and is rejected like any missing value.
     """
-    outcome = split(judge_random_exams(requests, tables), RANDOM_CODES)
+    outcome = split(judge_random_exams(with_random_defaults(requests), tables), RANDOM_CODES)
     exams = stage(append_with_ids(tables["Exam"], outcome.accepted, "Exm_Id", "req_id"), "exams")
     wanted = F.array(
         *[

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from invigil.functions.rules import ERROR, Outcome, judge, split, with_messages
 from invigil.functions.text import comparable_answer
-from invigil.operators.constraints import require_unique
+from invigil.operators.constraints import require_keys
 from invigil.schema import DEGREE
 from invigil.session import stage
 from invigil.sources.tables import Tables, replace, update_from_join
@@ -120,8 +120,15 @@ def overflowing_seats(totals: DataFrame) -> DataFrame:
     return with_messages(seats, ["OVERFLOW"])
 
 
-#: Tables in which a key that occurs twice would count degrees twice.
-GRADED_BY = ["ExamQuestion", "TFQuestion", "TextQuestion", "MCQChoice", "StudentExam", "StudentAnswer"]
+#: Keys that grading joins and sums by: one that occurs twice would count degrees twice.
+GRADED_BY = {
+    "ExamQuestion": [("EQ_ExmId", "EQ_QId")],
+    "TFQuestion": [("TF_QId",)],
+    "TextQuestion": [("Txt_QId",)],
+    "MCQChoice": [("Ch_Id",)],
+    "StudentExam": [("SE_Id",)],
+    "StudentAnswer": [("Ans_SEId", "Ans_QId")],
+}
 
 
 def grade_seats(tables: Tables, requests: DataFrame | None = None) -> Graded:
@@ -131,7 +138,7 @@ def grade_seats(tables: Tables, requests: DataFrame | None = None) -> Graded:
     column rejects that seat alone.  Raises if a key that grading joins on occurs twice.
     Graded answers are written once; totals and results are sums over them.
     """
-    require_unique(tables, GRADED_BY)
+    require_keys(tables, GRADED_BY)
     scope = tables
     rejected = None
     if requests is not None:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 from threading import RLock
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,17 +88,51 @@ def kept(function: Callable[[Star], DataFrame] | None = None, *, bucket: str | N
     return wrap(function) if function else wrap
 
 
-# Where each (application, input folder) keeps its tables, and which are complete.
-_FOLDERS: dict[tuple[str, str], str] = {}
+#: Compressed input per bucket of a stored fact, and the fewest buckets.
+BUCKET_BYTES = 32 << 20
+LEAST_BUCKETS = 8
+
+# Where each (application, input folder) keeps its tables and from which files, and which are complete.
+_FOLDERS: dict[tuple[str, str], tuple[str, tuple]] = {}
 _COMPLETE: dict[str, T.StructType] = {}
 _WRITING = RLock()
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the data files at ``path``, in any store Spark can read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    found = [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in store.listStatus(where) if f.isFile()]
+    return sorted(f for f in found if not f[0].rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Star:
+    """The tables derived from the files as they are now; what came of older files is dropped."""
     place = (spark.sparkContext.applicationId, sf_dir)
-    if place not in _FOLDERS:
-        _FOLDERS[place] = new_folder(spark, "star")
-    return Star(spark, sf_dir, _FOLDERS[place])
+    version = tuple(f for name in FILES for f in files(spark, f"{sf_dir}/{name}.parquet"))
+    with _WRITING:
+        folder, known = _FOLDERS.get(place, (None, None))
+        if folder and known != version:
+            forget(spark, folder)
+            folder = None
+        if not folder:
+            folder = new_folder(spark, "star")
+            _FOLDERS[place] = (folder, version)
+    return Star(spark, sf_dir, folder)
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Drop the tables and files that a stored Star left in ``folder``."""
+    prefix = folder.rsplit("/", 1)[-1].replace("-", "_") + "_"
+    for table in spark.catalog.listTables():
+        if table.name.startswith(prefix):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    for path in [p for p in _COMPLETE if p.startswith(folder + "/")]:
+        del _COMPLETE[path]
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Star(Mapping):
@@ -159,11 +193,12 @@ class Star(Mapping):
 
     @cached_property
     def n_buckets(self) -> int:
-        """One bucket per split of the largest input, but no more than a shuffle would have and
-        no fewer than there are cores; the same for all facts, so that they can meet."""
-        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        splits = self.file("lineitem").rdd.getNumPartitions()
-        return min(most, max(splits, self.spark.sparkContext.defaultParallelism))
+        """How many buckets all facts have, so that they can meet: a property of the stored tables.
+
+        One for every ``BUCKET_BYTES`` of the largest input, at least ``LEAST_BUCKETS``; neither the
+        session's partitions nor its cores play a part, so a bucket keeps its size as data grow.
+        """
+        return max(LEAST_BUCKETS, -(-sum(size for _, size, _ in files(self.spark, f"{self.sf_dir}/lineitem.parquet")) // BUCKET_BYTES))
 
     @cached_property
     def n_suppliers(self) -> Column:
@@ -224,11 +259,11 @@ class Star(Mapping):
 
     @kept
     def Intake(self) -> DataFrame:
-        names = F.array_sort(F.collect_set("c_mktsegment"))
+        # Numbers the distinct names, of which there are a few, not the customers.
+        names = self.file("customer").select(F.col("c_mktsegment").alias("Int_Name")).where("Int_Name is not null").distinct()
+        place = F.row_number().over(Window.orderBy("Int_Name")) - 1
         return (
-            self.file("customer")
-            .agg(names.alias("names"))
-            .select(F.posexplode("names").alias("place", "Int_Name"))
+            names.withColumn("place", place)
             .select(
                 (F.col("place") + 1).alias("Int_Id"),
                 "Int_Name",

@@ -120,14 +120,13 @@ def publish(df: DataFrame, root: str, table: str, version: int) -> str:
     return path
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int | None = None) -> None:
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
     """Write a fact as ``buckets`` files hashed by ``key``, one file each, and name it ``table``.
 
     Two facts with the same key values and number of buckets join on it without an exchange.
-    The default is the session's number of shuffle partitions, which is meant to be chosen so
-    that a task's share fits in memory.
+    The number is a property of the table: a task reads a whole bucket, so it has to grow with
+    the data (see ``Star.n_buckets``).
     """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid_out = df.repartition(buckets, key)
     writer = laid_out.write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
     writer.option("path", path).saveAsTable(table)
