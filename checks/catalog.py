@@ -25,7 +25,7 @@ from invigil.operators import answers, audits, constraints, dimensions, exams, g
 from invigil.operators.sampling import sample_n_per_group
 from invigil.plans import searches, views
 from invigil.schema import TABLES
-from invigil.session import new_folder, tune
+from invigil.session import new_folder, stage, tune
 from invigil.sources import tables as store
 from invigil.sources.star import Star, every, stored
 from invigil.streaming import answers as stream
@@ -585,6 +585,16 @@ def _(t):
     return answers.save_answers(req.answer_requests(t), req.some_answers(t)).rejected
 
 
+@query("p5_two_batches", "SELECT * EXCLUDE (Ans_Id) FROM saved5")
+def _(t):
+    """The batch in two parts, the later half of each hour first: what is stored does not depend on it."""
+    tables, requests = req.some_answers(t), req.answer_requests(t)
+    late = F.minute("submitted_at") >= 30
+    first = answers.save_answers(requests.where(late), tables, stamped=True).answers
+    first = store.replace(tables, StudentAnswer=stage(first, "first-batch"))
+    return answers.save_answers(requests.where(~late), first).answers.drop("Ans_Id")
+
+
 @query("p6_final_results", "SELECT SE_Id, FinalResult FROM results")
 def _(t):
     return grading.final_results(t)

@@ -24,8 +24,9 @@ def replace(tables: Tables, **changed: DataFrame) -> Tables:
     return ChainMap(changed, tables)
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Exactly the declared columns and types, in order; a flag that was left out is false."""
+def conform(df: DataFrame, table: str, also: Sequence[str] = ()) -> DataFrame:
+    """Exactly the declared columns and types, in order, then those named in ``also``; a flag that
+    was left out is false."""
     spec = TABLES[table]
     columns = []
     for field in spec.struct:
@@ -33,7 +34,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         if (table, field.name) in DEFAULTS:
             value = F.coalesce(value, F.lit(DEFAULTS[table, field.name]))
         columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *also)
 
 
 # Fixed value: the one column with a default.

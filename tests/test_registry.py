@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from checks import catalog
 from checks import inputs as req
 from checks.compare import compare, database
 from checks.skew import skewed_copy
@@ -25,7 +26,10 @@ SOME = [
     "s4_append_with_ids", "s8_upsert", "s10_snapshot", "r21_sample_n_per_group", "i5_exam_max_degree", "i10_answer_fits",
     "i11_check", "i15_value", "f2_normalize_answer", "p1_create_question_keys", "p2_random_exam_questions",
     "p3_manual_exam_rejected", "p4_assign_student", "p6_final_results", "p7_mark_answer_results", "p13_add_student",
-    "p14_update_student", "p16_search_exams", "v2_exam_details", "st1_stream_answers",
+    "p14_update_student", "p16_search_exams", "v2_exam_details", "st1_stream_answers", "p5_two_batches", "p6_grade_requests_answers",
+    "p6_overflowing_seats", "p7_mark_answer", "p11_stale_exams", "p14_stale_seats", "p15_search_students_backslash",
+    "p2_random_exam_defaults_rejected", "r22_exam_papers_in_order", "r37_column_default", "i5_batch_verdict", "i12_unique",
+    "v4_text_answers_for_review",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no given data here")
 
@@ -35,7 +39,7 @@ def con():
     return database(DIR)
 
 
-@pytest.mark.parametrize("key", list(registered.queries()) if os.environ.get("INVIGIL_ALL") else SOME)
+@pytest.mark.parametrize("key", list(catalog.QUERIES) if os.environ.get("INVIGIL_ALL") else SOME)
 def test_query_agrees_with_sql(spark, con, key):
     assert compare(spark, con, key, registered.queries()[key], registered.oracle_sql().get(key), DIR)
 
@@ -54,7 +58,7 @@ def test_query_agrees_with_sql_when_one_key_holds_a_third_of_the_rows(spark, ske
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
 def test_entry(spark):
@@ -115,6 +119,25 @@ def test_seats_meet_their_answers_without_an_exchange(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_a_small_batch_leaves_the_answers_where_they_are(spark):
+    """Also when nothing is small enough to broadcast: only the batch is exchanged."""
+    tables = stored(spark, DIR)
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    few = req.answer_requests(tables).where("Ans_SEId % 50 = 0")
+    try:
+        for key in limits:
+            spark.conf.set(key, "-1")
+        latest = answers.latest_answers(few)
+        plan = answers.store_answers(latest, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    lines = plan.splitlines()
+    for n, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            assert "Bucketed: true" not in next(below for below in lines[n:] if "FileScan" in below)
+
+
 def test_hot_seat_question_and_choice_are_split(spark, skewed):
     """Submissions that crowd on one seat, with thresholds scaled down to the test's size."""
     t = stored(spark, skewed)
