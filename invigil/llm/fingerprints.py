@@ -7,7 +7,7 @@ estimates how much two texts share (the error is about 0.09).  Sums know no orde
 sentence can be added to a fingerprint or taken away again without the rest of the text.
 
 All of it is DataFrame functions.  A text is split and summed inside its row, so nothing is
-shuffled for a fingerprint.  Only pairing each document with the next one moves rows, once:
+shuffled for a fingerprint.  Only pairing each document with the next one moves texts, once:
 they meet in blocks of 1,024 ids, and one row per block is carried over to the block before.
 
 Defined cases: a null text is empty; a text without sentences has all lanes zero; equal texts
@@ -105,9 +105,8 @@ def _block(doc_id: str = "doc_id") -> Column:
 
 
 def _next_blocks(ids: DataFrame) -> DataFrame:
-    """(block, head, next_block): every block's largest id and the block below it; the lowest is
-    followed by the highest.  Windows hold 1,024 blocks, the last one a row per 2**20 ids."""
-    blocks = ids.groupBy(_block().alias("block")).agg(F.max("doc_id").alias("head"))
+    """(block, next_block): every block and the one below it; the lowest is followed by the highest.  Windows hold 1,024 blocks, the last one a row per 2**20 ids."""
+    blocks = ids.select(_block().alias("block")).distinct()
     blocks = blocks.withColumn("_above", F.shiftright("block", BLOCK_BITS))
     tops = blocks.groupBy("_above").agg(F.max("block").alias("_highest"))
     falling = Window.orderBy(F.desc("_above"))
@@ -118,26 +117,23 @@ def _next_blocks(ids: DataFrame) -> DataFrame:
     )
     inside = F.lead("block").over(Window.partitionBy("_above").orderBy(F.desc("block")))
     blocks = blocks.withColumn("_inside", inside).join(tops, F.col("_above") == F.col("_top"))
-    return blocks.select("block", "head", F.coalesce("_inside", "_after").alias("next_block"))
+    return blocks.select("block", F.coalesce("_inside", "_after").alias("next_block"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, vectors, next): ``next`` has the text and vectors of the document that
-    follows in descending order of doc_id; the last is followed by the first."""
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    blocks = _next_blocks(docs.select("doc_id"))
-    one = F.struct("text", "vectors")
-
-    heads = narrow.join(blocks.select(F.col("head").alias("_head")), F.col("doc_id").eqNullSafe(F.col("_head")))
-    heads = heads.groupBy(_block().alias("_of")).agg(F.min("text").alias("text"))
-    heads = with_vectors(heads, "text", "vectors").select("_of", one.alias("_first"))
-    heads = blocks.join(heads, F.col("next_block") == F.col("_of")).select(F.col("block").alias("_last_of"), "_first")
-
-    rows = with_vectors(narrow.withColumn("_block", _block()), "text", "vectors")
+    """(doc_id, text, next): ``next`` is the text of the document that follows in descending order
+    of doc_id; the last is followed by the first.  Texts are exchanged once: the rows that open a
+    block are read from the same exchange."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _block().alias("_block"))
     falling = Window.partitionBy("_block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.withColumn("_next", F.lead(one).over(falling))
+    rows = rows.select("*", F.lead("text").over(falling).alias("_next"), F.lag("text").over(falling).alias("_before"))
+
+    heads = rows.where(F.col("_before").isNull()).select(F.col("_block").alias("_of"), F.col("text").alias("_first"))
+    blocks = _next_blocks(docs.select("doc_id")).select(F.col("block").alias("_last_of"), "next_block")
+    heads = blocks.join(heads, F.col("next_block") == F.col("_of")).select("_last_of", "_first")
+    # Only a block's last row has no next one in it; a text is never null here.
     rows = rows.join(heads, F.col("_block") == F.col("_last_of"), "left")
-    return rows.select("doc_id", "text", "vectors", F.coalesce("_next", "_first").alias("next"))
+    return rows.select("doc_id", "text", F.coalesce("_next", "_first").alias("next"))
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -147,8 +143,10 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("_half", F.expr("n_chars div 2"))
-    edited = F.expr("concat(substring(text, 1, int(n_chars - _half)), substring(next.text, 1, int(_half)))")
-    rows = rows.select("doc_id", "n_chars", "vectors", F.col("next.vectors").alias("_following"), edited.alias("_edited"))
+    edited = F.expr("concat(substring(text, 1, int(n_chars - _half)), substring(next, 1, int(_half)))")
+    rows = rows.select("doc_id", "n_chars", "text", "next", edited.alias("_edited"))
+    rows = with_vectors(rows, "text", "vectors").drop("text")
+    rows = with_vectors(rows, "next", "_following").drop("next")
     rows = with_vectors(rows, "_edited", "_changed")
     return rows.select(
         "doc_id",
