@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from invigil.llm.common import Memo, fresh, over_slices, slices, tokenizer_path
+from invigil.llm.common import Memo, back, beside, fresh, over_slices, slices, tokenizer_path
 
 # Fixed value: how the vocabulary's makers split a text before any merge.  White space is what
 # Unicode calls so.
@@ -143,9 +143,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = [load(path).encode(t) for t in part.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "tokens"])
 
-    return docs.mapInArrow(over_slices(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    inner = beside(docs, "text")
+    schema = T.StructType([inner.schema["row"], T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    return back(inner.mapInArrow(over_slices(run), schema), docs.columns, ids="tokens")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -155,9 +157,11 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [load(path).decode(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
+    inner = beside(tokens, "ids")
+    schema = T.StructType([inner.schema["row"], T.StructField("text", T.StringType())])
+    return back(inner.mapInArrow(run, schema), tokens.columns, decoded="text")
 
 
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:

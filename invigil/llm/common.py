@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 
@@ -72,6 +73,17 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def beside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The named columns, and all of ``docs`` as one struct, whatever its columns are called."""
+    return docs.select(F.struct(*[F.col(field(c)) for c in docs.columns]).alias("row"), *needed)
+
+
+def back(df: DataFrame, columns: list[str], **changed: str) -> DataFrame:
+    """The columns of the struct again, those named in ``changed`` taken from that column."""
+    kept = [F.col(changed[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in columns]
+    return df.select(*kept, *[F.col(v).alias(c) for c, v in changed.items() if c not in columns])
+
+
 def field(name: str) -> str:
     """A column as SQL quotes it."""
     return "`" + name.replace("`", "``") + "`"

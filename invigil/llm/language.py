@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from invigil.llm.common import field, fresh, slices, tokenizer_path, unused
+from invigil.llm.common import back, beside, field, fresh, slices, tokenizer_path, unused
 from invigil.session import stage
 
 UNDECIDED = "und"
@@ -298,11 +298,12 @@ def identify(
         scorer = Scorer(shared.value, path)
         for part in slices(batches):
             found, scores = scorer.score(part.column("text").to_pylist())
-            columns = [*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
+            columns = [part.column("row"), pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "found", "likely"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    inner = beside(docs, "text")
+    schema = T.StructType([inner.schema["row"], T.StructField("found", T.StringType()), T.StructField("likely", T.DoubleType())])
+    return back(inner.mapInArrow(run, schema), docs.columns, **{names[0]: "found", names[1]: "likely"})
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from invigil.llm.common import slices
+from invigil.llm.common import back, beside, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]  # start, kind by its place, end: sorts as spans are listed
@@ -307,7 +307,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = [t and redact(t, find(t)[1]) for t in part.column("text").to_pylist()]
-            place = part.schema.get_field_index("text")
-            yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return docs.mapInArrow(run, docs.schema)
+    inner = beside(docs, "text")
+    return back(inner.mapInArrow(run, inner.schema), docs.columns, text="text")
