@@ -71,10 +71,12 @@ def shards(docs: DataFrame, n: int = SHARDS, seed: int = 11, bucket_bytes: int =
 
 def places(docs: DataFrame, n: int = SHARDS) -> DataFrame:
     """Where every document went: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    return shards(docs.select("doc_id", "text"), n).select(
+    records = docs.select("doc_id", "text", size_of().alias("size"), checksum().alias("text_crc32"))
+    # The text moves and is written with its record; what is asked for here is read without it.
+    return shards(records, n).select(
         "doc_id",
-        size_of().alias("size"),
-        checksum().alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
