@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -42,8 +41,6 @@ CAPACITY = 2048
 END = 0
 BLOCK_ROWS = 1024
 KNOWN = 800_000
-# A single stop after a letter is a token of its own, so the word before it is one with the bare word.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many), in the order of their places
 
@@ -77,27 +74,63 @@ class Words:
         self.tokenizer, self.known = _tokenizer(path), {}
         self.mark_id, token = max(self.tokenizer.get_added_tokens_decoder().items())
         self.mark = token.content
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [_STOP.sub(rb" \1", (t or "").encode()).split() for t in texts]
+        split = [(t or "").encode().split() for t in texts]
         if len(self.known) > KNOWN:
             self.known = {}
         self._learn([w for w in set().union(*split) if w not in self.known])
         return [b"".join(map(self.known.__getitem__, own)) for own in split]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode many words at a time, with a special token between them that cuts the ids apart."""
-        plain = [w for w in new if self.mark.encode() not in w]
+        """Encode many words at a time and cut the ids apart.
+
+        Words of letters alone are one token group each, which ends where a token ends a word.  A
+        single stop after such a word is a group of its own.  All else is encoded with a special
+        token between, and what holds that token's string by itself.
+        """
+        letters, stopped, rest = {}, [], []
+        for word in new:
+            text = word.decode()
+            if text.isalpha():
+                letters[word] = text
+            elif text[-1] in ".," and text[:-1].isalpha() and text[:-1].lower().isalpha():
+                stopped.append(word)
+                if word[:-1] not in self.known:
+                    letters[word[:-1]] = text[:-1]
+            else:
+                rest.append(word)
+        if stopped:
+            rest += [s for s in (b".", b",") if s not in self.known]
+        words = list(letters)
+        for start in range(0, len(words), 4096):
+            block = words[start : start + 4096]
+            ids = self._encoded(" ".join([letters[w] for w in block]))
+            cuts = np.flatnonzero(self.ends[ids]).tolist()
+            # A letter may turn into one with a mark when it is lowered: then they do not match.
+            if len(cuts) == len(block):
+                self._keep(block, ids, [-1, *cuts], [c + 1 for c in cuts])
+            else:
+                rest += block
+        plain = [w for w in rest if self.mark.encode() not in w]
         for start in range(0, len(plain), 4096):
             block = plain[start : start + 4096]
-            text = self.mark.join([w.decode() for w in block])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = self._encoded(self.mark.join([w.decode() for w in block]))
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            data, edges = ids.tobytes(), zip([-1, *cuts], [*cuts, len(ids)])
-            self.known.update((w, data[4 * a + 4 : 4 * b]) for w, (a, b) in zip(block, edges))
-        for word in set(new).difference(plain):
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            self._keep(block, ids, [-1, *cuts], [*cuts, len(ids)])
+        for word in set(rest).difference(plain):
+            self.known[word] = self._encoded(word.decode()).tobytes()
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in stopped)
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, after: list[int], upto: list[int]) -> None:
+        data = ids.tobytes()
+        self.known.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(words, after, upto))
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
