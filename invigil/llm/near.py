@@ -10,9 +10,9 @@ with the member most like all.  Signatures drop candidates that cannot reach the
 others are confirmed on full sets.
 
 That links most of each group with few pairs.  What it may have left is then closed: regions at
-the first depth that still hold several components offer all pairs across them that were not
-compared yet (a full one as pairs of its parts), again confirmed on full sets.  So a longer prefix
-saves work and loses nothing.  No pair inside a component is ever listed.  Regions of one component,
+the first depth that still hold several components are gone through with the full sets at hand (a
+full one as pairs of its parts), and give the links that join components, not pairs.  So a longer
+prefix saves work and loses nothing.  No pair inside a component is ever listed.  Regions of one component,
 as a group of thousands of copies makes them, are dropped by an aggregate before that.
 
 With 24 orders, a link at the threshold escapes all regions with a probability of about 3e-8 at
@@ -135,11 +135,11 @@ def _counted(members: DataFrame) -> DataFrame:
 
 
 def in_parts(members: DataFrame, limit: int) -> DataFrame:
-    """(key, parts, part, node): fuller regions than ``limit`` cut into parts of about that size."""
+    """(key, tree, parts, part, node): fuller regions than ``limit`` cut into parts of about that size."""
     parts = F.ceil(F.col("n") / limit).cast("int")
     # Another seed in each tree: what one tree's parts keep apart meets in another's.
     part = F.pmod(F.xxhash64("tree", "node"), parts).cast("int")
-    return members.select("key", parts.alias("parts"), part.alias("part"), "node")
+    return members.select("key", "tree", parts.alias("parts"), part.alias("part"), "node")
 
 
 def deepened(members: DataFrame, classes: DataFrame, limit: int = REGION) -> DataFrame:
@@ -228,26 +228,6 @@ def _neighbours(least: int):
     return pairs
 
 
-def _across(least: int):
-    """All pairs of different components, of different parts where two parts meet."""
-
-    def pairs(run: pa.RecordBatch):
-        nodes, own = run.column("node").to_numpy(), _signatures(run)
-        component, part = run.column("component").to_numpy(), run.column("part").to_numpy()
-        two = run.column("i")[0].as_py() != run.column("j")[0].as_py()
-        for start in range(0, len(nodes), 32):
-            rows = slice(start, start + 32)
-            fits = component[rows, None] != component[None, start:]
-            if two:
-                fits &= part[rows, None] != part[None, start:]
-            if fits.any():
-                fits &= (own[rows, None] == own[None, start:]).sum(axis=2) >= least
-                x, y = np.nonzero(fits)
-                yield nodes[start + x], nodes[start + y]
-
-    return pairs
-
-
 # -- confirming on full sets -------------------------------------------------------------
 
 
@@ -271,12 +251,25 @@ def _numbers(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose sets have 100 * intersection >= percent * union."""
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of some nodes.  Texts and nodes meet in the same way however many nodes there are."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = texts.join(nodes.distinct().hint("merge"), F.col("_id") == F.col("node"))
+    return stage(_sets(texts.select("node", "text").dropDuplicates(["node"])), "sets")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
+    # The smaller set bounds the intersection, the larger one the union.
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` that are links."""
     pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, F.col("_id") == F.col("node"))
-    sets = stage(_sets(texts.select("node", "text").dropDuplicates(["node"])), "sets")
     one = sets.select(F.col("node").alias("_a"), F.col("members").alias("x"))
     two = sets.select(F.col("node").alias("_b"), F.col("members").alias("y"))
     # The second member of a pair is met first: a hub, with many pairs, is mostly the first, and
@@ -285,21 +278,69 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = x.as_py(), y.as_py()
-                n, m = len(x) // SET_BYTES, len(y) // SET_BYTES
-                # The smaller set bounds the intersection, the larger one the union.
-                if 100 * min(n, m) < percent * max(n, m):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(_numbers(x), _numbers(y), assume_unique=True))
-                keep.append(100 * common >= percent * (n + m - common))
+            keep = [_linked(_numbers(x.as_py()), _numbers(y.as_py()), percent) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stage(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def closed(cells: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): links that join components within each cell, as few as it takes.
+
+    ``cells`` has, for each member, its component, signature, tree keys and set.  A pair of
+    components is done with the first link between them, and a pair of members is looked at in
+    the first tree alone in which they share a region.
+    """
+
+    def links(run: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        nodes, own = run.column("node").to_pylist(), _signatures(run)
+        component, part = run.column("component").to_numpy(), run.column("part").to_numpy()
+        keys = np.frombuffer(b"".join(run.column("keys").to_pylist()), np.int64).reshape(-1, TREES)
+        earlier = keys[:, : run.column("tree")[0].as_py()]
+        members = run.column("members")
+        sets: dict[int, np.ndarray] = {}
+        two = run.column("i")[0].as_py() != run.column("j")[0].as_py()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = _numbers(members[k].as_py())
+            return sets[k]
+
+        labels = component.tolist()
+        for start in range(0, len(nodes), 32):
+            rows = slice(start, start + 32)
+            fits = component[rows, None] != component[None, start:]
+            if two:
+                fits &= part[rows, None] != part[None, start:]
+            if not fits.any():
+                continue
+            fits &= (own[rows, None] == own[None, start:]).sum(axis=2) >= least
+            x, y = np.nonzero(fits)
+            x, y = x + start, y + start
+            new = (x < y) & ~(earlier[x] == earlier[y]).any(axis=1)
+            for i, j in zip(x[new].tolist(), y[new].tolist()):
+                a, b = root(labels[i]), root(labels[j])
+                if a != b and _linked(set_of(i), set_of(j), percent):
+                    parent[max(a, b)] = min(a, b)
+                    yield nodes[i], nodes[j]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _runs(batches, ["key", "i", "j"]):
+            found = list(links(own)) if own.num_rows > 1 else []
+            if found:
+                yield _pairs(*zip(*found))
+
+    by = ["key", "i", "j"]
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(cells.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long"), "more-links")
+
+
 # -- components --------------------------------------------------------------------------
 
 
@@ -334,29 +375,27 @@ def groups(docs: DataFrame, percent: int = 85, region: int = REGION) -> DataFram
 
     own = classes.select(F.col("node").alias("_node"), "signature")
     members = deepened(found, classes, region).join(own, F.col("node") == F.col("_node")).drop("_node")
-    first = stage(_in_runs(members, ["key", "part"], _neighbours(least)), "candidates")
-    links = confirmed(first, docs, percent)
+    sets = _sets_of(docs, found.select("node"))
+    links = confirmed(_in_runs(members, ["key", "part"], _neighbours(least)), sets, percent)
     labels = components(links)
 
-    # What is still apart in some region, and was not compared.
+    # What is still apart in some region.
     label = labels.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
     now = in_parts(found, region).join(label, F.col("node") == F.col("_node"), "left").select(
-        "key", "parts", "part", "node", F.coalesce("_label", "node").alias("component")
+        "key", "tree", "parts", "part", "node", F.coalesce("_label", "node").alias("component")
     )
     now = stage(now, "labelled")
     split = now.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    open_ = now.join(split.select(F.col("key").alias("_key")), F.col("key") == F.col("_key")).drop("_key")
-    cells = open_.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("key", "part", "node", "component", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"))
-    cells = cells.join(own, F.col("node") == F.col("_node")).drop("_node")
-    rest = _in_runs(cells, ["key", "i", "j"], _across(least))
-    tested = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rest = rest.join(tested, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-    rest = stage(rest, "rest")
-    if rest.take(1):
-        more = confirmed(rest, docs, percent)
-        if more.take(1):
-            labels = components(links.union(more))
+    split = stage(split.select(F.col("key").alias("_key")), "open-regions")
+    open_ = now.join(split, F.col("key") == F.col("_key")).drop("_key")
+    cells = open_.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", "tree", "part", "node", "component", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j")
+    )
+    sets = sets.withColumnRenamed("node", "_of")
+    own = classes.select(F.col("node").alias("_node"), "keys", "signature").join(sets, F.col("_node") == F.col("_of")).drop("_of")
+    more = closed(cells.join(own, F.col("node") == F.col("_node")).drop("_node"), least, percent)
+    if more.take(1):
+        labels = components(links.union(more))
 
     label = labels.select(F.col("node").alias("_node"), "component")
     of_class = classes.select("digest", "node").join(label, F.col("node") == F.col("_node"), "left")
