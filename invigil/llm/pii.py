@@ -171,8 +171,10 @@ def spelled_digits(text: str) -> list[Edit]:
             for m in parts:
                 point = "." if len((m.group(2) or "").strip(" ,-")) > 1 else ""
                 edits.append((m.start(), m.end(), _SPELLED[m.group(1).lower()] + point))
-    if not edits:
-        edits = [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)] if "lus" in text or "LUS" in text else []
+    if "lus" in text or "LUS" in text:
+        # These overlap no run's edits: digits follow the word here, spelled ones there.
+        edits += [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
+        edits.sort()
     return edits
 
 

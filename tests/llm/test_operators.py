@@ -219,6 +219,15 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert (kind, text.index(source), text.index(source) + len(source)) in pii.find(text)[1]
 
 
+@pytest.mark.parametrize("words", ["one two three", "eins, zwei, drei", "plus four five six", "cero-uno-dos"])
+def test_spelled_runs_elsewhere_hide_no_phone(words):
+    phones = ["plus 49 30 1234567", "Plus-44 20 7946 0958"]
+    for text in [f"Call {phones[0]} now. He counted {words} and left; or {phones[1]}.", f"{words}; {phones[0]}, {phones[1]}"]:
+        spans = {("phone", text.index(p), text.index(p) + len(p)) for p in phones}
+        assert spans == set(pii.find(text)[1])
+        assert all(p not in pii.redact(text, pii.find(text)[1]) for p in phones)
+
+
 def test_prose_is_left_alone():
     for text in ["We met at noon. Then we left.", "one two, and at last. It was at example.com there", "naïve café über"]:
         assert pii.find(text) == ([], [])
