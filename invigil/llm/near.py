@@ -21,8 +21,10 @@ hold together.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing;
 fewer than five words are one shingle; rows that repeat an id and its text get the same result;
-rows without an id take no part (component null, kept).  Components are found by passing on the
-smallest id, doubling pointers each round; nothing is collected.
+rows that repeat an id with another text are documents of their own, and of those that share a
+group's smallest id one text is kept (of the smallest hash); rows without an id take no part
+(component null, kept).  Components are found by passing on the smallest number of a class,
+doubling pointers each round; nothing is collected.
 """
 
 from __future__ import annotations
@@ -86,9 +88,9 @@ _PROFILE = [
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, size and digest of the set; one key per tree and a byte per hash of the signature."""
-    narrow = docs.select("doc_id", "text")
-    names = ["doc_id", *[f.name for f in _PROFILE]]
+    """doc_id, hash of the text, size and digest of the set; one key per tree and a byte per hash of the signature."""
+    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    names = ["doc_id", "text_hash", *[f.name for f in _PROFILE]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.arange(1, TREES + 1, dtype=np.uint64)
@@ -107,9 +109,9 @@ def profiles(docs: DataFrame) -> DataFrame:
                 rows.append((len(values), digest, keys.tobytes(), own.astype(np.uint8).tobytes()))
             columns = list(zip(*rows))
             arrays = [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *arrays], names=names)
 
-    return narrow.mapInArrow(run, T.StructType([narrow.schema["doc_id"], *_PROFILE]))
+    return narrow.mapInArrow(run, T.StructType([narrow.schema["doc_id"], narrow.schema["text_hash"], *_PROFILE]))
 
 
 # -- regions of the forest ---------------------------------------------------------------
@@ -251,11 +253,17 @@ def _numbers(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets of some nodes.  Texts and nodes meet in the same way however many nodes there are."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    texts = texts.join(nodes.distinct().hint("merge"), F.col("_id") == F.col("node"))
-    return stage(_sets(texts.select("node", "text").dropDuplicates(["node"])), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of some nodes.  Texts and nodes meet in the same way however many nodes there are.
+
+    A node's text is that of its class's head, by id and hash of the text: another text under the
+    same id is of another class.
+    """
+    heads = classes.select(F.col("node").alias("_node"), F.col("head.doc_id").alias("_head"), F.col("head.text_hash").alias("_hash"))
+    heads = nodes.distinct().join(heads, F.col("node") == F.col("_node")).drop("_node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_text"))
+    texts = texts.join(heads.hint("merge"), (F.col("_id") == F.col("_head")) & (F.col("_text") == F.col("_hash")))
+    return stage(_sets(texts.dropDuplicates(["_id", "_text"]).select("node", "text")), "sets")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -365,17 +373,24 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = 85, region: int = REGION) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and the digest of its set."""
+    return _grouped(docs, percent, region).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, percent: int, region: int) -> DataFrame:
+    """``groups`` with the hash of each text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stage(profiles(docs), "profiles")
     least = int(HASHES * (percent - SLACK) / 100)
     with_set = known.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = with_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
-    classes = stage(classes, "classes")
+    # A class has a number of its own, since ids may repeat with other texts; its head is its first document.
+    head = F.min(F.struct("doc_id", "text_hash")).alias("head")
+    classes = with_set.groupBy("digest").agg(head, F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    classes = stage(classes.sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()), "classes")
     found = stage(_counted(_members(classes)), "regions")
 
     own = classes.select(F.col("node").alias("_node"), "signature")
     members = deepened(found, classes, region).join(own, F.col("node") == F.col("_node")).drop("_node")
-    sets = _sets_of(docs, found.select("node"))
+    sets = _sets_of(docs, classes, found.select("node"))
     links = confirmed(_in_runs(members, ["key", "part"], _neighbours(least)), sets, percent)
     labels = components(links)
 
@@ -398,15 +413,19 @@ def groups(docs: DataFrame, percent: int = 85, region: int = REGION) -> DataFram
         labels = components(links.union(more))
 
     label = labels.select(F.col("node").alias("_node"), "component")
-    of_class = classes.select("digest", "node").join(label, F.col("node") == F.col("_node"), "left")
-    of_class = stage(of_class.select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component")), "components")
-    rows = known.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    of_class = classes.select("digest", "node", "head").join(label, F.col("node") == F.col("_node"), "left")
+    of_class = stage(of_class.select(F.col("digest").alias("_digest"), "head", F.coalesce("component", "node").alias("component")), "components")
+    heads = stage(of_class.groupBy("component").agg(F.min("head").alias("_head")).withColumnRenamed("component", "_component"), "heads")
+    of_class = stage(of_class.join(heads, F.col("component") == F.col("_component")).select("_digest", "_head"), "class-heads")
+    rows = known.select("doc_id", "text_hash", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_head.doc_id", "doc_id"))
+    first = (F.col("doc_id") == F.col("_head.doc_id")) & (F.col("text_hash") == F.col("_head.text_hash"))
     return rows.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNull(), True).otherwise(F.coalesce(first, F.lit(True))).alias("kept"),
         "digest",
     )
 
@@ -416,7 +435,8 @@ def kept(docs: DataFrame, percent: int = 80, region: int = REGION) -> DataFrame:
 
     Of rows that repeat an id and its text one stays; rows without an id all stay.
     """
-    stay = groups(docs, percent, region).where(F.col("kept") & F.col("doc_id").isNotNull())
-    stay = stay.select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, docs["doc_id"].cast("long") == stay["_kept_id"], "left_semi")
+    stay = _grouped(docs, percent, region).where(F.col("kept") & F.col("doc_id").isNotNull())
+    stay = stay.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = (docs["doc_id"].cast("long") == stay["_kept_id"]) & (F.xxhash64(docs["text"]) == stay["_kept_hash"])
+    named = docs.where(F.col("doc_id").isNotNull()).join(stay, same, "left_semi")
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -372,6 +372,32 @@ def test_one_document_of_each_group_is_kept(table):
     assert Counter(r.doc_id for r in near.kept(table(rows)).collect()) == Counter([1, 2, 4, None, None])
 
 
+def test_one_id_on_two_texts_names_two_documents(table):
+    """Near copies of forty texts, two texts under each id, so that an id alone names no class."""
+    rnd = random.Random(9)
+    rows = []
+    for g, (_, text) in enumerate(copies(9, 40, 1, 80)):
+        other = text.split()
+        other[40] = "changed"
+        rows += [(g // 2, text), (100 + rnd.randrange(20), " ".join(other)), (g // 2, text)]
+    named = {(i, t) for i, t in rows}
+    expected = grouped([((i, t), t) for i, t in sorted(named)], 80)
+    found = near.groups(table(rows), 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
+        (i, expected[i, t][0], expected[i, t][1][0]) for i, t in rows
+    )
+    left = [(r.doc_id, r.text) for r in near.kept(table(rows)).collect()]
+    assert set(left) == {root for _, root in expected.values()} and len(left) == 40
+
+
+def test_one_of_near_copies_under_one_id_is_kept(table):
+    text = prose(3, 90)
+    rows = [(1, text), (1, text + " more"), (2, text + " less"), (1, prose(4, 90)), (None, text), (None, text + " more")]
+    left = near.kept(table(rows)).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["1", "1", "None", "None"]
+    assert len({r.text.split()[0] for r in left if r.doc_id == 1}) == 2
+
+
 def test_components_of_a_chain(llm):
     n = 200
     order = random.Random(1).sample(range(n), n)
