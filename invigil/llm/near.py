@@ -216,7 +216,8 @@ def _neighbours(least: int):
 
     def pairs(run: pa.RecordBatch):
         nodes, own = run.column("node").to_numpy(), _signatures(run)
-        order = np.lexsort(own.T[::-1])
+        # The tree's own rotation: the hashes from its offset on, then those before it.
+        order = np.lexsort(np.roll(own, -PREFIX * run.column("tree")[0].as_py(), axis=1).T[::-1])
         nodes, own = nodes[order], own[order]
         alike = (own[1:] == own[:-1]).sum(axis=1) >= least
         yield nodes[:-1][alike], nodes[1:][alike]

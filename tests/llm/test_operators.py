@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -367,6 +368,20 @@ def test_a_group_of_copies_costs_few_pairs(table):
     assert 299 <= pairs < 300 * 299 / 2 / 4
 
 
+def test_neighbours_follow_the_rotation_of_their_tree():
+    """Four members pair off by the hashes from the offset of tree 2 on, and otherwise by hash 0."""
+    own = np.zeros((4, near.HASHES), np.uint8)
+    own[:, 0] = [0, 1, 0, 1]
+    own[:, 2 * near.PREFIX + 5] = [0, 0, 1, 1]
+    for tree, expected in [(0, {(0, 2), (2, 1), (1, 3)}), (2, {(0, 1), (1, 2), (2, 3)})]:
+        run = pa.record_batch(
+            [pa.array([tree] * 4, pa.int32()), pa.array(range(4), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
+            names=["tree", "node", "signature"],
+        )
+        left, right = next(near._neighbours(0)(run))
+        assert set(zip(left.tolist(), right.tolist())) == expected
+
+
 def test_one_document_of_each_group_is_kept(table):
     rows = [(3, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50)), (2, prose(2, 50)), (4, None), (None, "x"), (None, "x")]
     assert Counter(r.doc_id for r in near.kept(table(rows)).collect()) == Counter([1, 2, 4, None, None])
