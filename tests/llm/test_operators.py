@@ -387,6 +387,29 @@ def test_one_document_of_each_group_is_kept(table):
     assert Counter(r.doc_id for r in near.kept(table(rows)).collect()) == Counter([1, 2, 4, None, None])
 
 
+def test_cells_of_open_regions_bring_all_components_together_once(llm):
+    """One stray beside 5,000 members costs a row each, not one per pair of parts; every pair of components still meets."""
+    big = [(1, 0, n, 0) for n in range(5000)] + [(1, 0, 5000, 5000)]
+    mixed = [(2, 3, n, n % 7 if n < 40 else 0) for n in range(90)]
+    closed = [(3, 1, n, 0) for n in range(90)]
+    rows = big + mixed + closed
+    cells = near.open_cells(llm.createDataFrame(rows, "key long, tree int, node long, component long").repartition(3), 10)
+    found = defaultdict(lambda: defaultdict(list))
+    for r in cells.collect():
+        found[r.key][r.i, r.j].append(r)
+    assert set(found) == {1, 2}
+    assert sum(map(len, found[1].values())) <= 5001 + 501
+    met = Counter()
+    for own in found[2].values():
+        for n, x in enumerate(own):
+            for y in own[:n]:
+                # As ``closed`` compares: across the parts of a cell of two.
+                if x.component != y.component and (x.i == x.j or x.part != y.part):
+                    met[frozenset((x.node, y.node))] += 1
+    of = {n: c for _, _, n, c in mixed}
+    assert met == {frozenset((a, b)): 1 for a in of for b in of if of[a] != of[b]}
+
+
 def test_one_id_on_two_texts_names_two_documents(table):
     """Near copies of forty texts, two texts under each id, so that an id alone names no class."""
     rnd = random.Random(9)
