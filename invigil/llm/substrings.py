@@ -44,7 +44,7 @@ from invigil.llm.near import mixed
 from invigil.session import stage
 
 LENGTH = 400
-FULL = 4000
+FULL = 1000
 STRETCH = 1 << 19
 PAIRWISE = 40
 RUN_BYTES = 32 << 20
