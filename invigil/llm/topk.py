@@ -3,9 +3,11 @@
 A vector's components, as whole numbers (``floor(256 x)``), are its terms.  Vectors are cut into
 blocks of 64, halved again and again along the widest component so that a block holds like
 vectors.  A block keeps each component's largest and smallest value, which bound any query's
-score in it, and a forward index: the vectors themselves.  Each query takes its blocks in the
-order of their bounds and scores them through the forward index until the bounds fall below its
-k-th best score; a bound equal to it is still followed, so ties go to the smaller id.
+score in it, and a forward index: the vectors themselves.  In each pack of vectors a query first
+takes its ``FIRST_ROUNDS`` blocks of the best bounds, in its own order.  Then all queries of a pack
+go through its blocks in one shared order, by the largest bound of any of them, and each scores
+those whose bound does not fall below its k-th best score; a bound equal to it is still followed,
+so ties go to the smaller id.
 
 Both sides travel in packs of bounded size.  The index is written once; every pack of queries
 meets every pack of vectors through a join on a lane, and only k results per query and lane are
