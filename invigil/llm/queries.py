@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invigil.llm import bpe, chat, fingerprints, language, near, packing, pii, sharding, substrings, topk
+from invigil.llm import (
+    bpe,
+    chat,
+    filter_audit,
+    fingerprints,
+    language,
+    near,
+    packing,
+    pii,
+    repair,
+    sentence_pieces,
+    sharding,
+    substrings,
+    topk,
+)
 from invigil.llm.common import read, shown_to_workers
 from invigil.session import tune
 
@@ -15,12 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``function(table)``: it gets the whole table and returns the whole result."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register ``function(*tables)``: it gets whole tables and returns the whole result."""
 
-    def add(function: Callable[[DataFrame], DataFrame]):
+    def add(function: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(read(shown_to_workers(tune(spark)), sf_dir, table))
+            shown_to_workers(tune(spark))
+            return function(*[read(spark, sf_dir, table) for table in tables.split()])
 
         run.__doc__ = function.__doc__
         QUERIES[name] = run
@@ -155,3 +170,151 @@ def external_shuffle(documents: DataFrame) -> DataFrame:
 @query("op10_repeated_substrings", "documents")
 def repeated_substrings(documents: DataFrame) -> DataFrame:
     return substrings.deduplicated(documents)
+
+
+@query("op11_sentence_pieces", "documents")
+def sentence_piece_round_trip(documents: DataFrame) -> DataFrame:
+    return sentence_pieces.round_trips(documents)
+
+
+AUDIT_SQL = r"""
+with texts as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+),
+flags as (
+    select doc_id, max((quality = 1)::integer) as good, max((toxic = 1)::integer) as toxic
+    from labels where doc_id is not null group by doc_id
+),
+masked as (
+    select t.part, coalesce(f.good, 0) as good, coalesce(f.toxic, 0) as toxic,
+        (len(words) < 200)::integer * 1
+        + (100 * list_unique(words) < 50 * len(words))::integer * 2
+        + (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::integer * 4
+        + regexp_matches(text, '[#$%&*|]')::integer * 8
+        + coalesce(t.doc_id > min(t.doc_id) over (partition by text), false)::integer * 16 as mask
+    from texts t left join flags f on f.doc_id = t.doc_id
+),
+counts as (select part, mask, count(*) as n, sum(good) as n_good, sum(toxic) as n_toxic from masked group by part, mask),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as t(letter, bit)),
+orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+    from letters a join letters b on b.bit <> a.bit join letters c on c.bit not in (a.bit, b.bit)
+    join letters d on d.bit not in (a.bit, b.bit, c.bit) join letters e on e.bit not in (a.bit, b.bit, c.bit, d.bit)
+),
+steps as (
+    select filter_order, step, l.letter, l.bit,
+        coalesce((select sum(x.bit) from letters x where strpos(filter_order, x.letter) < step), 0)::integer as earlier
+    from orders, (values (1), (2), (3), (4), (5)) as s(step)
+    join letters l on l.letter = substr(filter_order, step, 1)
+),
+found as (
+    select part, filter_order, step::integer as step, letter,
+        coalesce(sum(n) filter (mask & (earlier | bit) = 0), 0)::bigint as kept,
+        coalesce(sum(n) filter (mask & earlier = 0 and mask & bit <> 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (mask & earlier <> 0 and mask & bit <> 0), 0)::bigint as redundant,
+        coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+        coalesce(sum(n_good) filter (mask & earlier = 0 and mask & bit <> 0), 0)::bigint as good_lost,
+        coalesce(sum(n_toxic) filter (mask & earlier = 0 and mask & bit <> 0), 0)::bigint as toxic_lost
+    from counts, steps group by part, filter_order, step, letter
+)
+select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from found
+"""
+
+
+@query("op12_filter_audit", "documents labels", AUDIT_SQL)
+def filter_interactions(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return filter_audit.audit(documents, labels)
+
+
+# The damage (crc32 bit by bit), then a shortest path over rows and states: 0 nothing yet, 1 after the
+# system's turn, 2 after a user's, 3 after an assistant's.
+REPAIR_SQL = r"""
+with recursive given as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        list_reduce(list_prepend(4294967295::bigint,
+            list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)) as crc
+    from conversations
+),
+fated as (select *, xor(crc, 4294967295::bigint) % 20 as fate from given),
+rows as (
+    select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+        case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case fate when 0 then []::integer[] when 3 then [0, 1] else [0] end) as copy
+    from fated
+),
+placed as materialized (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from rows
+),
+checked as (
+    select *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as core,
+        row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+        lag(role) over (partition by conv_id order by i) as before
+    from placed
+),
+faults as materialized (
+    select conv_id, turn, i, role, text, substr(role, 1, 1) as initial, core = '' as blank, core <> '' and seen as duplicate,
+        core <> '' and not seen and right(core, 1) not in ('.', '!', '?') as truncated,
+        before is not null and substr(before, 1, 1) || substr(role, 1, 1) not in ('su', 'ua', 'au') as illegal
+    from checked
+),
+lengths as (select conv_id, max(i) as n from faults group by conv_id),
+moves as (select * from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) as t(state, initial, next)),
+inserts as (
+    select * from (values (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'u'), (0, 3, 'ua'), (1, 2, 'u'), (1, 3, 'ua'),
+        (2, 3, 'a'), (2, 2, 'au'), (3, 2, 'u'), (3, 3, 'ua')) as t(state, next, added)
+),
+turns as (
+    select state, next, 2 * length(added) as cost, repeat('I', length(added)) as audit,
+        list_transform(string_split(added, ''), lambda c: case c when 'u' then 'user:' else 'assistant:' end)[:length(added)] as lines
+    from inserts
+),
+edits as (
+    select f.conv_id, f.i, s.state, s.state as next, 3 as cost, 'D' as audit, []::varchar[] as lines
+    from faults f, (values (0), (1), (2), (3)) as s(state)
+    union all
+    select f.conv_id, f.i, m.state, m.next, f.truncated::integer, 'K', [f.role || ':' || f.text]
+    from faults f join moves m on m.initial = f.initial where not f.blank and not f.duplicate
+    union all
+    select f.conv_id, f.i, m.state, m.next, 2 + f.truncated::integer, 'R',
+        [case m.initial when 'u' then 'user:' else 'assistant:' end || f.text]
+    from faults f join moves m on m.initial <> 's' where not f.blank and not f.duplicate
+),
+closed as materialized (
+    select e.conv_id, e.i, t.state, e.next, t.cost + e.cost as cost, t.audit || e.audit as audit, t.lines || e.lines as lines
+    from edits e join turns t on t.next = e.state
+),
+best as (
+    select conv_id, 0::bigint as i, 0 as state, {'cost': 0, 'audit': '', 'lines': []::varchar[]} as way from lengths
+    union all
+    select c.conv_id, c.i, c.next,
+        min({'cost': b.way.cost + c.cost, 'audit': b.way.audit || c.audit, 'lines': b.way.lines || c.lines})
+    from best b join closed c on c.conv_id is not distinct from b.conv_id and c.i = b.i + 1 and c.state = b.state
+    group by c.conv_id, c.i, c.next
+),
+ended as (
+    select b.conv_id, min({'cost': b.way.cost + t.cost, 'audit': b.way.audit || t.audit, 'lines': b.way.lines || t.lines}) as way
+    from best b join lengths l on l.conv_id is not distinct from b.conv_id and l.n = b.i
+    join turns t on t.state = b.state and (t.next = 3 or (t.next = 0 and t.audit = ''))
+    group by b.conv_id
+),
+counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+        count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (illegal) as illegal
+    from faults group by conv_id
+)
+select g.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(way.cost, 0)::bigint as cost,
+    coalesce(way.audit, '') as audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from given) g
+left join counted c on c.conv_id is not distinct from g.conv_id
+left join ended e on e.conv_id is not distinct from g.conv_id
+"""
+
+
+@query("op13_conversation_repair", "conversations", REPAIR_SQL)
+def conversation_repair(conversations: DataFrame) -> DataFrame:
+    return repair.audit(repair.damaged(conversations))

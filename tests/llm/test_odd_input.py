@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from invigil.llm import bpe, chat, fingerprints, language, near, packing, pii, sharding, substrings, topk
+from invigil.llm import bpe, chat, fingerprints, language, near, packing, pii, sentence_pieces, sharding, substrings, topk
 from tests.llm.conftest import ODD
 
 ON_DOCUMENTS = {
@@ -25,6 +25,8 @@ ON_DOCUMENTS = {
     "op9 shards": sharding.shards,
     "op10": substrings.deduplicated,
     "op10 cut": substrings.cut,
+    "op11": sentence_pieces.round_trips,
+    "op11 ids": lambda docs: sentence_pieces.decode(sentence_pieces.encode(docs)),
 }
 
 

@@ -26,7 +26,7 @@ def test_query_agrees_with_sql(llm, name):
 
 def test_all_operators_are_registered():
     names = [n for n in registered.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in registered.queries()
 
 
