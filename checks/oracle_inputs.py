@@ -38,6 +38,38 @@ def rejected(judged: str, codes: str) -> str:
     return f"SELECT req_id, error_code, {texts(codes)} FROM {judged} WHERE error_code IS NOT NULL"
 
 
+def replayed(number: int, key: str, value: str, table: str) -> None:
+    """``j<number>``: the requests of ``j<number>a``, one after the other, each on what those before it left.
+
+    ``holders`` says which row holds each value that more than one row ever wants or has.
+    """
+    n = number
+    cte(f"a{n}", f"SELECT *, {value} AS wanted, {key} AS own FROM j{n}a WHERE there AND code IS NULL")
+    cte(
+        f"v{n}",
+        f"""
+SELECT wanted, row_number() OVER (ORDER BY wanted) AS k, min(own) FILTER (held) AS holder
+FROM (SELECT wanted, own, false AS held FROM a{n} UNION ALL SELECT {value}, {key}, true FROM {table}) u
+WHERE wanted IN (SELECT wanted FROM a{n}) GROUP BY wanted HAVING count(DISTINCT own) > 1""",
+    )
+    cte(f"q{n}", f"SELECT a.req_id, a.own, v.k, row_number() OVER (ORDER BY a.req_id) AS turn FROM a{n} a LEFT JOIN v{n} v ON v.wanted = a.wanted")
+    cte(
+        f"s{n}",
+        f"""
+SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS req_id, false AS ok, (SELECT list(holder ORDER BY k) FROM v{n}) AS holders
+UNION ALL
+SELECT turn, req_id, free, CASE WHEN free THEN list_transform(holders, lambda h, i: CASE WHEN i = k THEN own WHEN h = own THEN NULL ELSE h END)
+    ELSE holders END
+FROM (SELECT q{n}.*, holders, k IS NULL OR coalesce(holders[k], own) = own AS free FROM s{n} JOIN q{n} ON q{n}.turn = s{n}.turn + 1) q""",
+    )
+    cte(
+        f"j{n}",
+        f"""
+SELECT a.*, CASE WHEN code IS NULL AND NOT ok THEN 'I-12' ELSE code END AS error_code
+FROM j{n}a a LEFT JOIN (SELECT req_id, ok FROM s{n}) s ON s.req_id = a.req_id""",
+    )
+
+
 NORM = "rtrim(regexp_replace(translate(lower(trim({})), chr(9) || chr(10) || chr(13), '   '), ' {{2,}}', ' ', 'g'))"
 
 # -- questions ---------------------------------------------------------------------------
@@ -347,20 +379,10 @@ FROM customer""",
 cte(
     "j9a",
     """
-SELECT r9.*, b.Br_Id IS NOT NULL AS there,
-       CASE WHEN b.Br_Id IS NOT NULL AND EXISTS (SELECT 1 FROM big_branch o WHERE o.Br_Name = r9.Br_Name AND o.Br_Id <> r9.Br_Id)
-            THEN 'I-12' END AS code
+SELECT r9.*, b.Br_Id IS NOT NULL AS there, CAST(NULL AS VARCHAR) AS code
 FROM r9 LEFT JOIN big_branch b ON b.Br_Id = r9.Br_Id""",
 )
-cte(
-    "j9",
-    """
-SELECT *, CASE WHEN code IS NULL AND there AND EXISTS (
-    SELECT 1 FROM j9a e WHERE e.there AND e.code IS NULL AND e.Br_Name = a.Br_Name AND e.Br_Id <> a.Br_Id AND e.req_id =
-      (SELECT min(f.req_id) FROM j9a f WHERE f.there AND f.code IS NULL AND f.Br_Name = a.Br_Name))
-  THEN 'I-12' ELSE code END AS error_code
-FROM j9a a""",
-)
+replayed(9, "Br_Id", "Br_Name", "big_branch")
 cte(
     "r10",
     """
@@ -393,21 +415,10 @@ cte(
     "j11a",
     """
 SELECT r11.*, b.Trk_Id IS NOT NULL AS there,
-       CASE WHEN b.Trk_Id IS NULL THEN NULL WHEN r11.Trk_BrId = 6 THEN 'I-14'
-            WHEN EXISTS (SELECT 1 FROM big_track o WHERE o.Trk_Name = r11.Trk_Name AND o.Trk_BrId = r11.Trk_BrId
-                         AND o.Trk_Id <> r11.Trk_Id) THEN 'I-12' END AS code
+       CASE WHEN b.Trk_Id IS NOT NULL AND r11.Trk_BrId = 6 THEN 'I-14' END AS code
 FROM r11 LEFT JOIN big_track b ON b.Trk_Id = r11.Trk_Id""",
 )
-cte(
-    "j11",
-    """
-SELECT *, CASE WHEN code IS NULL AND there AND EXISTS (
-    SELECT 1 FROM j11a e WHERE e.there AND e.code IS NULL AND e.Trk_Name = a.Trk_Name AND e.Trk_BrId = a.Trk_BrId
-      AND e.Trk_Id <> a.Trk_Id AND e.req_id = (SELECT min(f.req_id) FROM j11a f WHERE f.there AND f.code IS NULL
-        AND f.Trk_Name = a.Trk_Name AND f.Trk_BrId = a.Trk_BrId))
-  THEN 'I-12' ELSE code END AS error_code
-FROM j11a a""",
-)
+replayed(11, "Trk_Id", "Trk_Name || '|' || Trk_BrId", "big_track")
 cte(
     "r12",
     """
@@ -475,21 +486,10 @@ cte(
     """
 SELECT r14.*, s.St_Id IS NOT NULL AS there, CASE WHEN s.St_Id IS NULL THEN NULL
     WHEN r14.St_IntId NOT IN (SELECT Int_Id FROM t_intake) THEN 'I-14'
-    WHEN r14.St_BrId <> Trk_BrId THEN 'I-1'
-    WHEN EXISTS (SELECT 1 FROM t_student o WHERE o.St_Email = r14.St_Email AND o.St_Id <> r14.St_Id) THEN 'I-12' END AS code
+    WHEN r14.St_BrId <> Trk_BrId THEN 'I-1' END AS code
 FROM r14 LEFT JOIN t_student s ON s.St_Id = r14.St_Id LEFT JOIN t_track ON Trk_Id = r14.St_TrkId""",
 )
-cte(
-    "first14",
-    """
-SELECT St_Email, arg_min(St_Id, req_id) AS holder FROM j14a WHERE there AND code IS NULL GROUP BY St_Email""",
-)
-cte(
-    "j14",
-    """
-SELECT a.*, CASE WHEN code IS NULL AND there AND holder <> a.St_Id THEN 'I-12' ELSE code END AS error_code
-FROM j14a a LEFT JOIN first14 f ON f.St_Email = a.St_Email""",
-)
+replayed(14, "St_Id", "St_Email", "t_student")
 
 # -- rule-breaking tables ----------------------------------------------------------------
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from invigil.functions.numbering import append_with_ids
 from invigil.functions.rules import ERROR, Rule, judge, split, violates_required
 from invigil.functions.text import text_key
+from invigil.functions.timelines import decide
 from invigil.functions.turns import settle
 from invigil.operators.exams import first_per_key, known, lost
 from invigil.schema import TABLES
@@ -92,8 +93,8 @@ def _keyed(df: DataFrame, table: str, key: Sequence[str], ci: bool, prefix: str)
     return df
 
 
-def _reject_taken(judged: DataFrame, existing: DataFrame, entry: Entry, ci: bool, own: str | None) -> DataFrame:
-    """I-12 where a unique key is held by an existing row, other than the row itself (``own``).
+def _reject_taken(judged: DataFrame, existing: DataFrame, entry: Entry, ci: bool) -> DataFrame:
+    """I-12 where a unique key is held by an existing row.
 
     The holders of the keys that are asked for are written down first, one per key: their
     table then goes straight into the join, which lets Spark split the partition of a key
@@ -109,8 +110,6 @@ def _reject_taken(judged: DataFrame, existing: DataFrame, entry: Entry, ci: bool
         held = held.groupBy(*names).agg(F.min(spec.key).alias("_holder")).withColumnsRenamed({c: f"_t{c}" for c in names})
         joined = judged.join(stage(held, "held"), [F.col(c) == F.col(f"_t{c}") for c in names], "left")
         taken = F.col("_holder").isNotNull()
-        if own:
-            taken = taken & (F.col("_holder") != F.col(own))
         judged = joined.withColumn(ERROR, F.when(F.col(ERROR).isNull() & taken, "I-12").otherwise(F.col(ERROR)))
         judged = judged.drop("_holder", *names, *[f"_t{c}" for c in names])
     return judged
@@ -122,7 +121,7 @@ def judge_ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = Fal
     joined, rules = _rules(requests, tables, entry)
     judged = judge(joined, rules).select(*requests.columns, ERROR)
     if len(entry.unique) > 1:
-        return _in_turn(_reject_taken(judged, tables[table], entry, ci, None), entry, ci)
+        return _in_turn(_reject_taken(judged, tables[table], entry, ci), entry, ci)
     key = entry.unique[0]
     names = [f"_k{i}" for i in range(len(key))]
     keyed = stage(_keyed(judged, table, key, ci, "_k"), "requests")
@@ -226,35 +225,24 @@ def ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = False) ->
 def judge_merge(requests: DataFrame, tables: Tables, table: str, ci: bool = False) -> DataFrame:
     """``requests`` (with the row's id) with ``error_code``; unknown ids pass and do nothing.
 
-    A unique key counts as taken if another row holds it when the batch starts, or if an
-    earlier request of the batch gives it to another row.
+    Requests are taken in order: a unique key is taken if another row holds it at that moment, and a row that
+    gets another key leaves its old one free for later requests of the batch.
     """
     entry, spec = CHANGE[table], TABLES[table]
+    (key,) = entry.unique
     joined, rules = _rules(requests, tables, entry)
     ids = tables[table].select(F.col(spec.key).alias("_row"))
     judged = judge(joined, rules).select(*requests.columns, ERROR)
     judged = judged.join(ids, F.col(spec.key) == F.col("_row"), "left")
-    judged = judged.withColumn("_real", F.col("_row").isNotNull()).drop("_row")
-    judged = _reject_taken(judged, tables[table], entry, ci, spec.key)
     # A change to a row that does not exist changes nothing, so no rule can fail.
-    judged = judged.withColumn(ERROR, F.when(F.col("_real"), F.col(ERROR)))
-    key = entry.unique[0]
-    names = [f"_k{i}" for i in range(len(key))]
-    keyed = stage(_keyed(judged, table, key, ci, "_k"), "requests")
-    claims = (
-        keyed.where(F.col("_real") & F.col(ERROR).isNull())
-        .groupBy(*names)
-        .agg(F.min_by(spec.key, "req_id").alias("_holder"))
-        .withColumnsRenamed({c: f"_c{c}" for c in names})
-    )
-    claims = stage(claims, "claims")
-    same = [F.col(c) == F.col(f"_c{c}") for c in names]
-    late = F.col("_real") & F.col(ERROR).isNull() & (F.col("_holder") != F.col(spec.key))
-    return (
-        keyed.join(claims, same, "left")
-        .withColumn(ERROR, F.when(late, "I-12").otherwise(F.col(ERROR)))
-        .select(*requests.columns, ERROR)
-    )
+    real = F.col("_row").isNotNull()
+    judged = stage(judged.withColumn(ERROR, F.when(real, F.col(ERROR))), "requests")
+    keyed = [F.col(spec.key).cast("long").alias("row"), _as_text(table, key, ci).alias("value")]
+    claims = judged.where(real & F.col(ERROR).isNull()).select("req_id", *keyed)
+    verdicts = decide(claims, tables[table].select(*keyed)).withColumnRenamed("req_id", "_req")
+    late = F.col(ERROR).isNull() & ~F.coalesce("accepted", F.lit(True))
+    found = judged.join(verdicts, F.col("req_id") == F.col("_req"), "left")
+    return found.withColumn(ERROR, F.when(late, "I-12").otherwise(F.col(ERROR))).select(*requests.columns, ERROR)
 
 
 def merge(requests: DataFrame, tables: Tables, table: str, ci: bool = False) -> Changed:
