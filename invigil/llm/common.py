@@ -90,14 +90,17 @@ def field(name: str) -> str:
 
 
 class Memo(dict):
-    """Results by argument; emptied when ``size`` are held, so that a worker's memory is bounded."""
+    """Results by argument; emptied when ``size`` are held, and none for arguments longer than ``longest``, so that
+    a worker's memory is bounded in bytes, too."""
 
-    def __init__(self, function: Callable, size: int = 400_000):
+    def __init__(self, function: Callable, size: int = 400_000, longest: int = 64):
         super().__init__()
-        self.function, self.size = function, size
+        self.function, self.size, self.longest = function, size, longest
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.clear()
-        self[key] = value = self.function(key)
+        value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
         return value

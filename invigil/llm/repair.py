@@ -120,7 +120,7 @@ class Repaired(NamedTuple):
     rows: list[tuple[str, str, str]]  # edit, role, text
 
 
-PARSED = Memo(parse, 50_000)
+PARSED = Memo(parse, 50_000, SHORT)
 
 
 def repaired(rows: list[tuple[str, str]]) -> Repaired:
@@ -140,7 +140,7 @@ def repaired(rows: list[tuple[str, str]]) -> Repaired:
     initials = [role[:1] for role, _ in rows]
     illegal = sum(x + y not in FOLLOWS for x, y in zip(initials, initials[1:]))
     kinds = tuple(kinds)
-    cost, audit = PARSED[kinds] if len(kinds) <= SHORT else parse(kinds)
+    cost, audit = PARSED[kinds]
 
     # An odd number of turns starts with the system's; after it user and assistant alternate.
     turns = len(audit) - audit.count("D")

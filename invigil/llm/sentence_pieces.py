@@ -3,9 +3,9 @@
 A merge-type model has one encoding per text, and it is the only sequence of pieces in which every
 piece and every two adjacent pieces, merged again from their characters, come out as themselves: the
 first merge across a border would be made in the pair alone as well.  So no text has to be merged.
-An Aho-Corasick automaton of the reversed pieces, run over the reversed text, lists all pieces that
-start at each place, the longest first.  The encoder takes the longest that is compatible with the
-piece before it, found by merging the two again (remembered within bounds), and goes on behind it;
+An Aho-Corasick automaton of the reversed pieces, run over the reversed text, finds the longest piece
+that starts at each place.  The encoder takes it, or the next shorter one that it starts with, if it is
+compatible with the piece before, found by merging the two again (remembered within bounds), and goes on behind it;
 where none fits it marks the place in a bitfield of failed places, goes back one piece and tries the
 next shorter one.  A place fails once at most, so the work is linear in the text.
 
@@ -45,6 +45,7 @@ SEAMS = [
 #: Longer words are not remembered.
 SHORT = 64
 BLOCK = 4096
+NONE = -1
 BLOCKS = 16
 
 
@@ -78,29 +79,30 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Longest:
-    """The pieces that start at each place of a text, the longest first; a few blocks are held."""
+    """The longest piece that starts at each place of a text; a few blocks are held."""
 
     def __init__(self, automaton: ahocorasick.Automaton, longest: int, text: str):
         self.automaton, self.longest, self.text, self.blocks = automaton, longest, text, {}
 
-    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+    def get(self, at: int, none: int) -> int:
         number, place = divmod(at, BLOCK)
         block = self.blocks.get(number)
         if block is None:
             if len(self.blocks) >= BLOCKS:
                 self.blocks.clear()
-            block = self.blocks[number] = self._block(number * BLOCK)
-        return block[place]
+            start = number * BLOCK
+            block = self.blocks[number] = starts(self.automaton, self.text[start : start + BLOCK + self.longest])
+        return block.get(place, none)
 
-    def _block(self, start: int) -> list[list[tuple[int, int]]]:
-        end = min(start + BLOCK, len(self.text))
-        reach = min(end + self.longest, len(self.text))
-        found: list[list[tuple[int, int]]] = [[] for _ in range(end - start)]
-        for last, piece in self.automaton.iter(self.text[start:reach][::-1]):
-            at = reach - start - 1 - last
-            if at < len(found):
-                found[at].append(piece)
-        return found
+    def __contains__(self, at: int) -> bool:
+        return self.get(at, NONE) != NONE
+
+
+def starts(automaton: ahocorasick.Automaton, text: str) -> dict[int, int]:
+    """The longest piece by the place where it starts.  The automaton reads from the end and gives, at each place, the
+    longest first: it is the one that stays when the list is read backwards."""
+    last = len(text) - 1
+    return {last - at: piece for at, piece in reversed(list(automaton.iter(text[::-1])))}
 
 
 class Model:
@@ -132,11 +134,17 @@ class Model:
         for piece, i in self.ids.items():
             # What its own characters do not merge to is in no encoding.
             if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece[::-1], (len(piece), i))
+                self.automaton.add_word(piece[::-1], i)
         self.automaton.make_automaton()
+        # The next shorter piece that a piece starts with.
+        self.length, self.shorter = [1] * len(named), [-1] * len(named)
+        for piece, i in self.ids.items():
+            self.length[i] = len(piece)
+            heads = (piece[:n] for n in range(len(piece) - 1, 0, -1))
+            self.shorter[i] = next((self.ids[h] for h in heads if h[::-1] in self.automaton), -1)
 
         self.compatible = Memo(self._compatible, 500_000)
-        self.known = Memo(self.walk, 300_000)
+        self.known = Memo(self.walk, 300_000, SHORT)
         self.decimals = [str(i) for i in numbers]
         self.strings = [b"" if model.is_control(i) else named[i].replace(SPACE, " ").encode() for i in numbers]
         self.strings[model.unk_id()] = model.decode([model.unk_id()]).encode()
@@ -164,38 +172,34 @@ class Model:
 
     def walk(self, text: str) -> tuple[int, ...]:
         """The ids of ``text``, spaces replaced."""
-        size = len(text)
-        matches = Longest(self.automaton, self.longest, text)
+        size, length, shorter, compatible = len(text), self.length, self.shorter, self.compatible
+        longest = starts(self.automaton, text) if size <= BLOCK else Longest(self.automaton, self.longest, text)
         failed = bytearray(size // 8 + 1)
-        taken: list[tuple[int, int, int]] = []  # place, which match (-1: bytes), id
-        at = choice = 0
+        taken: list[int] = []  # pieces; NONE for a character without one, which no merge reaches over
+        at, piece, before = 0, longest.get(0, NONE), NONE
         while at < size:
-            here = matches[at]
-            before = taken[-1][2] if taken else -1
-            if not here:
-                # No piece has this character: no merge reaches over it.
-                taken.append((at, -1, -1))
-                at, choice = at + 1, 0
-                continue
-            while choice < len(here):
-                length, i = here[choice]
-                end = at + length
-                if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or self.compatible[before, i]):
-                    break
-                choice += 1
-            if choice < len(here):
-                taken.append((at, choice, i))
-                at, choice = end, 0
+            end = at + length[piece]
+            while piece >= 0 and (failed[end >> 3] >> (end & 7) & 1 or (before >= 0 and not compatible[before, piece])):
+                piece = shorter[piece]
+                end = at + length[piece]
+            if piece >= 0 or at not in longest:
+                taken.append(piece)
+                at, before = end, piece
+                piece = longest.get(at, NONE)
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at, choice, _ = taken.pop()
-                choice += 1
+                piece = taken.pop()
+                at -= length[piece]
+                before = taken[-1] if taken else NONE
+                piece = shorter[piece]
         out: list[int] = []
-        for at, choice, i in taken:
-            if choice < 0:
-                out += [self.of_byte[bytes([b])] for b in text[at].encode()]
+        at = 0
+        for piece in taken:
+            if piece >= 0:
+                out.append(piece)
             else:
-                out.append(i)
+                out += [self.of_byte[bytes([b])] for b in text[at].encode()]
+            at += length[piece]
         return tuple(out)
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
@@ -203,8 +207,7 @@ class Model:
         if not text:
             return last
         parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
-        ids = (self.known[w] if len(w) <= SHORT else self.walk(w) for w in parts)
-        return [*chain.from_iterable(ids), *last]
+        return [*chain.from_iterable(map(self.known.__getitem__, parts)), *last]
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)

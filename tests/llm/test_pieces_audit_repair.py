@@ -60,16 +60,17 @@ def test_whole_texts_need_no_seams(library, model):
 
 def test_failed_places_are_left_by_backtracking(model):
     """Some words need a shorter piece than the longest that fits."""
-    matches = lambda w: sentence_pieces.Longest(model.automaton, model.longest, w)
     rnd = random.Random(13)
     greedy_fails = 0
     for _ in range(2000):
         word = "▁" + "".join(rnd.choices("etaoinshr", k=12))
-        found, greedy, at = [model.pieces[i] for i in model.walk(word)], [], 0
+        longest, greedy, at = sentence_pieces.starts(model.automaton, word), [], 0
         while at < len(word):
-            assert [n for n, _ in matches(word)[at]] == sorted({n for n, _ in matches(word)[at]}, reverse=True)
-            greedy.append(word[at : at + matches(word)[at][0][0]])
+            fits = [p for n in range(1, 17) if (p := word[at : at + n]) in model.ids and model.merged(p) == [p]]
+            assert model.pieces[longest[at]] == max(fits, key=len)
+            greedy.append(max(fits, key=len))
             at += len(greedy[-1])
+        found = [model.pieces[i] for i in model.walk(word)]
         assert found == model.merged(word)
         greedy_fails += found != greedy
     assert greedy_fails > 100
@@ -328,3 +329,33 @@ def test_a_large_conversation_is_repaired(llm):
     (found,) = repair.audit(df).collect()
     assert (found.cost, found.audit) == (0, "K" * 5_000)
     assert found.repaired_sha256 == sha("\n".join(f"{r}:{t}" for _, _, r, t in rows))
+
+
+# -- memories and samples ----------------------------------------------------------------
+
+
+def test_long_words_are_not_remembered():
+    from invigil.llm import bpe, packing
+
+    words = packing.Words(packing.vocabulary_path())
+    texts = ["short " + "y" * 200, "z" * 300 + ". other", "y" * 200]
+    assert words.ids(texts) == packing.Words(packing.vocabulary_path()).ids(texts)
+    assert all(len(w) <= packing.SHORT for w in words.known) and b"short" in words.known
+    encoder = bpe.load(bpe.vocabulary_path())
+    encoder.encode("a" * 5_000 + " short")
+    assert all(len(w) <= encoder.known.longest for w in encoder.known) and " short" in encoder.known
+
+
+def test_samples_are_the_first_of_each_language(llm, monkeypatch):
+    from invigil.llm import language
+
+    monkeypatch.setattr(language, "PARTS", 4)
+    rnd = random.Random(41)
+    rows = [(rnd.choice(["en", "en", "en", "de", "fr"]), rnd.randrange(-500, 500)) for _ in range(900)]
+    df = llm.createDataFrame(rows, "lang string, _order long").repartition(3)
+    found = df.where(language._among_first(df, 40, F.col("lang"), F.col("_order"))).collect()
+    expected = Counter()
+    for lang in {r[0] for r in rows}:
+        own = sorted(o for x, o in rows if x == lang)
+        expected.update((lang, o) for o in own if o <= own[min(40, len(own)) - 1])
+    assert Counter(tuple(r) for r in found) == expected
