@@ -27,6 +27,7 @@ from invigil.plans import searches, views
 from invigil.schema import TABLES
 from invigil.session import new_folder, stage, tune
 from invigil.sources import tables as store
+from invigil.sources.buckets import Store
 from invigil.sources.star import Star, every, stored
 from invigil.streaming import answers as stream
 
@@ -173,6 +174,48 @@ def _(t):
     return store.delete_rows(t["StudentAnswer"], finished, ["Ans_SEId"]).select("Ans_Id", "Ans_SEId", "Ans_QId")
 
 
+def _answer_store(t, given: DataFrame) -> Store:
+    return answers.create_store(answers.answer_store(t.spark, new_folder(t.spark, "answers"), t.n_buckets), given)
+
+
+@query(
+    "s6_results_in_place",
+    "SELECT SE_Id, SE_ExmId, SE_StId, CASE WHEN SE_Id % 7 = 0 THEN FinalResult END AS SE_Result FROM t_seat JOIN results USING (SE_Id)",
+)
+def _(t):
+    """The results of some seats, stored without touching other buckets."""
+    seats = Store(t.spark, new_folder(t.spark, "seats"), "StudentExam", "SE_Id", 4 * t.n_buckets)
+    seats.create(t["StudentExam"].withColumn("SE_Result", F.lit(None)))
+    results = grading.final_results(t).where(F.col("SE_Id") % 7 == 0)
+    seats.update(results.select("SE_Id", F.col("FinalResult").alias("SE_Result")), ["SE_Id"], ["SE_Result"])
+    return seats.rows().select("SE_Id", "SE_ExmId", "SE_StId", "SE_Result")
+
+
+@query(
+    "s8_upsert_in_place",
+    """
+SELECT Ans_SEId, Ans_QId, Ans_Correct, CASE WHEN l.age = 1 THEN l.Ans_ChoiceId ELSE b.Ans_ChoiceId END AS Ans_ChoiceId,
+       CASE WHEN l.age = 1 THEN l.Ans_TextAns ELSE b.Ans_TextAns END AS Ans_TextAns
+FROM base5 b FULL JOIN (SELECT * FROM last5 WHERE Ans_SEId % 11 = 0) l USING (Ans_SEId, Ans_QId)""",
+)
+def _(t):
+    """The submissions of some seats, merged into the buckets of these seats."""
+    tables = req.some_answers(t)
+    stored_answers = _answer_store(t, tables["StudentAnswer"])
+    answers.save_into(stored_answers, req.answer_requests(t).where(F.col("Ans_SEId") % 11 == 0), tables)
+    return stored_answers.rows().select("Ans_SEId", "Ans_QId", "Ans_Correct", "Ans_ChoiceId", "Ans_TextAns")
+
+
+@query(
+    "s9_delete_in_place",
+    "SELECT Ans_Id, Ans_SEId, Ans_QId FROM t_answer a WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = Ans_SEId AND o_orderstatus = 'P')",
+)
+def _(t):
+    stored_answers = _answer_store(t, t["StudentAnswer"])
+    stored_answers.delete(t.file("orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("Ans_SEId")), ["Ans_SEId"])
+    return stored_answers.rows().select("Ans_Id", "Ans_SEId", "Ans_QId")
+
+
 @query("s10_snapshot", _profile_sql(", '20240131' AS snapshot_date"))
 def _(t):
     root = new_folder(t.spark, "snapshots")
@@ -934,3 +977,16 @@ def _(t):
 @query("st1_stream_answers_rejected", _REFUSED)
 def _(t):
     return _streamed(t).rejected
+
+
+@query("st1_merged_log", "SELECT * EXCLUDE (Ans_Id) FROM saved5")
+def _(t):
+    """The log's files reach the stored answers a few at a time, in whatever order they were written."""
+    root = new_folder(t.spark, "stream")
+    req.answer_requests(t)
+    tables = req.some_answers(t)
+    submissions = stream.read_submissions(t.spark, t.path("answer_request"), files_per_batch=3)
+    stream.stream_answers(submissions, tables, f"{root}/log", f"{root}/checkpoint")
+    stored_answers = _answer_store(t, tables["StudentAnswer"])
+    stream.merge_log(f"{root}/log", stored_answers, f"{root}/merged", files_per_batch=24)
+    return stored_answers.rows().drop("Ans_Id", "submitted_at", "req_id")
