@@ -37,10 +37,65 @@ def text_key(value: Column, ci: bool = False) -> Column:
     return F.collate(key, _CASE_BLIND) if ci else key
 
 
+def like_expression(pattern: str) -> str:
+    """A LIKE pattern with bracket classes as a regular expression for the whole value.
+
+    ``%`` is any run, ``_`` any character, ``[a-c]`` one of a class, ``[^a-c]`` one outside it; in a class all
+    else stands for itself, as do ``^`` not in front and ``-`` at either end.  No character is in an empty class
+    ``[]`` and every one outside it.  A bracket that is never closed makes the pattern match nothing.
+    """
+    out, at = [], 0
+    while at < len(pattern):
+        c, at = pattern[at], at + 1
+        if c == "%":
+            out.append(".*")
+        elif c == "_":
+            out.append(".")
+        elif c != "[":
+            out.append(_literal(c))
+        else:
+            end = pattern.find("]", at)
+            if end < 0:
+                return _NOTHING
+            outside = pattern.startswith("^", at)
+            out.append(_char_class(pattern[at + outside : end], outside))
+            at = end + 1
+    return "(?s)\\A" + "".join(out) + "\\z"
+
+
+_NOTHING = "(?!)"
+
+
+def _literal(c: str) -> str:
+    return c if c.isalnum() or c.isspace() else "\\x{%x}" % ord(c)
+
+
+def _char_class(members: str, outside: bool) -> str:
+    if not members:
+        return "." if outside else _NOTHING
+    parts, at = [], 0
+    while at < len(members):
+        first, last = members[at], members[at + 2 : at + 3]
+        if members[at + 1 : at + 2] == "-" and last:
+            # A range that runs backwards holds nothing.
+            parts += [f"{_literal(first)}-{_literal(last)}"] if first <= last else []
+            at += 3
+        else:
+            parts.append(_literal(first))
+            at += 1
+    if not parts:
+        return "." if outside else _NOTHING
+    return f"[{'^' * outside}{''.join(parts)}]"
+
+
 def like_anywhere(value: Column, part: str, ci: bool = False) -> Column:
-    """``value LIKE '%part%'`` with ``%`` and ``_`` in ``part`` kept as wildcards.
+    """``value LIKE '%part%'`` with ``%``, ``_`` and bracket classes in ``part`` kept as wildcards.
 
-    A backslash is a plain character in ``part``, though Spark's pattern needs two for one.
+    Without brackets it is a plain LIKE, which Spark can turn into a search for a substring.  A backslash is a plain character
+    in ``part``, though Spark's pattern needs two for one.
     """
-    pattern = "%" + part.replace("\\", "\\\\") + "%"
-    return F.lower(value).like(pattern.lower()) if ci else value.like(pattern)
+    if ci:
+        value, part = F.lower(value), part.lower()
+    if "[" in part:
+        return value.rlike(like_expression(f"%{part}%"))
+    return value.like("%" + part.replace("\\", "\\\\") + "%")

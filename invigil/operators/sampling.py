@@ -28,22 +28,53 @@ def sample_n_per_group(df: DataFrame, by: Sequence[str], key: str, n: int, seed:
     return df.withColumn("_place", F.row_number().over(window)).where(F.col("_place") <= n).drop("_place")
 
 
-def draw(size: Column, n: Column, seed: Column) -> Column:
-    """``n`` different random numbers out of 1..``size`` as an array, every set equally likely.
+def permuted(place: Column, size: Column, seed: Column) -> Column:
+    """Where a random permutation of 0..``size`` - 1, chosen by ``seed``, puts ``place``.
 
-    For each ``top`` from ``size - n + 1`` to ``size``, take a random number up to ``top``,
-    or ``top`` itself if that number is taken already (R. Floyd's method).  It needs ``n``
-    steps however large the pool is.
+    A Feistel network on the cells of a table of about sqrt(size) rows and columns, walked on from cell
+    to cell until it is one of the first ``size`` (cycle walking).  The table has fewer cells to spare than rows, which
+    bounds the walk; nearly always the first step or two are enough, and no more are looked at.
     """
+    size = size.cast("long")
+    rows = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    columns = F.ceil(size / rows).cast("long")
 
-    def step(taken: Column, top: Column) -> Column:
-        digest = F.md5(F.concat_ws("-", seed, top.cast("string")))
-        number = F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("long") % top + 1
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), top).otherwise(number)))
+    def number(half: Column, turn: Column) -> Column:
+        digest = F.md5(F.concat_ws("-", seed, turn.cast("string"), half.cast("string")))
+        return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("long")
 
-    size, n = size.cast("long"), n.cast("long")
-    none = F.array().cast("array<bigint>")
-    return F.when(n > 0, F.aggregate(F.sequence(size - n + 1, size), none, step)).otherwise(none)
+    def turned(cell: Column, turn: Column) -> Column:
+        up, across = cell["up"], cell["across"]
+        return F.when(
+            turn % 2 == 0, F.struct(((up + number(across, turn) % rows) % rows).alias("up"), across.alias("across"))
+        ).otherwise(F.struct(up.alias("up"), ((across + number(up, turn) % columns) % columns).alias("across")))
+
+    def step(at: Column) -> Column:
+        cell = F.struct(F.floor(at / columns).cast("long").alias("up"), (at % columns).alias("across"))
+        turns = F.array(*[F.lit(i) for i in range(_TURNS)])
+        return F.aggregate(turns, cell, turned, lambda c: c["up"] * columns + c["across"])
+
+    def walk(start: Column, steps: Column) -> Column:
+        return F.aggregate(steps, start, lambda at, _: F.when(at < size, at).otherwise(step(at)))
+
+    soon = walk(step(place.cast("long")), F.array(*[F.lit(i).cast("long") for i in range(_SOON)]))
+    # A struct, so that the short walk is not worked out again for each use.
+    return F.transform(F.array(soon), lambda at: F.when(at < size, at).otherwise(walk(at, F.sequence(F.lit(1).cast("long"), rows))))[0]
+
+
+#: Turns of the network, and steps before the walk is taken to its bound.
+_TURNS, _SOON = 4, 3
+
+
+def draw(requests: DataFrame, size: str, n: str, seed: str, out: str) -> DataFrame:
+    """Each request ``n`` times, with ``n`` different random numbers out of 1..``size`` as ``out``.
+
+    The first ``n`` places of a permutation: no number is compared with another, so a draw takes as many steps as it
+    has numbers.
+    """
+    places = requests.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)))
+    number = permuted(F.col("_place"), F.col(size), F.col(seed)) + 1
+    return places.withColumn(out, number).drop("_place")
 
 
 def draw_questions(requests: DataFrame, pool: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -57,6 +88,6 @@ def draw_questions(requests: DataFrame, pool: DataFrame, by: Sequence[str], key:
     numbered = running_total(pool.select(*by, key), key, "_before", within=by).select(
         *[F.col(c).alias(f"_p_{c}") for c in by], (F.col("_before") + 1).alias("_number"), key
     )
-    drawn = requests.withColumn("_drawn", F.explode(draw(F.col("size"), F.col("n"), F.col("draw_seed"))))
+    drawn = draw(requests.where("n > 0"), "size", "n", "draw_seed", "_drawn")
     same = [F.col(c) == F.col(f"_p_{c}") for c in by]
     return drawn.join(numbered, [*same, F.col("_drawn") == F.col("_number")]).select(*requests.columns, key)

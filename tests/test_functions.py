@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import at
@@ -11,7 +12,7 @@ from invigil.functions.clock import at_time, micros_of_day
 from invigil.functions.filters import optional_filters
 from invigil.functions.numbering import BLOCK_BITS, append_with_ids, running_total
 from invigil.functions.rules import first_failing_rule
-from invigil.functions.text import is_answer_valid, like_anywhere, normalize_answer, text_key
+from invigil.functions.text import is_answer_valid, like_anywhere, like_expression, normalize_answer, text_key
 from invigil.operators.sampling import draw, sample_n_per_group
 
 
@@ -141,14 +142,59 @@ def test_sample_takes_n_of_each_group_whatever_the_partitions(spark):
 
 def test_draw_gives_every_set_its_share(spark):
     runs = 3000
-    df = spark.range(runs).select(draw(F.lit(5), F.lit(2), F.concat(F.lit("s"), F.col("id"))).alias("d"))
-    sets = Counter(frozenset(r.d) for r in df.collect())
+    df = spark.range(runs).select("id", F.lit(5).alias("size"), F.lit(2).alias("n"), F.concat(F.lit("s"), F.col("id")).alias("seed"))
+    drawn = draw(df, "size", "n", "seed", "d").groupBy("id").agg(F.collect_set("d").alias("d"))
+    sets = Counter(frozenset(r.d) for r in drawn.collect())
     assert all(len(s) == 2 and s <= {1, 2, 3, 4, 5} for s in sets)
     assert len(sets) == 10
     assert all(abs(n - runs / 10) < 5 * (runs / 10) ** 0.5 for n in sets.values())
 
 
 def test_draw_edges(spark):
-    df = spark.createDataFrame([(3, 3), (4, 0), (1, 1), (100, 99)], "size int, n int")
-    for r in df.select("size", "n", draw(F.col("size"), F.col("n"), F.lit("x")).alias("d")).collect():
-        assert len(set(r.d)) == r.n == len(r.d) and all(1 <= x <= r.size for x in r.d)
+    sizes = [(i, s, n) for i, (s, n) in enumerate([(3, 3), (1, 1), (2, 2), (100, 99), (101, 101), (37, 37), (10, 1), (9, 9), (1000, 990)])]
+    df = spark.createDataFrame(sizes, "id int, size int, n int").withColumn("seed", F.lit("x"))
+    found = {r.id: r.d for r in draw(df, "size", "n", "seed", "d").groupBy("id").agg(F.collect_list("d").alias("d")).collect()}
+    for i, size, n in sizes:
+        assert len(set(found[i])) == n == len(found[i]) and all(1 <= x <= size for x in found[i])
+
+
+def test_a_large_draw_is_linear(spark):
+    """A hundred thousand questions of one request, each once."""
+    df = spark.createDataFrame([(120_011, 100_000, "big")], "size long, n long, seed string")
+    found = draw(df, "size", "n", "seed", "d").agg(F.count_distinct("d").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).first()
+    assert found.n == 100_000 and 1 <= found.low < 50 and 119_900 < found.high <= 120_011
+
+
+@pytest.mark.parametrize(
+    ("pattern", "yes", "no"),
+    [
+        ("b[a-c]t", "bat bct", "bdt bt b-t"),
+        ("b[^a-c]t", "bdt b^t", "bat"),
+        ("[-a]x", "-x ax", "bx"),
+        ("[a-]x", "-x ax", "bx"),
+        ("[a^]x", "ax ^x", "bx"),
+        ("[.]x", ".x", "ax"),
+        ("[%]_", "%a", "aa"),
+        ("[[]a", "[a", "a"),
+        ("a]", "a]", "a"),
+        ("[]a", "", "a []a"),
+        ("[^]a", "ba ]a", "a"),
+        ("[c-a]b", "", "ab bb"),
+        ("a[bc", "", "ab a[bc abc"),
+        ("%[0-9]%", "a1 1", "a"),
+        ("a.[b]", "a.b", "axb"),
+        (r"a\[d]", r"a\d", "a1"),
+    ],
+)
+def test_bracket_classes(spark, pattern, yes, no):
+    rows = [(t, True) for t in yes.split()] + [(t, False) for t in no.split()]
+    df = spark.createDataFrame(rows, "t string, match boolean")
+    assert df.where(F.col("t").rlike(like_expression(pattern)) != F.col("match")).collect() == []
+
+
+def test_bracket_search(spark):
+    df = spark.createDataFrame([("Ann 50%",), ("ANN 57",), ("Ann [5]",)], "t string")
+    assert df.where(like_anywhere(F.col("t"), "n 5[0-6]")).count() == 1
+    assert df.where(like_anywhere(F.col("t"), "N 5[0-7]", ci=True)).count() == 2
+    plan = df.where(like_anywhere(F.col("t"), "nn"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan
