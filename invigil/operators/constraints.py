@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invigil.schema import TABLES, Table
+from invigil.session import stage
 from invigil.sources.tables import Tables
 
 
@@ -41,36 +42,57 @@ def check_violations(tables: Tables, names: Iterable[str] | None = None) -> Data
 
 
 def unique_violations(tables: Tables, names: Iterable[str] | None = None, ci: bool = False) -> DataFrame:
-    """I-12: values of a primary or unique key that occur more than once, with their count.
-
-    One pass over each table: every row gives the text of each of its keys, numbered, and one
-    aggregate counts them all.
-    """
-    return _union([duplicates(tables[spec.name], spec, ci) for spec in _specs(names)])
+    """I-12: values of a primary or unique key that occur more than once, with their count."""
+    return _repeated([(tables[spec.name], spec, [(spec.key,), *spec.unique]) for spec in _specs(names)], ci)
 
 
 def duplicates(df: DataFrame, spec: Table, ci: bool = False, keys: Iterable[tuple[str, ...]] | None = None) -> DataFrame:
-    """Only the key columns are read, and counts are combined before the exchange."""
-    keys = list(keys or [(spec.key,), *spec.unique])
-
-    def part(column: str) -> Column:
-        if spec.column(column).type != "string":
-            return F.col(column).cast("string")
-        text = F.rtrim(F.col(column))
-        return F.lower(text) if ci else text
-
-    # As JSON, "a|b", "c" and "a", "b|c" stay apart; a missing part is a value of its own.
-    exact = [F.to_json(F.array(*[part(c) for c in key])) for key in keys]
-    shown = [F.concat_ws("|", *[part(c) for c in key]) for key in keys]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), e.alias("exact"), s.alias("shown")) for n, (e, s) in enumerate(zip(exact, shown))]))
-    names = F.element_at(F.array(*[F.lit(" ".join(key)) for key in keys]), F.col("n") + 1)
-    return (
-        df.select(each.alias("k"))
-        .groupBy("k.n", "k.exact")
-        .agg(F.count("*").alias("n_rows"), F.min("k.shown").alias("key_value"))
-        .where(F.col("n_rows") > 1)
-        .select(F.lit(spec.name).alias("table_name"), names.alias("key_columns"), "key_value", "n_rows")
-    )
+    """The same for the rows of ``df``, by the named keys."""
+    return _repeated([(df, spec, list(keys or [(spec.key,), *spec.unique]))], ci)
+
+
+def _repeated(given: list[tuple[DataFrame, Table, list[tuple[str, ...]]]], ci: bool) -> DataFrame:
+    """Two steps: 64-bit hashes of all keys of all tables are counted, in one exchange of a number and a hash
+    per key, combined before it; then only rows whose hash occurs twice are compared by their keys themselves.
+
+    Only the key columns are read, and where every hash occurs once the second step has nothing to read for.
+    """
+    hashed, keyed, number = [], [], 0
+    for df, spec, keys in given:
+        parts = {c: _comparable(spec, c, ci) for c in dict.fromkeys(c for key in keys for c in key)}
+        # A missing part is a value of its own; as JSON, "a|b", "c" and "a", "b|c" stay apart.
+        kinds = [
+            (number + i, " ".join(key), F.xxhash64(*[p for c in key for p in (parts[c], parts[c].isNull())]),
+             F.to_json(F.array(*[parts[c].cast("string") for c in key])), F.concat_ws("|", *[parts[c].cast("string") for c in key]))
+            for i, key in enumerate(keys)
+        ]
+        number += len(keys)
+        hashes = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), h.alias("h")) for n, _, h, _, _ in kinds]))
+        hashed.append(df.select(hashes.alias("k")).select("k.n", "k.h"))
+        keyed.append((df.select(hashes.alias("k"), *parts), spec, kinds))
+    counts = _union(hashed).groupBy("n", "h").agg(F.count("*").alias("c"))
+    twice = stage(counts.where(F.col("c") > 1).select(F.col("n").alias("_n"), F.col("h").alias("_h")), "repeated-keys")
+    found = []
+    for rows, spec, kinds in keyed:
+        own = twice.where(F.col("_n").between(kinds[0][0], kinds[-1][0]))
+        rows = rows.join(own, (F.col("k.n") == F.col("_n")) & (F.col("k.h") == F.col("_h")), "left_semi")
+        exact, shown, names = (F.coalesce(*[F.when(F.col("k.n") == kind[0], value(kind)) for kind in kinds]) for value in (
+            lambda k: k[3], lambda k: k[4], lambda k: F.lit(k[1])))
+        found.append(
+            rows.select(names.alias("key_columns"), exact.alias("exact"), shown.alias("shown"))
+            .groupBy("key_columns", "exact")
+            .agg(F.count("*").alias("n_rows"), F.min("shown").alias("key_value"))
+            .where(F.col("n_rows") > 1)
+            .select(F.lit(spec.name).alias("table_name"), "key_columns", "key_value", "n_rows")
+        )
+    return _union(found)
+
+
+def _comparable(spec: Table, column: str, ci: bool) -> Column:
+    if spec.column(column).type != "string":
+        return F.col(column)
+    text = F.rtrim(F.col(column))
+    return F.lower(text) if ci else text
 
 
 def correct_choice_violations(tables: Tables) -> DataFrame:
@@ -85,22 +107,33 @@ def correct_choice_violations(tables: Tables) -> DataFrame:
 
 
 def reference_violations(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
-    """I-14: rows that point at a row which does not exist; a NULL reference passes."""
+    """I-14: rows that point at a row which does not exist; a NULL reference passes.
+
+    One pass over each table: its key and references meet the ids of all their targets one after the other, each in the way that
+    suits that target (in place by bucket, broadcast, or exchanged).  Ids go into their joins as they are, so that AQE
+    can split a hot one; an id that occurs twice would show a row's other problems twice, which the end undoes.
+    """
     parts = []
     for spec in _specs(names):
-        for column, target in spec.references.items():
-            there = tables[target].select(F.col(TABLES[target].key).alias("_there"))
-            rows = tables[spec.name].where(F.col(column).isNotNull())
-            lost = rows.join(there, F.col(column) == F.col("_there"), "left_anti")
-            parts.append(
-                lost.select(
-                    F.lit(spec.name).alias("table_name"),
-                    F.lit(column).alias("column_name"),
-                    F.lit(target).alias("target"),
-                    F.col(spec.key).cast("long").alias("key"),
-                    F.col(column).cast("long").alias("value"),
-                )
+        if not spec.references:
+            continue
+        rows = tables[spec.name].select(spec.key, *[c for c in spec.references if c != spec.key])
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        for i, (column, target) in enumerate(spec.references.items()):
+            there = tables[target].select(F.col(TABLES[target].key).alias(f"_there{i}"))
+            rows = rows.join(there, F.col(column) == F.col(f"_there{i}"), "left")
+        problems = [
+            F.when(
+                F.col(column).isNotNull() & F.col(f"_there{i}").isNull(),
+                F.struct(
+                    F.lit(column).alias("column_name"), F.lit(target).alias("target"), F.col(column).cast("long").alias("value")
+                ),
             )
+            for i, (column, target) in enumerate(spec.references.items())
+        ]
+        lost = rows.select("_row", F.col(spec.key).cast("long").alias("key"), F.explode(F.array_compact(F.array(*problems))).alias("p"))
+        lost = lost.distinct()
+        parts.append(lost.select(F.lit(spec.name).alias("table_name"), "p.column_name", "p.target", "key", "p.value"))
     return _union(parts)
 
 
