@@ -155,34 +155,34 @@ JOIN pool ON pool.Q_CrsId = w.Q_CrsId AND pool.Q_Type = w.Q_Type WHERE n > 0""",
 )
 def _permuted(at: str) -> str:
     """One step of the network on a table of ``up`` by ``across`` cells."""
-    cell = f"{{'up': {at} // columns, 'across': {at} % columns}}"
+    cell = f"{{'up': {at} // wide, 'across': {at} % wide}}"
     for turn in range(4):
-        own, other, limit = ("up", "across", "rows") if turn % 2 == 0 else ("across", "up", "columns")
+        own, other, limit = ("up", "across", "high") if turn % 2 == 0 else ("across", "up", "wide")
         number = f"CAST('0x' || substr(md5(draw_seed || '-{turn}-' || c.{other}), 1, 15) AS BIGINT) % {limit}"
         moved = f"'{own}': (c.{own} + {number}) % {limit}, '{other}': c.{other}"
         order = moved if own == "up" else f"'up': c.up, 'across': (c.across + {number}) % {limit}"
         cell = f"list_transform([{cell}], lambda c: {{{order}}})[1]"
-    return f"list_transform([{cell}], lambda c: c.up * columns + c.across)[1]"
+    return f"list_transform([{cell}], lambda c: c.up * wide + c.across)[1]"
 
 
 cte(
     "cells2",
     """
-SELECT *, CAST(ceil(size / rows) AS BIGINT) AS columns
-FROM (SELECT *, CAST(ceil(sqrt(size)) AS BIGINT) AS rows, unnest(range(CAST(n AS BIGINT))) AS place FROM want2)""",
+SELECT *, CAST(ceil(size / high) AS BIGINT) AS wide
+FROM (SELECT *, CAST(ceil(sqrt(size)) AS BIGINT) AS high, unnest(range(CAST(n AS BIGINT))) AS place FROM want2)""",
 )
 cte(
     "draw2",
     f"""
-SELECT Exm_Id, degree, Q_CrsId, Q_Type, draw_seed, size, rows, columns, {_permuted("place")} AS at FROM cells2
+SELECT Exm_Id, degree, Q_CrsId, Q_Type, draw_seed, size, high, wide, {_permuted("place")} AS spot FROM cells2
 UNION ALL
-SELECT Exm_Id, degree, Q_CrsId, Q_Type, draw_seed, size, rows, columns, {_permuted("at")} FROM draw2 WHERE at >= size""",
+SELECT Exm_Id, degree, Q_CrsId, Q_Type, draw_seed, size, high, wide, {_permuted("spot")} FROM draw2 WHERE spot >= size""",
 )
 cte(
     "eq2",
     """
 SELECT Exm_Id AS EQ_ExmId, q.Q_Id AS EQ_QId, degree AS EQ_Degree
-FROM (SELECT Exm_Id, degree, Q_CrsId, Q_Type, at + 1 AS num FROM draw2 WHERE at < size) d
+FROM (SELECT Exm_Id, degree, Q_CrsId, Q_Type, spot + 1 AS num FROM draw2 WHERE spot < size) d
 JOIN (SELECT *, row_number() OVER (PARTITION BY Q_CrsId, Q_Type ORDER BY Q_Id) AS num FROM t_question) q
   ON q.Q_CrsId = d.Q_CrsId AND q.Q_Type = d.Q_Type AND q.num = d.num""",
 )
