@@ -21,7 +21,7 @@ from invigil.functions.numbering import append_with_ids
 from invigil.functions.rules import ERROR, first_failing_rule, with_messages
 from invigil.functions.text import is_answer_valid, normalize_answer
 from invigil.messages import message
-from invigil.operators import answers, audits, constraints, dimensions, exams, grading
+from invigil.operators import answers, audits, constraints, dimensions, exams, grading, stale
 from invigil.operators.sampling import sample_n_per_group
 from invigil.plans import searches, views
 from invigil.schema import TABLES
@@ -826,9 +826,72 @@ def _(t):
     return audits.AUDITS["I-3"](store.replace(t, Student=dimensions.merge(moves, t, "Student").rows), None)
 
 
+_HARDER = "SELECT * REPLACE (CASE WHEN Crs_Id % 3 = 0 THEN CAST(Crs_MaxDeg / 2 AS DECIMAL(5,2)) ELSE Crs_MaxDeg END AS Crs_MaxDeg) FROM t_course"
+
+
+@query(
+    "i5_stale_degrees",
+    _violations(
+        "I-5",
+        f"SELECT Exm_Id AS key FROM all_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN ({_HARDER}) c ON c.Crs_Id = Asg_CrsId "
+        "WHERE c.Crs_Id % 3 = 0 AND (SELECT coalesce(sum(EQ_Degree), 0) FROM all_eq WHERE EQ_ExmId = Exm_Id) > c.Crs_MaxDeg",
+    ),
+)
+def _(t):
+    """Every third course now allows half its degrees: which of its exams are over?"""
+    tables = _all_exams(t)
+    key, most = F.col("Crs_Id"), F.col("Crs_MaxDeg")
+    lower = tables["Course"].withColumn("Crs_MaxDeg", F.when(every(3, key), (most / 2).cast("decimal(5,2)")).otherwise(most))
+    return stale.stale(tables, store.replace(tables, Course=lower), "Course")
+
+
+@query(
+    "i6_stale_authors",
+    _violations(
+        "I-6",
+        "SELECT Q_Id AS key FROM t_question WHERE (Q_CrsId, Q_CreatedBy) IN (SELECT (Asg_CrsId, Asg_InsId) FROM t_assignment WHERE Asg_Id % 4 = 0) "
+        "AND (Q_CrsId, Q_CreatedBy) NOT IN (SELECT (Asg_CrsId, Asg_InsId) FROM t_assignment WHERE Asg_Id % 4 <> 0)",
+    ),
+)
+def _(t):
+    """Assignments are taken away: whose questions have no assigned author left?"""
+    kept = t["CourseAssignment"].where(F.col("Asg_Id") % 4 != 0)
+    return stale.stale(t, store.replace(t, CourseAssignment=kept), "CourseAssignment", ["I-6"])
+
+
+_RETYPED = "SELECT * REPLACE (CASE WHEN Q_Id % 13 = 5 THEN CASE Q_Type WHEN 'MCQ' THEN 'TF' WHEN 'TF' THEN 'Text' ELSE 'MCQ' END ELSE Q_Type END AS Q_Type) FROM t_question"
+
+
+@query(
+    "i7_stale_types",
+    f"""
+{_violations("I-7", f"SELECT TF_QId AS key FROM t_tf JOIN ({_RETYPED} WHERE Q_Id % 13 = 5) ON Q_Id = TF_QId WHERE Q_Type <> 'TF'")}
+UNION ALL {_violations("I-8", f"SELECT Txt_QId AS key FROM t_text JOIN ({_RETYPED} WHERE Q_Id % 13 = 5) ON Q_Id = Txt_QId WHERE Q_Type <> 'Text'")}
+UNION ALL {_violations("I-9", f"SELECT Ch_Id AS key FROM t_choice JOIN ({_RETYPED} WHERE Q_Id % 13 = 5) ON Q_Id = Ch_QId WHERE Q_Type <> 'MCQ'")}
+UNION ALL {_I10.replace("answer_bad a", "t_answer a").replace("t_question q", f"({_RETYPED}) q").replace("WHERE error_code", "WHERE key IN (SELECT Ans_Id FROM t_answer WHERE Ans_QId % 13 = 5) AND error_code")}""",
+)
+def _(t):
+    """Questions get another type: which keys, best answers, choices and answers do not fit any more?"""
+    kind = F.col("Q_Type")
+    other = F.when(kind == "MCQ", "TF").when(kind == "TF", "Text").otherwise("MCQ")
+    retyped = t["Question"].withColumn("Q_Type", F.when(every(13, F.col("Q_Id"), 5), other).otherwise(kind))
+    return stale.stale(t, store.replace(t, Question=retyped), "Question", ["I-7", "I-8", "I-9", "I-10"])
+
+
 # -- searches ----------------------------------------------------------------------------
 
 
+@query(
+    "p15_search_students_brackets",
+    """
+SELECT St_Id, St_Name, St_Email, St_Phone, Br_Name, Trk_Name, Int_Name FROM t_student JOIN t_branch ON Br_Id = St_BrId
+JOIN t_track ON Trk_Id = St_TrkId JOIN t_intake ON Int_Id = St_IntId WHERE regexp_matches(St_Name, '[13-5].[^0-6]')""",
+)
+def _(t):
+    """Names with bracket classes: one of some digits, any character, none of others."""
+    return searches.search_students(t, name="[13-5]_[^0-6]")
+
+
 @query(
     "p15_search_students_backslash",
     """
