@@ -163,6 +163,28 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
+#: Parts that the first round of choosing a sample splits every language into.
+PARTS = 256
+
+
+def _among_first(ordered: DataFrame, sample: int, lang: Column, order: Column) -> Column:
+    """Whether a document is among the first ``sample`` of its language by ``_order``, ties included.
+
+    ``ordered`` has lang and _order alone.  First per part of a language, so that none is one task however many
+    documents it has, then among at most ``PARTS * sample`` per language.  What comes back is one number per language, so
+    the texts are chosen where they are scanned.
+    """
+    part = F.pmod("_order", F.lit(PARTS))
+    for by in (["lang", part], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_order"))
+        ordered = ordered.withColumn("_place", place).where(F.col("_place") <= sample).drop("_place")
+    last = ordered.groupBy("lang").agg(F.max("_order").alias("last")).orderBy("lang").collect()
+    chosen = F.lit(False)
+    for r in last:
+        chosen = chosen | ((lang == r.lang) & (order <= r.last))
+    return chosen
+
+
 def train(
     docs: DataFrame,
     allowed: Column,
@@ -179,15 +201,7 @@ def train(
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(7), "doc_id")
     labelled = docs.select("doc_id", "text", "lang").where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))
-    chosen = labelled.select("lang", "doc_id", order.alias("_order")).withColumn("_place", place)
-    last = (
-        chosen.where(F.col("_place") <= sample)
-        .groupBy("lang")
-        .agg(F.max("_order").alias("_last"))
-        .select(F.col("lang").alias("_lang"), "_last")
-    )
-    texts = labelled.join(last, (F.col("lang") == F.col("_lang")) & (order <= F.col("_last"))).select("text", "lang")
+    texts = labelled.where(_among_first(labelled.select("lang", order.alias("_order")), sample, F.col("lang"), order)).select("text", "lang")
     counts = texts.mapInArrow(_count_words, "lang string, word string, n long")
     types = stage(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     size = len(pieces(path))
