@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -40,7 +41,9 @@ from invigil.session import stage
 CAPACITY = 2048
 END = 0
 BLOCK_ROWS = 1024
-KNOWN = 800_000
+#: Words after which a worker starts its memory anew, the last such memory beside it, and the bytes up to which it remembers them.
+KNOWN = 250_000
+SHORT = 64
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many), in the order of their places
 
@@ -71,7 +74,8 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.before = _tokenizer(path), {}, {}
+        self.model = self.tokenizer.model
         self.mark_id, token = max(self.tokenizer.get_added_tokens_decoder().items())
         self.mark = token.content
         vocabulary = self.tokenizer.get_vocab()
@@ -81,28 +85,48 @@ class Words:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
         if len(self.known) > KNOWN:
-            self.known = {}
-        self._learn([w for w in set().union(*split) if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, own)) for own in split]
+            self.known, self.before = {}, self.known
+        new = []
+        for word in set().union(*split).difference(self.known):
+            ids = self.before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        self._learn(new)
+        found = [b"".join(map(self.known.__getitem__, own)) for own in split]
+        for word in new:
+            if len(word) > SHORT:
+                del self.known[word]
+                self.known.pop(word[:-1], None)
+        return found
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode many words at a time and cut the ids apart.
+        """Encode new words: the model takes plain letters as they are; others many at a time, their ids cut apart.
 
         Words of letters alone are one token group each, which ends where a token ends a word.  A
         single stop after such a word is a group of its own.  All else is encoded with a special
         token between, and what holds that token's string by itself.
         """
         letters, stopped, rest = {}, [], []
+        known, tokens = self.known, self.model.tokenize
         for word in new:
-            text = word.decode()
-            if text.isalpha():
-                letters[word] = text
-            elif text[-1] in ".," and text[:-1].isalpha() and text[:-1].lower().isalpha():
-                stopped.append(word)
-                if word[:-1] not in self.known:
-                    letters[word[:-1]] = text[:-1]
-            else:
+            stop = word[-1:] in (b".", b",") and len(word) > 1
+            core = word[:-1] if stop else word
+            if core.isalpha():  # of ASCII
+                if core not in known:
+                    known[core] = self.before.get(core) or array("I", [t.id for t in tokens(core.lower().decode())]).tobytes()
+                if stop:
+                    stopped.append(word)
+                continue
+            text = core.decode()
+            if not text.isalpha() or (stop and not text.lower().isalpha()):
                 rest.append(word)
+                continue
+            if core not in known:
+                letters[core] = text
+            if stop:
+                stopped.append(word)
         if stopped:
             rest += [s for s in (b".", b",") if s not in self.known]
         words = list(letters)
@@ -133,6 +157,12 @@ class Words:
         self.known.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(words, after, upto))
 
 
+@lru_cache(maxsize=1)
+def known_words(path: str) -> Words:
+    """One memory per worker, which goes on from task to task."""
+    return Words(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids as bytes."""
     path = path or vocabulary_path()
@@ -142,7 +172,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     fields += [T.StructField("ids", T.BinaryType())] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = Words(path), np.array([END], "<u4").tobytes()
+        words, end = known_words(path), np.array([END], "<u4").tobytes()
         for part in slices(batches):
             rows: list[tuple] = []
             place: list[int] = []
