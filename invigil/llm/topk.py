@@ -3,20 +3,23 @@
 A vector's components, as whole numbers (``floor(256 x)``), are its terms.  Vectors are cut into
 blocks of 64, halved again and again along the widest component so that a block holds like
 vectors.  A block keeps each component's largest and smallest value, which bound any query's
-score in it, and a forward index: the vectors themselves.  In each pack of vectors a query first
-takes its ``FIRST_ROUNDS`` blocks of the best bounds, in its own order.  Then all queries of a pack
-go through its blocks in one shared order, by the largest bound of any of them, and each scores
-those whose bound does not fall below its k-th best score; a bound equal to it is still followed,
-so ties go to the smaller id.
-
-Both sides travel in packs of bounded size.  The index is written once; every pack of queries
-meets every pack of vectors through a join on a lane, and only k results per query and lane are
-exchanged afterwards.  Scores are computed in floating point only where every sum is exact.
-
-Defined cases: vectors that are null or hold a null or non-finite component, and rows without an
-id, take no part.  Missing components of a shorter vector count as 0.  Rows that share the
-query's id are its own; rows that repeat another id are candidates each.  Components beyond 31
-bits are taken at that limit.  No rows, no result.
+score in it, and a forward index: the vectors themselves.  In each pack of vectors a query takes the
+blocks in its own order, the best bound first, and scores them through the forward index until the bounds fall
+below its k-th best score; a bound equal to it is still followed, so ties go to the smaller id.
+Queries that want the same block in a round share the work.
+
+Both sides travel in packs of bounded size.  The index is written once.  Packs of queries and of vectors are
+dealt into cells, a range of one against a range of the other, whose bytes are bounded; a cell is one cogroup, in which a
+query's k-th score goes on from pack to pack.  The number of cells follows the data, nothing is broadcast, and only
+k results per query and cell are exchanged afterwards.
+
+Scores are exact: in floating point only where every sum is a whole number below 2^53, else in 64-bit or
+in Python's whole numbers, bounds as well.
+
+Defined cases: vectors that are null or hold a null or non-finite component (or one that is not finite times
+256), and rows without an id, take no part.  Missing components of a shorter vector count as 0.  Rows that share
+the query's id are its own; rows that repeat another id are candidates each.  Scores beyond 64 bits count as the nearest
+long, as that is the type of the result.  No rows, no result.
 """
 
 from __future__ import annotations
@@ -33,33 +36,32 @@ from invigil.session import stage
 BLOCK = 64
 PACK = 4096
 QUERIES = 256
-LANES = 64
-FIRST_ROUNDS = 4
-_LIMIT = 2**31 - 1
+#: Bytes of vectors, and of queries, in a cell.
+CELL, ASKED = 32 << 20, 8 << 20
+_LARGEST = 2**63 - 1
 
 
 def whole_numbers(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which rows take part, and their components as whole numbers."""
+    """Which rows take part, and their components, whole numbers that a double holds."""
     offsets = vectors.offsets.to_numpy()
     values = vectors.values
-    numbers = values.to_numpy(zero_copy_only=False).astype(np.float64)
-    bad = ~np.isfinite(numbers)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = np.floor(256.0 * values.to_numpy(zero_copy_only=False).astype(np.float64))
+    bad = ~np.isfinite(scaled)
     if values.null_count:
         bad |= values.is_null().to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(bad)])
     good = upto[offsets[1:]] == upto[offsets[:-1]]
     if vectors.null_count:
         good &= ~vectors.is_null().to_numpy(zero_copy_only=False)
-    with np.errstate(over="ignore"):
-        scaled = np.clip(np.floor(256.0 * np.where(bad, 0.0, numbers)), -_LIMIT, _LIMIT).astype(np.int32)
     return good, [scaled[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(good)]
 
 
 def _matrix(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int32)
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
-    return out
+    return out.astype(np.int32) if np.abs(out).max(initial=0) < 2**31 else out
 
 
 def _packs(size: int, blocks: bool):
@@ -74,10 +76,11 @@ def _packs(size: int, blocks: bool):
             [
                 pa.array([len(numbers)], pa.int32()),
                 pa.array([matrix.shape[1]], pa.int32()),
+                pa.array([matrix.dtype == np.float64]),
                 pa.array([numbers.tobytes()], pa.binary()),
                 pa.array([matrix.tobytes()], pa.binary()),
             ],
-            names=["n", "width", "ids", "vectors"],
+            names=["n", "width", "long", "ids", "vectors"],
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +109,7 @@ def _halved(matrix: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return [*_halved(matrix, order[:half]), *_halved(matrix, order[half:])]
 
 
-PACKED = "n int, width int, ids binary, vectors binary"
+PACKED = "n int, width int, long boolean, ids binary, vectors binary"
 
 
 class Search:
@@ -120,6 +123,14 @@ class Search:
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of candidates for some queries; own ids do not count."""
+        if self.scores.dtype == object:
+            for row, own in zip(rows, scores):
+                given = [(s, i) for s, i in zip(own.tolist(), ids.tolist()) if i != self.ids[row]]
+                held = [(s, i) for s, i in zip(self.scores[row], self.found[row].tolist()) if s != -np.inf]
+                best = sorted(held + given, key=lambda c: (-c[0], c[1]))[: self.k]
+                self.scores[row, : len(best)] = [s for s, _ in best]
+                self.found[row, : len(best)] = [i for _, i in best]
+            return
         scores = np.where(ids == self.ids[rows, None], -np.inf, scores)
         better = scores.max(axis=1, initial=-np.inf) >= self.scores[rows, -1]
         rows, scores = rows[better], scores[better]
@@ -131,90 +142,102 @@ class Search:
         self.found[rows] = np.take_along_axis(all_ids, best, axis=1)
 
     def visit(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Go through one pack of vectors, best bounds first, until no block can matter."""
+        """Go through one pack of vectors: every query through its blocks, best bounds first, until none can matter."""
         width = min(vectors.shape[1], self.queries.shape[1])
         queries, vectors = self.queries[:, :width], vectors[:, :width]
-        largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, width)
-        kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else object
-        queries, vectors = queries.astype(kind), vectors.astype(kind)
+        # Python's numbers: their product does not overflow.
+        largest = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, width)
+        kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64 if largest < 2**62 else object
+        exact = kind in (np.int64, object)
+        if exact:
+            self.scores = self.scores.astype(object)
+        queries, vectors = _as(kind, queries), _as(kind, vectors)
         starts = np.arange(0, len(ids), BLOCK)
         high = np.stack([vectors[s : s + BLOCK].max(axis=0) for s in starts])
         low = np.stack([vectors[s : s + BLOCK].min(axis=0) for s in starts])
-        zero = kind(0) if kind is not object else 0
-        bounds = (np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T).astype(np.float64)
-        if kind is object:
-            bounds = np.nextafter(bounds, np.inf)
+        bounds = np.maximum(queries, kind(0) if kind is not object else 0) @ high.T
+        bounds = bounds + np.minimum(queries, kind(0) if kind is not object else 0) @ low.T
+        bounds = bounds.astype(object if exact else np.float64)
         order = np.argsort(-bounds, axis=1, kind="stable")
         every = np.arange(len(self.ids))
-        scored = np.zeros(bounds.shape, bool)
         self.blocks_seen += bounds.size
-
-        def score(block: int, rows: np.ndarray) -> None:
-            own = slice(block * BLOCK, block * BLOCK + BLOCK)
-            self.offer(rows, (queries[rows] @ vectors[own].T).astype(np.float64), ids[own])
-            scored[rows, block] = True
-            self.blocks_scored += len(rows)
-
-        # The first rounds follow each query's own order, so that its k-th best score rises fast;
-        # queries that want the same block in a round share the work.
-        for turn in range(min(FIRST_ROUNDS, len(starts))):
+        for turn in range(len(starts)):
             wanted = order[:, turn]
-            open_ = bounds[every, wanted] >= self.scores[:, -1]
+            open_ = (bounds[every, wanted] >= self.scores[:, -1]).astype(bool)
+            if not open_.any():
+                break
             for block in np.unique(wanted[open_]):
-                score(block, np.flatnonzero(open_ & (wanted == block)))
-        for block in np.argsort(-bounds.max(axis=0), kind="stable"):
-            rows = np.flatnonzero((bounds[:, block] >= self.scores[:, -1]) & ~scored[:, block])
-            if len(rows):
-                score(block, rows)
+                rows = np.flatnonzero(open_ & (wanted == block))
+                own = slice(block * BLOCK, block * BLOCK + BLOCK)
+                scores = queries[rows] @ vectors[own].T
+                if kind is object:
+                    scores = np.clip(scores, -_LARGEST, _LARGEST)
+                self.offer(rows, scores.astype(self.scores.dtype), ids[own])
+                self.blocks_scored += len(rows)
 
     def rows(self, pack: int) -> pa.RecordBatch:
-        at, place = np.nonzero(~np.isneginf(self.scores))
-        score = self.scores[at, place]
+        at, place = np.nonzero(self.scores != -np.inf)
+        score = [int(s) for s in self.scores[at, place]]
         return pa.record_batch(
             [
                 pa.array(np.full(len(at), pack), pa.int64()),
                 pa.array(at, pa.int64()),
                 pa.array(self.ids[at], pa.int64()),
                 pa.array(self.found[at, place], pa.int64()),
-                pa.array(np.clip(score, -(2.0**63), 2.0**63 - 1024).astype(np.int64), pa.int64()),
+                pa.array(score, pa.int64()),
             ],
-            names=["pack", "row", "query_id", "vec_id", "score"],
+            schema=FOUND,
         )
 
 
-def _unpacked(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-    n, width = row[prefix + "n"], row[prefix + "width"]
-    ids = np.frombuffer(row[prefix + "ids"], np.int64)
-    return ids, np.frombuffer(row[prefix + "vectors"], np.int32).reshape(n, width)
+def _as(kind: type, numbers: np.ndarray) -> np.ndarray:
+    if kind is not object:
+        return numbers.astype(kind)
+    return np.array([[int(x) for x in row] for row in numbers.tolist()], object).reshape(numbers.shape)
+
+
+def _unpacked(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+    n, width, long, ids, vectors = (table.column(c)[i].as_py() for c in ("n", "width", "long", "ids", "vectors"))
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64 if long else np.int32).reshape(n, width)
+
+
+def _ranges(packs: DataFrame, number: str, limit: int) -> tuple[DataFrame, int]:
+    """``packs`` with the range of at most ``limit`` bytes (one pack at least) that each is in, and how many there are."""
+    size = F.octet_length("vectors") + F.octet_length("ids")
+    count, most = packs.agg(F.count("*"), F.max(size)).first()
+    parts = max(1, -(-count // max(1, limit // (most or 1))))
+    return packs.withColumn("part", F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")), parts
 
 
 def top_k(embeddings: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``asks`` holds, the k best others."""
-    known = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    known = known.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    index = known.mapInArrow(_packs(PACK, True), PACKED)
+    known = embeddings.select("vec_id", "embedding", asks.alias("asks")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    known = known.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "asks")
+    index = known.select("vec_id", "embedding").mapInArrow(_packs(PACK, True), PACKED)
     index = stage(index.withColumn("slab", F.monotonically_increasing_id()), "vector-index")
-    asked = known.where(asks).mapInArrow(_packs(QUERIES, False), PACKED)
+    asked = known.where("asks").select("vec_id", "embedding").mapInArrow(_packs(QUERIES, False), PACKED)
     asked = stage(asked.withColumn("pack", F.monotonically_increasing_id()), "queries")
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
-    queries = asked.select("pack", *[F.col(c).alias("q_" + c) for c in ("n", "width", "ids", "vectors")], lanes.alias("q_lane"))
-    slabs = index.withColumn("lane", F.pmod(F.xxhash64("slab"), F.lit(LANES)).cast("int"))
-    pairs = queries.join(slabs, F.col("q_lane") == F.col("lane")).drop("q_lane", "lane", "slab")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, current = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if row["pack"] != current:
-                    if search:
-                        yield search.rows(current)
-                    current, search = row["pack"], Search(*_unpacked(row, "q_"), k)
-                search.visit(*_unpacked(row, ""))
-        if search:
-            yield search.rows(current)
-
-    found = pairs.mapInArrow(run, "pack long, row long, query_id long, vec_id long, score long")
+    queries, n_left = _ranges(asked, "pack", ASKED)
+    slabs, n_right = _ranges(index, "slab", CELL)
+    left = queries.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    right = slabs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+
+    def cell(asked_here: pa.Table, vectors: pa.Table) -> pa.Table:
+        found = []
+        packs = [_unpacked(vectors, i) for i in range(vectors.num_rows)]
+        for i in range(asked_here.num_rows):
+            search = Search(*_unpacked(asked_here, i), k)
+            for pack in packs:
+                search.visit(*pack)
+            found.append(search.rows(asked_here.column("pack")[i].as_py()))
+        return pa.Table.from_batches(found, schema=FOUND)
+
+    cells = left.groupBy("part", "other").cogroup(right.groupBy("other", "part"))
+    found = cells.applyInArrow(cell, "pack long, row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("pack", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = pa.schema([(n, pa.int64()) for n in ("pack", "row", "query_id", "vec_id", "score")])

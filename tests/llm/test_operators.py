@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -37,11 +38,11 @@ def search(llm, rows, **options):
 
 
 def best(rows, k=5):
-    vectors = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    vectors = [(i, [int(math.floor(256 * float(x))) for x in np.array(v, np.float32)]) for i, v in rows]
     out = set()
     for i, q in vectors:
         if i % 5 == 0:
-            scored = sorted((-int(q[: min(len(q), len(v))] @ v[: min(len(q), len(v))]), j) for j, v in vectors if j != i)
+            scored = sorted((-sum(x * y for x, y in zip(q, v)), j) for j, v in vectors if j != i)
             out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])}
     return out
 
@@ -54,9 +55,35 @@ def test_top_k_is_exact(llm, monkeypatch):
     assert search(llm, rows) == best(rows)
     monkeypatch.setattr(topk, "PACK", 100)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "CELL", 20_000)
+    monkeypatch.setattr(topk, "ASKED", 1_000)
     assert search(llm, rows) == best(rows)
 
 
+@pytest.mark.parametrize("bits", [15, 23, 31, 40])
+def test_large_components_are_exact(llm, bits):
+    """Sums pass 2^53 from 2^23 on, and components 31 bits from there on, too."""
+    rnd = np.random.default_rng(bits)
+    rows = [(i, [float(x) for x in rnd.integers(-(2**10), 2**10, 3)] + [2.0 ** (bits - 8 if bits < 31 else 0)]) for i in range(120)]
+    rows += [(201, [1.0, 2.0 ** (bits - 8)]), (202, [1.0, 2.0 ** (bits - 8)]), (207, [2.0 ** (bits - 8)] * 2)]
+    assert search(llm, rows) == best(rows)
+
+
+def test_scores_beyond_64_bits_are_the_largest(llm):
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 2.0]), (2, [-(2.0**40), 0.0]), (3, [1e30, 0.0]), (4, [1.0])]
+    found = sorted((r[1], r[2], r[3]) for r in search(llm, rows))
+    assert found == [(1, 1, 2**63 - 1), (2, 3, 2**63 - 1), (3, 4, 2**56), (4, 2, 1 - 2**63)]
+
+
+def test_scores_that_differ_in_the_last_bit_are_told_apart():
+    query = topk.Search(np.array([0]), np.array([[2**30, 3]]), 2)
+    query.visit(np.array([1, 2]), np.array([[2**30, 1], [2**30, 2]]))
+    assert query.found.tolist() == [[2, 1]] and query.scores.tolist() == [[2**60 + 6, 2**60 + 3]]
+    large = topk.Search(np.array([0]), np.array([[1e200, 3.0]]), 2)
+    large.visit(np.array([1, 2]), np.array([[1e200, 1.0], [-1e200, 2.0]]))
+    assert large.found.tolist() == [[1, 2]] and large.scores.tolist() == [[2**63 - 1, 1 - 2**63]]
+
+
 def test_top_k_prunes_blocks_of_like_vectors():
     rnd = np.random.default_rng(2)
     vectors = np.concatenate([rnd.integers(-9, 9, (640, 16)), rnd.integers(200, 256, (64, 16))]).astype(np.int32)
