@@ -26,6 +26,7 @@ from invigil.operators.sampling import sample_n_per_group
 from invigil.plans import searches, views
 from invigil.schema import TABLES
 from invigil.session import new_folder, stage, tune
+from invigil.sources import ranges
 from invigil.sources import tables as store
 from invigil.sources.buckets import Store
 from invigil.sources.star import Star, every, stored
@@ -950,6 +951,24 @@ def _(t):
     )
 
 
+def _by_day(t) -> store.Tables:
+    """All exams and their questions by day; small files here, so that a day is some of many."""
+    return ranges.lay_out_exams(_all_exams(t), new_folder(t.spark, "exams"), rows_per_file=2_000)
+
+
+@query(
+    "p16_search_one_day",
+    """
+SELECT Exm_Id, Crs_Name, Exm_Type, Br_Name, Trk_Name, CAST(Exm_Start AS VARCHAR) AS Exm_Start, CAST(Exm_End AS VARCHAR) AS Exm_End,
+       Exm_TotalTime
+FROM all_exam JOIN t_assignment ON Asg_Id = Exm_AsgId JOIN t_course c ON c.Crs_Id = Asg_CrsId
+JOIN t_branch ON Br_Id = Exm_BrId JOIN t_track ON Trk_Id = Exm_TrkId WHERE CAST(Exm_Start AS DATE) = DATE '2024-02-10'""",
+)
+def _(t):
+    day = dt.date(2024, 2, 10)
+    return searches.search_exams(_by_day(t), from_date=day, to_date=day)
+
+
 @query(
     "p17_search_questions",
     """
@@ -987,6 +1006,14 @@ def _(t):
     return views.exam_details(_all_exams(t))
 
 
+@query(
+    "v2_details_of_days",
+    BODY["v2_exam_details"] + " WHERE CAST(Exm_Start AS DATE) BETWEEN DATE '2024-02-10' AND DATE '2024-02-11'",
+)
+def _(t):
+    return views.exam_details(_by_day(t), dt.date(2024, 2, 10), dt.date(2024, 2, 11))
+
+
 @query(
     "v3_student_results",
     """

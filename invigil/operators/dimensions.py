@@ -128,14 +128,15 @@ def judge_ingest(requests: DataFrame, tables: Tables, table: str, ci: bool = Fal
     return first_per_key(keyed, names, _keyed(tables[table], table, key, ci, "_k")).drop(*names)
 
 
-def _in_turn(judged: DataFrame, entry: Entry, ci: bool) -> DataFrame:
+def _in_turn(judged: DataFrame, entry: Entry, ci: bool, rounds: list | None = None) -> DataFrame:
     """Several unique keys: what one request loses on one key it leaves free on the other.
 
     A request that is first on all of its keys is accepted.  One that comes second, after a
     single rival, is accepted exactly if that rival is not: such chains are settled by pointer
     doubling, however long.  Requests for a key of an accepted one are refused, the rest go
-    into another round.  The first open request is always settled, so rounds end; each writes
-    its verdicts to one folder and goes on from a stored table, so no plan grows.
+    into another round.  Rounds are bounded by how deep requests with several rivals are nested: a request of depth d
+    is settled in round d at the latest, where d is one more than the depth of the deepest of its rivals that has
+    several rivals itself.  Each writes its verdicts to one folder and goes on from a stored table, so no plan grows.
     """
     spark = judged.sparkSession
     folder = new_folder(spark, "in-turn")
@@ -150,6 +151,8 @@ def _in_turn(judged: DataFrame, entry: Entry, ci: bool) -> DataFrame:
     number = 0
     while open_.take(1):
         number += 1
+        if rounds is not None:
+            rounds.append(number)
         steps = open_
         for n in range(len(entry.unique)):
             steps = _with_rivals(steps, open_, f"_u{n}", n)

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invigil.functions.filters import optional_filters
+from invigil.functions.filters import optional_filters, within_days
 from invigil.functions.text import like_anywhere, text_key
+from invigil.sources.ranges import EXAM_DAY
 from invigil.sources.tables import Tables
 
 
@@ -62,9 +63,8 @@ def search_exams(
         (branch, _equals("Exm_BrId")),
         (track, _equals("Exm_TrkId")),
         (exam_type, _same_text("Exm_Type", ci)),
-        (from_date, lambda day: F.col("Exm_Start").cast("date") >= F.lit(day)),
-        (to_date, lambda day: F.col("Exm_Start").cast("date") <= F.lit(day)),
     )
+    exams = within_days(exams, "Exm_Start", from_date, to_date, EXAM_DAY["Exam"])
     assignments = optional_filters(tables["CourseAssignment"], (course, _equals("Asg_CrsId")))
     return (
         exams.join(assignments, F.col("Exm_AsgId") == F.col("Asg_Id"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from invigil.functions.filters import within_days
 from invigil.schema import TOTAL
-from invigil.sources.tables import Tables
+from invigil.sources.ranges import EXAM_DAY
+from invigil.sources.tables import Tables, replace
 
 
 def exam_total_degree(tables: Tables) -> DataFrame:
@@ -29,7 +33,17 @@ def question_pool(tables: Tables) -> DataFrame:
     )
 
 
-def exam_details(tables: Tables) -> DataFrame:
+def exam_details(tables: Tables, from_date: dt.date | None = None, to_date: dt.date | None = None) -> DataFrame:
+    """All exams, or those that start on a day from ``from_date`` to ``to_date``.
+
+    Where exam questions carry their exam's day (``lay_out_exams``), those of other days are not read.
+    """
+    exams, questions = tables["Exam"], tables["ExamQuestion"]
+    if from_date or to_date:
+        exams = within_days(exams, "Exm_Start", from_date, to_date, EXAM_DAY["Exam"])
+        if (day := EXAM_DAY["ExamQuestion"]) in questions.columns:
+            questions = within_days(questions, day, from_date, to_date, day)
+        tables = replace(tables, Exam=exams, ExamQuestion=questions)
     totals = exam_total_degree(tables).withColumnRenamed("Exm_Id", "_exam")
     return (
         tables["Exam"]

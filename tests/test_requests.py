@@ -263,6 +263,38 @@ def test_chained_students_take_few_rounds(spark, seed, n, monkeypatch):
     assert len(stored) <= n.bit_length() + 3
 
 
+def crowd(kind, n=10_000):
+    """(user, mail) numbers of a batch of ``n`` students."""
+    rng = random.Random(8)
+    if kind == "sparse":
+        return [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+    if kind == "crowded":
+        return [(rng.randrange(n // 20), rng.randrange(n // 20)) for _ in range(n)]
+    if kind == "one user":
+        return [(0 if i % 3 else i, rng.randrange(n)) for i in range(n)]
+    # Every request has a rival on each key, right before it and two before it.
+    return [(i // 2, i // 3) for i in range(n)]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("sparse", 4), ("crowded", 8), ("one user", 4), ("steps", 4)])
+def test_ten_thousand_students_take_few_rounds(spark, kind, most):
+    pairs = crowd(kind)
+    rows = [(i, f"u{u}", f"m{m}", None) for i, (u, m) in enumerate(pairs)]
+    judged = spark.createDataFrame(rows, "req_id long, St_User string, St_Email string, error_code string").repartition(4)
+    rounds = []
+    found = dimensions._in_turn(judged, dimensions.ADD["Student"], False, rounds)
+    refused = {r.req_id for r in found.where("error_code = 'I-12'").collect()}
+    users, mails, expected = set(), set(), set()
+    for i, (u, m) in enumerate(pairs):
+        if u in users or m in mails:
+            expected.add(i)
+        else:
+            users.add(u)
+            mails.add(m)
+    assert refused == expected
+    assert len(rounds) <= most, len(rounds)
+
+
 def test_update_branch(spark, seed):
     rows = [
         (1, 1, "Hill", None),  # held by the other branch
