@@ -105,19 +105,24 @@ def _block(doc_id: str = "doc_id") -> Column:
 
 
 def _next_blocks(ids: DataFrame) -> DataFrame:
-    """(block, next_block): every block and the one below it; the lowest is followed by the highest.  Windows hold 1,024 blocks, the last one a row per 2**20 ids."""
-    blocks = ids.select(_block().alias("block")).distinct()
-    blocks = blocks.withColumn("_above", F.shiftright("block", BLOCK_BITS))
-    tops = blocks.groupBy("_above").agg(F.max("block").alias("_highest"))
-    falling = Window.orderBy(F.desc("_above"))
-    whole = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = tops.select(
-        F.col("_above").alias("_top"),
-        F.coalesce(F.lead("_highest").over(falling), F.first("_highest").over(whole)).alias("_after"),
-    )
-    inside = F.lead("block").over(Window.partitionBy("_above").orderBy(F.desc("block")))
-    blocks = blocks.withColumn("_inside", inside).join(tops, F.col("_above") == F.col("_top"))
-    return blocks.select("block", F.coalesce("_inside", "_after").alias("next_block"))
+    """(block, next_block): every block that has documents and the one below it; the lowest is followed by the highest."""
+    return _below(ids.select(_block().alias("block")).distinct(), [BLOCK_BITS, 12])
+
+
+def _below(blocks: DataFrame, bits: list[int]) -> DataFrame:
+    """The same for any ``block`` numbers, level by level: however the ids are spread over 64 bits, a window holds at most
+    2^20 blocks, 2^12 stretches of them, or 2^12 stretches of those at the top."""
+    falling = F.desc("block")
+    if not bits:
+        whole = Window.orderBy(falling).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return blocks.select("block", F.coalesce(F.lead("block").over(Window.orderBy(falling)), F.first("block").over(whole)).alias("next_block"))
+    stretch = F.shiftright("block", bits[0])
+    highest = blocks.groupBy(stretch.alias("_stretch")).agg(F.max("block").alias("_highest"))
+    after = _below(highest.select(F.col("_stretch").alias("block")), bits[1:]).withColumnsRenamed({"block": "_of"})
+    after = after.join(highest, F.col("next_block") == F.col("_stretch")).select("_of", "_highest")
+    inside = F.lead("block").over(Window.partitionBy(stretch).orderBy(falling))
+    found = blocks.select("block", stretch.alias("_in"), inside.alias("_inside")).join(after, F.col("_in") == F.col("_of"))
+    return found.select("block", F.coalesce("_inside", "_highest").alias("next_block"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -132,6 +132,14 @@ _SPACED = re.compile(
 _SIGN = re.compile(rf"{_DOT_WORD}|\s\.\s", re.I)
 _SPELLED_SIGN = re.compile(_DOT_WORD, re.I)
 
+# Spelled dots behind an at sign of any style, and between the parts of an address in numbers.
+_ANY_AT = rf"(?:@|\s?[(\[{{{{<]\s?{_AT}\s?[)\]}}}}>]\s?|(?<=[A-Za-z0-9])\s{{1,3}}@\s{{1,3}})"
+_HOST_DOTS = re.compile(rf"{_ANY_AT}[A-Za-z0-9-]++((?:{_DOT_WORD}[A-Za-z0-9-]++)+)", re.I)
+_NUMBER_DOTS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT_WORD}|\.)[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
+_DOT_HINT = re.compile(rf"[A-Za-z0-9]{_DOT_WORD}[A-Za-z0-9]", re.I)
+# Spelled digits between digits, however few.
+_BETWEEN = re.compile(rf"(?<=[0-9])[ \-]{{1,2}}({_NUMBER}\b(?:{_GAP}{_NUMBER}\b)*)(?=[ \-]{{1,2}}[0-9])", re.I)
+
 Edit = tuple[int, int, str]
 
 
@@ -157,9 +165,10 @@ def look_alikes(text: str) -> list[Edit]:
 
 
 def spelled_digits(text: str) -> list[Edit]:
-    """Digits for runs of three words or more; the gaps inside a run go (a spelled
-    dot becomes one), and ``plus`` before digits is a sign."""
+    """Digits for runs of three words or more, and for shorter ones between digits; the gaps inside a run go (a
+    spelled dot becomes one), and ``plus`` before digits is a sign."""
     edits: list[Edit] = []
+    taken: set[int] = set()
     if _RUN_HINT.search(text) or _RUN_HINT.search(" " + text[:64]):
         for run in _RUN.finditer(text):
             parts = list(_RUN_WORD.finditer(text, run.start(), run.end()))
@@ -168,9 +177,14 @@ def spelled_digits(text: str) -> list[Edit]:
             lead = re.search(r"\bplus[ \-]$", text[max(0, run.start() - 6) : run.start()], re.I)
             if lead:
                 edits.append((run.start() - len(lead.group()), run.start(), "+"))
+            taken.add(run.start())
             for m in parts:
-                point = "." if len((m.group(2) or "").strip(" ,-")) > 1 else ""
-                edits.append((m.start(), m.end(), _SPELLED[m.group(1).lower()] + point))
+                edits.append(_digit(m))
+    if "+" in text or "lus" in text or "LUS" in text:
+        for m in _BETWEEN.finditer(text):
+            if m.start(1) not in taken:
+                edits += [_digit(word) for word in _RUN_WORD.finditer(text, *m.span(1))]
+        edits.sort()
     if "lus" in text or "LUS" in text:
         # These overlap no run's edits: digits follow the word here, spelled ones there.
         edits += [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
@@ -178,8 +192,14 @@ def spelled_digits(text: str) -> list[Edit]:
     return edits
 
 
+def _digit(word: re.Match) -> Edit:
+    point = "." if len((word.group(2) or "").strip(" ,-")) > 1 else ""
+    return word.start(), word.end(), _SPELLED[word.group(1).lower()] + point
+
+
 def signs(text: str) -> list[Edit]:
-    """Signs for bracketed words anywhere, and for bare words where a whole address is spelled out."""
+    """Signs for bracketed words anywhere, for bare words where a whole address is spelled out, and for spelled dots
+    behind an at sign of any style or between four numbers."""
     edits = [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _BRACKETED.finditer(text)]
     if _SPACED_HINT.search(text):
         for m in _SPACED.finditer(text):
@@ -190,6 +210,10 @@ def signs(text: str) -> list[Edit]:
                 edits.append((m.start(1), m.end(1), "@"))
                 for part in (m.span(2), (m.start(), m.start(1))):
                     edits += [(d.start(), d.end(), ".") for d in sign.finditer(text, *part)]
+    if _DOT_HINT.search(text):
+        for pattern, group in ((_HOST_DOTS, 1), (_NUMBER_DOTS, 0)):
+            for m in pattern.finditer(text):
+                edits += [(d.start(), d.end(), ".") for d in _SPELLED_SIGN.finditer(text, *m.span(group))]
     edits.sort()
     clear, end = [], 0
     for edit in edits:

@@ -179,6 +179,19 @@ def test_edited_texts_and_likeness(table):
     assert len({r.fingerprint for r in found}) == len({t or "" for _, t in rows})
 
 
+def test_next_documents_of_sparse_ids(table):
+    """Ids that are hashes: every document is a block of its own, spread over all 64 bits."""
+    rnd = random.Random(33)
+    ids = [rnd.randrange(-(2**63), 2**63) for _ in range(300)] + [2**63 - 1, -(2**63), 0, -1]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)]
+    order = sorted(rows, reverse=True)
+    found = {r.doc_id: r.next for r in fingerprints.with_next(table(rows)).collect()}
+    assert found == {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    plan = fingerprints._next_blocks(table(rows).select("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(block#" in line]
+    assert len(whole) <= 2  # over at most 2^12 rows
+
+
 def test_fingerprint_ignores_order_and_takes_insertions(llm, table):
     a, b, c = "One thing.", "Another thing.", "A third."
     rows = [(1, f"{a}\n{b}"), (2, f"{b} {a}"), (3, f"{a}\n{b}\n{c}"), (4, c), (5, f"{a}\n{a}"), (6, a)]
@@ -241,6 +254,12 @@ def test_base_spans_are_those_of_the_patterns(table):
         ("card ４５３９ １４８８ ０３４３ ６４６７ ok", "card", "４５３９ １４８８ ０３４３ ６４６７"),
         ("plus one five five five one two three four five six seven ok", "phone", "plus one five five five one two three four five six seven"),
         ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("Mail john (at) example dot com now", "email", "john (at) example dot com"),
+        ("Mail john@example dot co dot uk now", "email", "john@example dot co dot uk"),
+        ("host 192 dot 168 dot 1 dot 20 up", "ip", "192 dot 168 dot 1 dot 20"),
+        ("host 192.168 punkt 1.20 up", "ip", "192.168 punkt 1.20"),
+        ("call +49 30 one two 4567890 now", "phone", "+49 30 one two 4567890"),
+        ("call plus 49 30 eins 234567 neun 1 now", "phone", "plus 49 30 eins 234567 neun 1"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, source):
@@ -257,7 +276,13 @@ def test_spelled_runs_elsewhere_hide_no_phone(words):
 
 
 def test_prose_is_left_alone():
-    for text in ["We met at noon. Then we left.", "one two, and at last. It was at example.com there", "naïve café über"]:
+    for text in [
+        "We met at noon. Then we left.",
+        "one two, and at last. It was at example.com there",
+        "naïve café über",
+        "It rose from 1 point 2 to 3 point 4, or 5 + 2 one 3, at home dot and all.",
+        "In 2020 one 5 and (at) noon dot, @ home, 1.2.3 dot 4.5",
+    ]:
         assert pii.find(text) == ([], [])
     assert pii.redact("a@b.cd x", pii.find("a@b.cd x")[1]) == "<email> x"
 
