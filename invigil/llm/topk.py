@@ -6,7 +6,7 @@ vectors.  A block keeps each component's largest and smallest value, which bound
 score in it, and a forward index: the vectors themselves.  In each pack of vectors a query takes the
 blocks in its own order, the best bound first, and scores them through the forward index until the bounds fall
 below its k-th best score; a bound equal to it is still followed, so ties go to the smaller id.
-Queries that want the same block in a round share the work.
+Queries that want the same block in a turn share the work.
 
 Both sides travel in packs of bounded size.  The index is written once.  Packs of queries and of vectors are
 dealt into cells, a range of one against a range of the other, whose bytes are bounded; a cell is one cogroup, in which a
@@ -122,10 +122,10 @@ class Search:
         self.blocks_scored = self.blocks_seen = 0
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of candidates for some queries; own ids do not count."""
+        """A row of scores and ids of candidates for each of some queries; own ids and scores of -inf do not count."""
         if self.scores.dtype == object:
-            for row, own in zip(rows, scores):
-                given = [(s, i) for s, i in zip(own.tolist(), ids.tolist()) if i != self.ids[row]]
+            for row, own, others in zip(rows, scores.tolist(), ids.tolist()):
+                given = [(s, i) for s, i in zip(own, others) if i != self.ids[row] and s != -np.inf]
                 held = [(s, i) for s, i in zip(self.scores[row], self.found[row].tolist()) if s != -np.inf]
                 best = sorted(held + given, key=lambda c: (-c[0], c[1]))[: self.k]
                 self.scores[row, : len(best)] = [s for s, _ in best]
@@ -135,7 +135,7 @@ class Search:
         better = scores.max(axis=1, initial=-np.inf) >= self.scores[rows, -1]
         rows, scores = rows[better], scores[better]
         all_scores = np.concatenate([self.scores[rows], scores], axis=1)
-        all_ids = np.concatenate([self.found[rows], np.broadcast_to(ids, (len(better), ids.shape[-1]))[better]], axis=1)
+        all_ids = np.concatenate([self.found[rows], ids[better]], axis=1)
         all_ids = np.where(np.isneginf(all_scores), np.iinfo(np.int64).max, all_ids)
         best = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
         self.scores[rows] = np.take_along_axis(all_scores, best, axis=1)
@@ -161,19 +161,27 @@ class Search:
         order = np.argsort(-bounds, axis=1, kind="stable")
         every = np.arange(len(self.ids))
         self.blocks_seen += bounds.size
+        # Blocks side by side, the last one filled up; queries that want the same block in a turn share a product.
+        missing = len(starts) * BLOCK - len(ids)
+        blocks = np.concatenate([vectors, np.zeros((missing, width), vectors.dtype)]).reshape(len(starts), BLOCK, width)
+        numbers = np.concatenate([ids, np.zeros(missing, np.int64)]).reshape(len(starts), BLOCK)
+        filled = (np.arange(len(starts) * BLOCK) < len(ids)).reshape(len(starts), BLOCK)
         for turn in range(len(starts)):
             wanted = order[:, turn]
-            open_ = (bounds[every, wanted] >= self.scores[:, -1]).astype(bool)
-            if not open_.any():
+            rows = np.flatnonzero((bounds[every, wanted] >= self.scores[:, -1]).astype(bool))
+            if not len(rows):
                 break
-            for block in np.unique(wanted[open_]):
-                rows = np.flatnonzero(open_ & (wanted == block))
-                own = slice(block * BLOCK, block * BLOCK + BLOCK)
-                scores = queries[rows] @ vectors[own].T
-                if kind is object:
-                    scores = np.clip(scores, -_LARGEST, _LARGEST)
-                self.offer(rows, scores.astype(self.scores.dtype), ids[own])
-                self.blocks_scored += len(rows)
+            wanted = wanted[rows]
+            scores = np.empty((len(rows), BLOCK), kind)
+            for block in np.unique(wanted):
+                here = np.flatnonzero(wanted == block)
+                scores[here] = queries[rows[here]] @ blocks[block].T
+            if kind is object:
+                scores = np.clip(scores, -_LARGEST, _LARGEST)
+            scores = scores.astype(self.scores.dtype)
+            scores[~filled[wanted]] = -np.inf
+            self.offer(rows, scores, numbers[wanted])
+            self.blocks_scored += len(rows)
 
     def rows(self, pack: int) -> pa.RecordBatch:
         at, place = np.nonzero(self.scores != -np.inf)
@@ -201,11 +209,12 @@ def _unpacked(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64 if long else np.int32).reshape(n, width)
 
 
-def _ranges(packs: DataFrame, number: str, limit: int) -> tuple[DataFrame, int]:
-    """``packs`` with the range of at most ``limit`` bytes (one pack at least) that each is in, and how many there are."""
+def _ranges(packs: DataFrame, number: str, limit: int, least: int = 1) -> tuple[DataFrame, int]:
+    """``packs`` with the range of about ``limit`` bytes (one pack at least) that each is in, and how many there are:
+    ``least``, if there are as many packs."""
     size = F.octet_length("vectors") + F.octet_length("ids")
     count, most = packs.agg(F.count("*"), F.max(size)).first()
-    parts = max(1, -(-count // max(1, limit // (most or 1))))
+    parts = max(1, -(-count // max(1, limit // (most or 1))), min(least, count))
     return packs.withColumn("part", F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")), parts
 
 
@@ -219,7 +228,7 @@ def top_k(embeddings: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     asked = stage(asked.withColumn("pack", F.monotonically_increasing_id()), "queries")
 
     queries, n_left = _ranges(asked, "pack", ASKED)
-    slabs, n_right = _ranges(index, "slab", CELL)
+    slabs, n_right = _ranges(index, "slab", CELL, embeddings.sparkSession.sparkContext.defaultParallelism // n_left)
     left = queries.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     right = slabs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
 
