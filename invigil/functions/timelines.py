@@ -136,23 +136,29 @@ def decide(requests: DataFrame, held: DataFrame, rounds: list | None = None) ->
     """
     spark = requests.sparkSession
     folder = new_folder(spark, "timelines")
+    schema = "_id long, accepted boolean"
     left = stage(requests.select("req_id", "row", "value", F.lit(None).cast("boolean").alias("verdict")), "claims")
     number = 0
     while left.where("verdict is null").take(1):
         number += 1
         if rounds is not None:
             rounds.append(number)
-        events = _events(left, held)
-        sorted_ = events.repartition("value").sortWithinPartitions("value", "at", "claims")
-        steps = sorted_.mapInArrow(_walk, STEP)
-        verdicts = settle(steps).select(F.col("id").alias("_id"), "accepted")
-        verdicts = stage(verdicts, "verdicts")
-        verdicts.write.parquet(f"{folder}/round={number}")
-        known = left.join(verdicts, F.col("req_id") == F.col("_id"), "left")
+        events = _events(_concerned(left, held) if number > 1 else left, held)
+        steps = events.repartition("value").sortWithinPartitions("value", "at", "claims").mapInArrow(_walk, STEP)
+        path = f"{folder}/round={number}"
+        settle(steps).select(F.col("id").alias("_id"), "accepted").write.parquet(path)
+        known = left.join(spark.read.schema(schema).parquet(path), F.col("req_id") == F.col("_id"), "left")
         # Refused requests play no further part.
         kept = F.coalesce("verdict", "accepted")
         left = stage(known.select("req_id", "row", "value", kept.alias("verdict")).where("coalesce(verdict, true)"), "claims")
-    schema = "_id long, accepted boolean"
     if not number:
         return spark.createDataFrame([], "req_id long, accepted boolean")
     return spark.read.schema(schema).parquet(folder).select(F.col("_id").alias("req_id"), "accepted")
+
+
+def _concerned(left: DataFrame, held: DataFrame) -> DataFrame:
+    """The requests of rows that claim, or held at the start, a value that is still open."""
+    open_ = left.where("verdict is null").select(F.col("value").alias("_open")).distinct()
+    rows = left.select("row", "value").unionByName(held.select("row", "value"))
+    rows = rows.join(open_, F.col("value") == F.col("_open"), "left_semi").select(F.col("row").alias("_row")).distinct()
+    return left.join(rows, F.col("row") == F.col("_row"), "left_semi")
