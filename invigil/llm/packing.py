@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ END = 0
 BLOCK_ROWS = 1024
 #: Words after which a worker starts its memory anew, the last such memory beside it, and the bytes up to which it remembers them.
 KNOWN = 250_000
+RESTING = 50_000
 SHORT = 64
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many), in the order of their places
@@ -101,6 +103,12 @@ class Words:
                 self.known.pop(word[:-1], None)
         return found
 
+    def rest(self) -> None:
+        """Between tasks only short words stay, mostly the frequent ones, so that an idle worker holds little."""
+        if len(self.known) + len(self.before) > RESTING:
+            short = ((w, ids) for memory in (self.known, self.before) for w, ids in memory.items() if len(w) <= 8)
+            self.known, self.before = dict(islice(short, RESTING)), {}
+
     def _learn(self, new: list[bytes]) -> None:
         """Encode new words: the model takes plain letters as they are; others many at a time, their ids cut apart.
 
@@ -187,6 +195,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             arrays += [pa.array(c, pa.int64()) for c in columns[:4]]
             arrays += [pa.array(columns[4], pa.binary())] if with_ids else []
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+        words.rest()
 
     return narrow.mapInArrow(run, T.StructType(fields))
 
