@@ -2,7 +2,8 @@
 
 Rows are dealt to files by ranges of their sort key and sorted in each; the smallest and largest
 key of every file (and of every row group in it) then stand in its footer, and a filter on the key reaches the scan and skips
-what lies outside.  The number of files follows the number of rows.
+what lies outside.  The number of files follows the number of rows.  A task writes as many files as its rows fill: Spark samples
+every range at the driver, so there are far fewer ranges than small files.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from invigil.sources.tables import Tables, conform, replace
 
 ROWS_PER_FILE = 4_000_000
+#: Rows that one task sorts, where files are smaller; it writes several files then.
+ROWS_PER_TASK = 250_000
 
 #: The day of an exam's start, as a column of laid-out exams and of their questions.
 EXAM_DAY = {"Exam": "Exm_Day", "ExamQuestion": "EQ_Day"}
@@ -20,8 +23,9 @@ EXAM_DAY = {"Exam": "Exm_Day", "ExamQuestion": "EQ_Day"}
 
 def write_ranged(df: DataFrame, path: str, *keys: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write ``df`` by ranges of ``keys`` and return the table that was written."""
-    n_files = max(1, -(-df.count() // rows_per_file))
-    df.repartitionByRange(n_files, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    n_ranges = max(1, -(-df.count() // max(rows_per_file, ROWS_PER_TASK)))
+    ranged = df.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
+    ranged.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

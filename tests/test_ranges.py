@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SEED, frame
 from invigil.functions.filters import within_days
 from invigil.plans import searches, views
-from invigil.sources.ranges import EXAM_DAY, lay_out_exams
+from invigil.sources.ranges import EXAM_DAY, lay_out_exams, write_ranged
 
 DAYS = 40
 
@@ -73,3 +74,17 @@ def test_questions_without_an_exam_are_kept(many):
     assert laid_out["ExamQuestion"].count() == 1203
     assert laid_out["ExamQuestion"].where(F.col(EXAM_DAY["ExamQuestion"]).isNull()).count() == 3
     assert len(SEED["Exam"]) == 3
+
+
+def test_small_files_are_no_ranges_of_their_own(spark, folder):
+    """Spark samples each range at the driver: 500 files come from one range, in order and each a stretch of the keys."""
+    df = spark.range(0, 10_000, numPartitions=3).selectExpr("pmod(id * 7919, 10000) as k")
+    ran = spark._jsc.sc().statusTracker()
+    spark.sparkContext.setJobGroup("ranged", "ranged")
+    assert write_ranged(df, folder, "k", rows_per_file=20).count() == 10_000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [ran.getStageInfo(s).get().numTasks() for j in ran.getJobIdsForGroup("ranged") for s in ran.getJobInfo(j).get().stageIds()]
+    files = glob.glob(f"{folder}/*.parquet")
+    assert len(files) == 500 and max(tasks) < 50
+    bounds = sorted((min(k), max(k), len(k)) for k in (pq.read_table(f)["k"].to_pylist() for f in files))
+    assert bounds == [(i, i + 19, 20) for i in range(0, 10_000, 20)]
