@@ -6,11 +6,13 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from checks import inputs
 from conftest import SEED, frame
 from invigil.operators import grading
 from invigil.plans import searches, views
 from invigil.schema import TABLES
 from invigil.session import new_folder, stage
+from invigil.sources import star
 from invigil.sources import tables as store
 
 
@@ -151,3 +153,36 @@ def test_grading_reads_only_the_columns_it_needs(spark, seed, folder):
 
 def test_frames_have_declared_types(spark):
     assert frame(spark, "Course", SEED["Course"]).schema["Crs_MaxDeg"].dataType.simpleString() == "decimal(5,2)"
+
+
+def test_exchanges_follow_the_input(spark, folder, monkeypatch):
+    """More input means more partitions, not larger ones; the session's number is the least."""
+    spark.range(2000).selectExpr("id r_regionkey", "'x' r_name").write.parquet(f"{folder}/region.parquet")
+    number, advisory = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(number, None), spark.conf.get(advisory)
+    try:
+        star.stored(spark, folder)
+        assert spark.conf.get(number) == spark.conf.get("spark.sql.shuffle.partitions")
+        monkeypatch.setattr(star, "PARTITION_INPUT", 100)
+        star.stored(spark, folder)
+        assert int(spark.conf.get(number)) > 50
+        assert spark.range(1000).groupBy(F.col("id") % 7).count()._jdf.queryExecution().executedPlan().toString().count(f", {spark.conf.get(number)})") == 1
+        assert spark.conf.get(advisory) == f"{star.PARTITION_BYTES}b"
+    finally:
+        for key, value in zip((number, advisory), was):
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def test_submissions_come_in_in_few_files(spark, folder):
+    """Many tasks make many files; what comes in is the same rows in a few."""
+    t = star.Star(spark, folder, f"{folder}/kept")
+    t.keep("answer_request", lambda: spark.range(1000).repartition(40))
+    spark.range(1).selectExpr("id l_orderkey").write.parquet(f"{folder}/lineitem.parquet")
+    read = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "128MB")
+        path = inputs.incoming(t)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", read)
+    assert len(star.files(spark, path)) == inputs.LEAST_INCOMING
+    assert rows(spark.read.parquet(path)) == rows(spark.range(1000))
