@@ -645,6 +645,34 @@ def test_repeated_bytes_are_those_of_all_windows(table, length, full, monkeypatc
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == covered_plainly(rows, length)
 
 
+def test_a_crowded_passage_makes_few_rows(table, monkeypatch):
+    """Many documents share a passage between other texts: their windows are packed, not one row each."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    rows = [(i, "".join(rng.choices("stuvwxyz ", k=rng.randint(90, 300))) + passage[i % 7 :] + "".join(rng.choices("stuvwxyz ", k=99))) for i in range(300)]
+    staged, stage = {}, substrings.stage
+    monkeypatch.setattr(substrings, "stage", lambda df, purpose: staged.setdefault(purpose, stage(df, purpose)))
+    found = substrings.deduplicated(table(rows), 80, 20).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == covered_plainly(rows, 80)
+    suffixes = staged["suffixes"]
+    assert staged["full-classes"].count() > 0 and suffixes.where("kind = 1").count() > 0
+    assert suffixes.count() < 20 * len(rows)  # some 180 windows each
+
+
+def test_windows_that_are_there_twice():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 50, 400):
+        window, check, known = rng.integers(0, 20, n), rng.integers(0, 3, n), rng.random(n) < 0.1
+        repeated, first = substrings.twice(window, check, known)
+        pairs = list(zip(window.tolist(), check.tolist()))
+        sure = {p for p, k in zip(pairs, known) if k}
+        assert repeated.tolist() == [pairs.count(p) > 1 or p in sure for p in pairs]
+        assert sorted(p for p, f in zip(pairs, first) if f) == sorted(set(pairs))
+        spans = list(zip(*(c.tolist() for c in substrings.ranges(window, check, np.arange(n)))))
+        again = [(w, c, d) for w, c, low, high in spans for d in range(low, high + 1)]
+        assert sorted(again) == sorted(zip(window.tolist(), check.tolist(), range(n)))
+
+
 def test_anchors_do_not_depend_on_stretches(monkeypatch):
     data = prose(1, 900).encode() + b"a" * 700
     whole = substrings.anchors(data, 100)
