@@ -645,6 +645,15 @@ def test_repeated_bytes_are_those_of_all_windows(table, length, full, monkeypatc
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == covered_plainly(rows, length)
 
 
+def test_texts_go_to_the_language_model_once(table):
+    """The batch that a worker gets holds each text once, not in the row and beside it."""
+    found = language.identify(table([(1, "a text"), (2, None)]), {}, names=("found", "likely"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    inner = next(line for line in plan.splitlines() if "struct(" in line)
+    assert inner.count("text#") == 1, inner
+    assert sorted((r.doc_id, r.text, r.found) for r in found.collect()) == [(1, "a text", "und"), (2, None, "und")]
+
+
 def test_a_crowded_passage_makes_few_rows(table, monkeypatch):
     """Many documents share a passage between other texts: their windows are packed, not one row each."""
     rng = random.Random(8)
