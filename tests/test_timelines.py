@@ -7,8 +7,9 @@ import random
 import pytest
 
 from conftest import codes
-from invigil.functions import timelines
+from invigil.functions import timelines, turns
 from invigil.operators import dimensions
+from invigil.session import stage
 from test_requests import entry
 
 
@@ -98,3 +99,19 @@ def test_three_branches_rotate(spark, seed):
 def test_a_refused_change_gives_nothing_up(spark, seed):
     rows = [(1, 1, None, None), (2, 2, "Harbour", None)]
     assert branches(spark, seed, rows)[0] == {1: "I-15", 2: "I-12"}
+
+
+def test_settled_steps_do_not_meet(spark, monkeypatch):
+    """Steps without a parent take no part in the join, where their NULLs would all be one key."""
+    written = []
+    monkeypatch.setattr(turns, "stage", lambda df, purpose: written.append(df) or stage(df, purpose))
+    rows = [(n, None, n % 2 == 0, False, False) for n in range(50)] + [(50, None, True, False, True)]
+    rows += [(100, 0, False, True, False), (101, 100, False, True, False), (102, 50, True, False, False), (103, 7, True, False, False)]
+    found = {r.id: r.accepted for r in turns.settle(spark.createDataFrame(rows, timelines.STEP)).collect()}
+    assert found == {**{n: n % 2 == 0 for n in range(50)}, 100: False, 101: True, 103: False}
+    joined = [df._jdf.queryExecution().optimizedPlan() for df in written[1:]]
+    assert joined
+    for plan in joined:
+        while not plan.nodeName().startswith("Join"):
+            plan = plan.children().apply(0)
+        assert "isnotnull(parent" in plan.children().apply(0).toString()
