@@ -173,6 +173,26 @@ def test_exchanges_follow_the_input(spark, folder, monkeypatch):
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
+def test_scans_follow_the_input(spark, folder, monkeypatch):
+    """A split takes as much at any size, so a task holds no more where it combines rows; a smaller setting stays."""
+    spark.range(40_000).selectExpr("id r_regionkey", "uuid() r_name").repartition(4).write.parquet(f"{folder}/region.parquet")
+    most, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    was = {c: spark.conf.get(c) for c in (most, cost, "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set(most, "128MB")
+        spark.conf.set(cost, "128MB")
+        few = star.stored(spark, folder).file("region").rdd.getNumPartitions()
+        assert spark.conf.get(most) == f"{star.PARTITION_BYTES}b"
+        monkeypatch.setattr(star, "PARTITION_BYTES", 100_000)
+        assert star.stored(spark, folder).file("region").rdd.getNumPartitions() > 2 * few
+        spark.conf.set(most, "50000")
+        star.stored(spark, folder)
+        assert spark.conf.get(most) == "50000"
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+
+
 def test_submissions_come_in_in_few_files(spark, folder):
     """Many tasks make many files; what comes in is the same rows in a few."""
     t = star.Star(spark, folder, f"{folder}/kept")
