@@ -193,6 +193,13 @@ def test_scans_follow_the_input(spark, folder, monkeypatch):
             spark.conf.set(key, value)
 
 
+def test_answers_keep_no_more_than_is_read(spark, folder):
+    """The columns that only order submissions are not written with the last one."""
+    for name, schema in star.FILES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    assert not {"l_shipdate", "l_partkey", "l_extendedprice"} & set(star.Star(spark, folder).latest.columns)
+
+
 def test_submissions_come_in_in_few_files(spark, folder):
     """Many tasks make many files; what comes in is the same rows in a few."""
     t = star.Star(spark, folder, f"{folder}/kept")
