@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from invigil.llm import bpe, chat, fingerprints, language, near, packing, pii, sharding, substrings, topk
+from invigil.session import tune
 
 
 def sha(text: str | bytes) -> str:
@@ -723,6 +724,32 @@ def test_cutting_leaves_whole_characters(table):
     assert found == {1: "ab", 2: "üö", 3: "plain", 4: None}
 
 
+def test_cutting_moves_a_text_once(table, crowded, monkeypatch):
+    seen, with_spans = [], substrings._with_spans
+    monkeypatch.setattr(substrings, "_with_spans", lambda *a, **b: seen.append(with_spans(*a, **b)) or seen[-1])
+    passage = "a passage of some length that comes twice, "
+    docs = crowded(table([(1, "one " + passage + "two"), (2, "three " + passage + "four"), (3, None)]))
+    out = substrings.cut(docs, 40)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    before, after = ({r.doc_id: r.asDict() for r in df.collect()} for df in (docs, out))
+    texts = {i: r.pop("text") for i, r in after.items()}
+    assert all(passage[1:-1] not in (t or "") for t in texts.values())
+    assert texts == {1: "ontwo", 2: "threfour", 3: None}
+    assert after == {i: {k: v for k, v in r.items() if k != "text"} for i, r in before.items()}
+    moved = [f.name for df in seen for f in df.schema] + [g.name for df in seen for f in df.schema for g in getattr(f.dataType, "fields", [])]
+    assert moved.count("text") == 1
+
+
+def test_batches_for_workers_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    texts = tune(spark).range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 6000 * 4000 and max(found) < 10 << 20
+
+
 # -- shapes ------------------------------------------------------------------------------
 
 
